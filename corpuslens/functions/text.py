@@ -49,15 +49,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, rf"(?U){BLANK}+"), lambda w: w != "")
 
 
-def word_windows(text: Column, target: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> Column:
+def word_windows(
+    text: Column, toks: Column, target: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP
+) -> Column:
     """Array of overlapping word windows; a text within ``target`` stays as it is.
 
+    ``toks`` is the column holding ``words(text)``, computed once beforehand.
     Window starts are 0, step, 2*step, ... up to the first that reaches the end.
     """
     if overlap >= target:
         raise ValueError("overlap must be smaller than target")
     step = target - overlap
-    toks = words(text)
     n = F.size(toks)
     last = F.ceil((n - F.lit(target)) / F.lit(float(step))).cast("int") * step
     starts = F.sequence(F.lit(0), last, F.lit(step))

@@ -41,8 +41,8 @@ def split_sections(
     sections: DataFrame, target: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP
 ) -> DataFrame:
     """Word windows of every section with content-hash IDs; still narrow."""
-    windows = tx.word_windows(F.col("text"), target, overlap)
-    cut = sections.select(
+    windows = tx.word_windows(F.col("text"), F.col("_words"), target, overlap)
+    cut = sections.withColumn("_words", tx.words(F.col("text"))).select(
         *[c for c in sections.columns if c != "text"],
         F.posexplode(windows).alias("chunk_index", "text"),
     )

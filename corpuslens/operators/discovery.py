@@ -56,13 +56,12 @@ def discover(found: DataFrame, only_content: bool = True, max_labels: int = 4096
         found = found.where(web.is_content_url(F.col("url")))
     facts = found.select(
         "url",
-        F.inline(
-            F.array(
-                F.struct(F.lit("collection").alias("kind"), F.col("collection").alias("value")),
-                F.struct(F.lit("from"), F.col("index_url")),
-                F.struct(F.lit("label"), F.nullif("label", F.lit(""))),
+        F.inline(F.array(*[
+            F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+            for kind, value in (
+                ("collection", F.col("collection")), ("from", F.col("index_url")), ("label", tx.truthy(F.col("label")))
             )
-        ),
+        ])),
     ).where(F.col("value").isNotNull()).distinct()
     parts = bounded_parts(facts, ["url"], ["kind", "value"], max_labels)
 

@@ -94,10 +94,10 @@ def group_name(value: Column) -> Column:
 def subgroup_metrics(sheet: DataFrame) -> DataFrame:
     """Metrics by split and by cancer on questions that all six runs answered."""
     common = sheet.where(all_answered())
-    kinds = F.array(
-        F.struct(F.lit("split").alias("group_type"), group_name(F.col("split")).alias("group")),
-        F.struct(F.lit("cancer"), group_name(F.col("cancer"))),
-    )
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("group_type"), group_name(F.col(kind)).alias("group"))
+        for kind in ("split", "cancer")
+    ])
     # One row per group first: confusion counts of all six runs side by side.
     keyed = common.select(F.inline(kinds), "correct_answer", *RUN_COLUMNS)
     aggs = [F.count_if("correct_answer").alias("positives")]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ BROADCAST_ROWS = 500_000
 
 def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
     """Session for tests and local runs; a cluster brings its own settings."""
-    return (
+    return ship_package(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -25,11 +27,27 @@ def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CORPUSLENS_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="corpuslens-")) / "corpuslens"
+        archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's spark.checkpoint.dir.
 
@@ -42,6 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path, not used so far, below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,7 +72,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     later readers still get column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
