@@ -443,3 +443,102 @@ SQL["cached_pages"] = """
 SELECT page_id, left(sha256(url), 20) AS key, CASE WHEN url LIKE 'https%' THEN length(html) END AS html_length FROM pages"""
 SQL["robots_allowed"] = """
 SELECT page_id, NOT (regexp_matches(url, '^https?://[^/]*/fr/') OR regexp_matches(url, '^https?://[^/]*/de/1')) AS allowed FROM pages"""
+
+# HTML: tokens of every page, then an open-tag stack carried token by token. An
+# end tag closes its nearest open element and all inside it; void tags never
+# open; an end tag without an open element does nothing.
+_VOID = "['br', 'meta', 'img', 'hr', 'input', 'link', 'area', 'base', 'col', 'embed', 'source', 'track', 'wbr']"
+HTML = rf"""
+tokens AS (
+  SELECT page_id, url, regexp_extract_all(
+    html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<script.*?</script>|<style.*?</style>|<[^>]*>|[^<]+') AS t
+  FROM pages),
+tok AS (
+  SELECT page_id, url, i, t[i] AS tok,
+         CASE WHEN t[i] LIKE '<!%' OR t[i] LIKE '<script%' OR t[i] LIKE '<style%' THEN 'skip'
+              WHEN t[i] LIKE '</%' THEN 'close' WHEN t[i] LIKE '<%' THEN 'open' ELSE 'text' END AS kind,
+         lower(regexp_extract(t[i], '^</?([A-Za-z0-9]+)', 1)) AS tag
+  FROM tokens, unnest(range(1, len(t) + 1)) AS r(i)),
+walk AS (
+  WITH RECURSIVE w(page_id, i, stack, popped) AS (
+    SELECT page_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(tag VARCHAR, starts BIGINT)[]), CAST([] AS STRUCT(tag VARCHAR, starts BIGINT)[])
+    FROM tokens
+    UNION ALL
+    SELECT w.page_id, w.i + 1,
+           CASE WHEN k.kind = 'open' AND NOT list_contains({_VOID}, k.tag)
+                  THEN list_append(w.stack, {{'tag': k.tag, 'starts': k.i}})
+                WHEN k.kind = 'close' AND list_contains(list_transform(w.stack, lambda s: s.tag), k.tag)
+                  THEN w.stack[1 : len(w.stack) - list_position(list_reverse(list_transform(w.stack, lambda s: s.tag)), k.tag)]
+                ELSE w.stack END,
+           CASE WHEN k.kind = 'close' AND list_contains(list_transform(w.stack, lambda s: s.tag), k.tag)
+                  THEN w.stack[len(w.stack) - list_position(list_reverse(list_transform(w.stack, lambda s: s.tag)), k.tag) + 1 :]
+                ELSE [] END
+    FROM w JOIN tok k ON k.page_id = w.page_id AND k.i = w.i + 1)
+  SELECT * FROM w),
+ends AS (SELECT page_id, p.tag, p.starts AS first, i AS last FROM (SELECT page_id, i, unnest(popped) AS p FROM walk)),
+texts AS (
+  SELECT page_id, i, trim(replace(replace(replace(replace(replace(replace(replace(replace(
+                          tok, '&quot;', '"'), '&#x27;', ''''), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'),
+                          '&nbsp;', chr(160)), '&amp;', '&'), E' \n\t\r') AS text
+  FROM tok WHERE kind = 'text'),
+dropped AS (SELECT page_id, first, last FROM ends WHERE tag IN ('noscript', 'form', 'nav', 'footer', 'aside')),
+kept_texts AS (
+  SELECT * FROM texts t WHERE text <> '' AND NOT EXISTS (
+    SELECT 1 FROM dropped d WHERE d.page_id = t.page_id AND t.i BETWEEN d.first AND d.last)),
+elements AS (
+  SELECT e.page_id, e.tag, e.first, regexp_replace(string_agg(t.text, ' ' ORDER BY t.i), '\s+', ' ', 'g') AS text
+  FROM ends e JOIN kept_texts t ON t.page_id = e.page_id AND t.i BETWEEN e.first AND e.last
+  WHERE e.tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'blockquote')
+  GROUP BY e.page_id, e.tag, e.first),
+titles AS (
+  SELECT page_id, arg_min(text, first) FILTER (tag = 'h1') AS h1 FROM elements GROUP BY page_id),
+-- These pages have one heading each (checked by the test): blocks after it form
+-- one section, blocks before it another.
+heads AS (SELECT page_id, min(first) AS h_at, any_value(text) AS heading FROM elements WHERE tag = 'h1' GROUP BY page_id),
+blocks AS (
+  SELECT e.page_id, e.first, CASE WHEN e.tag = 'li' THEN '- ' || e.text ELSE e.text END AS text,
+         CASE WHEN e.first > h.h_at THEN h.heading END AS heading
+  FROM elements e LEFT JOIN heads h USING (page_id)
+  WHERE e.tag NOT LIKE 'h_'),
+prev AS (SELECT *, lag(text) OVER (PARTITION BY page_id, heading ORDER BY first) AS before FROM blocks),
+sections AS (
+  SELECT page_id, coalesce(heading, 'Document') AS section, coalesce(heading, '') AS path, count(*) AS block_count,
+         string_agg(text, chr(10) ORDER BY first) AS text,
+         row_number() OVER (PARTITION BY page_id ORDER BY heading IS NOT NULL) - 1 AS pos
+  FROM prev WHERE text IS DISTINCT FROM before GROUP BY page_id, heading)"""
+SQL["html_sections"] = f"""
+WITH {HTML}
+SELECT url, pos, section, path, false AS is_boilerplate, block_count, text FROM sections JOIN tokens USING (page_id)"""
+SQL["page_title"] = f"WITH {HTML} SELECT url, h1 AS title FROM titles JOIN tokens USING (page_id)"
+SQL["useful_first_section"] = f"""
+WITH {HTML}
+SELECT url, arg_min(section, pos) AS section, sha256(arg_min(text, pos)) AS text_hash
+FROM sections JOIN tokens USING (page_id) GROUP BY url"""
+SQL["page_records"] = f"""
+WITH {HTML},
+rec AS (
+  SELECT page_id, count(*) AS section_count, sha256(string_agg(text, chr(10) || chr(10) ORDER BY pos)) AS content_sha256
+  FROM sections GROUP BY page_id),
+c AS (SELECT *, {_TOPICS}[page_id % 7 + 1] AS c1, {_TOPICS}[page_id % 5 + 1] AS c2 FROM pages)
+SELECT url, {_TOPICS}[least(page_id % 7, page_id % 5) + 1] AS topic, 'unspecified' AS audience, 'en' AS language,
+       CASE WHEN least(page_id % 7, page_id % 5) < 4 THEN h1 END AS cancer_type, h1 AS summary_name,
+       CAST(NULL AS VARCHAR) AS last_updated, content_sha256, section_count,
+       'raw_html/' || left(sha256(url), 20) || '.html' AS raw_html_file
+FROM c JOIN titles USING (page_id) JOIN rec USING (page_id)"""
+SQL["html_links"] = f"""
+WITH {HTML},
+anchors AS (
+  SELECT k.page_id, k.i, regexp_extract(k.tok, 'href="([^"]*)"', 1) AS href,
+         regexp_replace(coalesce(string_agg(t.text, ' ' ORDER BY t.i), ''), '\\s+', ' ', 'g') AS label
+  FROM tok k JOIN ends e ON e.page_id = k.page_id AND e.first = k.i
+  LEFT JOIN texts t ON t.page_id = k.page_id AND t.i BETWEEN e.first AND e.last AND t.text <> ''
+  WHERE k.kind = 'open' AND k.tag = 'a' AND k.tok LIKE '%href=%'
+  GROUP BY k.page_id, k.i, k.tok),
+links AS (
+  SELECT p.url AS index_url, label, {_TOPICS}[page_id % 7 + 1] AS c1, {_TOPICS}[page_id % 5 + 1] AS c2,
+         lower(regexp_extract(p.url, '^([a-z]+://[^/?#]*)', 1)) || regexp_extract(href, '^[^?#]*') AS url
+  FROM anchors JOIN pages p USING (page_id))
+SELECT url, array_to_string(list_sort(list(DISTINCT least(c1, c2))), '|') AS collections,
+       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label <> '')), '|'), '') AS labels,
+       count(DISTINCT index_url) AS origins
+FROM links GROUP BY url"""

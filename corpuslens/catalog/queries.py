@@ -472,7 +472,7 @@ def page_records(spark, sf):
 
 @query
 def html_sections(spark, sf):
-    return parsed_pages(spark, sf).select("url", F.posexplode("sections").alias("pos", "s")).select(
+    return parsed_pages(spark, sf).select("url", F.posexplode_outer("sections").alias("pos", "s")).where("pos is not null").select(
         "url", F.col("pos").cast("long").alias("pos"), "s.section", F.array_join("s.section_path", " > ").alias("path"),
         "s.is_boilerplate", F.col("s.block_count").cast("long").alias("block_count"), "s.text",
     )

@@ -34,6 +34,11 @@ def truthy(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def has_text(text: Column) -> Column:
+    """True where there is anything but blanks; stops at the first such character."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
 def clean_text(text: Column) -> Column:
     """Trim every line, squeeze spaces and tabs, drop blank lines."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t]+", " ")

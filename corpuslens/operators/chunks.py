@@ -25,12 +25,15 @@ def usable_sections(pages: DataFrame) -> DataFrame:
         F.coalesce(tx.truthy(F.col("topic")), F.lit("general")).alias("topic"),
         F.coalesce(tx.truthy(F.col("audience")), F.lit("unspecified")).alias("audience"),
         "url", "source_file", "load_order",
-        F.posexplode("sections").alias("section_index", "s"),
+        # Outer: the filters that Spark derives from a plain explode would
+        # build the sections a second time.
+        F.posexplode_outer("sections").alias("section_index", "s"),
     )
     return (
-        page.where(~F.coalesce(F.col("s.is_boilerplate"), F.lit(False)))
+        # Tested on the raw text, for a filter on the cleaned one would be
+        # pushed down and clean every text twice.
+        page.where(~F.coalesce(F.col("s.is_boilerplate"), F.lit(False)) & tx.has_text(F.col("s.text")))
         .withColumn("text", tx.clean_text(F.col("s.text")))
-        .where(F.col("text") != "")
         .withColumn("section", F.coalesce(tx.truthy(F.col("s.section")), F.col("title")))
         .withColumn("section_path", tx.section_path(F.col("s.section_path"), F.col("section")))
         .drop("s")
@@ -88,7 +91,7 @@ def first_section(pages: DataFrame) -> DataFrame:
     """First non-boilerplate section with text of every page."""
     good = F.filter(
         "sections",
-        lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)) & (tx.strip(F.coalesce(s["text"], F.lit(""))) != ""),
+        lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)) & tx.has_text(s["text"]),
     )
     first = F.get(good, F.lit(0))
     return pages.select(

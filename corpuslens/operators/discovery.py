@@ -31,9 +31,11 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
 def links(scanned: DataFrame) -> DataFrame:
     """collection, index_url, url, label for every link of scanned index pages.
 
-    Absolute http(s) links, by far the most, skip the Python step.
+    Absolute http(s) links, by far the most, skip the Python step. The explode is
+    an outer one, because the filters Spark derives from a plain explode would
+    scan the pages a second time; pages without links drop out as NULL URLs.
     """
-    rows = scanned.select("collection", F.col("url").alias("index_url"), F.explode("scan.links").alias("l"))
+    rows = scanned.select("collection", F.col("url").alias("index_url"), F.explode_outer("scan.links").alias("l"))
     absolute = F.col("l.href").rlike("^(?i)https?://[^/?#]")
     target = F.when(absolute, F.col("l.href")).otherwise(
         resolve(F.col("index_url"), F.when(~absolute, F.col("l.href")).otherwise(F.lit("")))

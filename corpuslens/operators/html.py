@@ -81,27 +81,56 @@ def heading_paths(headings: Column) -> Column:
     return F.aggregate(headings, F.array(empty), step)
 
 
-def sections_of(blocks: Column) -> Column:
-    """Sections of a block array (see :func:`block_texts`)."""
-    rows = F.transform(blocks, lambda b, i: F.struct(b["level"].alias("level"), b["text"].alias("text"), i.alias("i")))
-    headings = F.filter(rows, lambda b: b["level"] > 0)
-    starts = F.concat(F.array(F.lit(-1)), F.transform(headings, lambda h: h["i"]))
-    stops = F.concat(F.transform(headings, lambda h: h["i"]), F.array(F.size(rows)))
-    spans = F.arrays_zip(starts.alias("start"), stops.alias("stop"), heading_paths(headings).alias("path"))
+def with_sections(pages: DataFrame) -> DataFrame:
+    """Adds ``sections`` from ``scan.blocks``.
+
+    Built in named steps, so that no array is computed again for each element
+    of another one. Blank blocks go first; a block equal to the one right
+    before it in the same section goes next; then every section is a slice.
+    """
+    b = F.col("_b")
+    end = F.size(b)
+    staged = (
+        pages.withColumn("_b", F.filter(block_texts(F.col("scan.blocks")), lambda x: (x["level"] > 0) | (x["text"] != "")))
+        .withColumn(
+            "_b",
+            F.filter(
+                b,
+                lambda x, i: (i == 0) | (x["level"] > 0) | (F.get(b, i - 1)["level"] > 0)
+                | (F.get(b, i - 1)["text"] != x["text"]),
+            ),
+        )
+        .withColumn(
+            "_h",
+            F.filter(
+                F.transform(b, lambda x, i: F.struct(x["level"].alias("level"), x["text"].alias("text"), i.alias("i"))),
+                lambda x: x["level"] > 0,
+            ),
+        )
+        .withColumn("_paths", heading_paths(F.col("_h")))
+    )
+    at = F.transform("_h", lambda h: h["i"])
+    spans = F.arrays_zip(
+        F.concat(F.array(F.lit(-1)), at).alias("start"), F.concat(at, F.array(end)).alias("stop"),
+        F.col("_paths").alias("path"),
+    )
 
     def section(s: Column) -> Column:
-        body = F.slice(rows, s["start"] + 2, s["stop"] - s["start"] - 1)
-        texts = F.filter(F.transform(body, lambda b: b["text"]), lambda t: t != "")
-        kept = F.filter(texts, lambda t, i: (i == 0) | (F.get(texts, i - 1) != t))
+        n = s["stop"] - s["start"] - 1
+        texts = F.transform(F.slice(b, s["start"] + 2, n), lambda x: x["text"])
         return F.struct(
             F.coalesce(F.get(s["path"], F.size(s["path"]) - 1), F.lit(fv.UNNAMED_SECTION)).alias("section"),
             s["path"].alias("section_path"),
             web.is_boilerplate(s["path"]).alias("is_boilerplate"),
-            F.size(kept).alias("block_count"),
-            F.array_join(kept, "\n").alias("text"),
+            n.alias("block_count"),
+            F.array_join(texts, "\n").alias("text"),
         )
 
-    return F.filter(F.transform(spans, section), lambda s: s["block_count"] > 0)
+    return (
+        staged.withColumn("_spans", F.filter(spans, lambda s: s["stop"] - s["start"] > 1))
+        .withColumn("sections", F.transform("_spans", section))
+        .drop("_b", "_h", "_paths", "_spans")
+    )
 
 
 def parse_pages(scanned: DataFrame) -> DataFrame:
@@ -111,7 +140,8 @@ def parse_pages(scanned: DataFrame) -> DataFrame:
     titled = good.withColumn(
         "title", F.coalesce(tx.normalize_ws(F.col("scan.title")), F.lit(""))
     ).withColumn("title", F.when(F.col("scan.title").isNull(), fv.UNTITLED_PAGE).otherwise(F.col("title")))
-    shaped = titled.withColumn("sections", sections_of(block_texts(F.col("scan.blocks"))))
+    titled = titled.withColumn("summary_name", web.strip_title_suffix(F.col("title")))
+    shaped = with_sections(titled)
     texts = F.transform("sections", lambda s: s["text"])
     return shaped.select(
         F.lit(fv.PAGE_SOURCE).alias("source"),
@@ -121,10 +151,8 @@ def parse_pages(scanned: DataFrame) -> DataFrame:
         web.topic(F.col("collections")).alias("topic"),
         web.audience(F.col("url"), F.col("title")).alias("audience"),
         F.lit(fv.PAGE_LANGUAGE).alias("language"),
-        web.entity_name(web.strip_title_suffix(F.col("title")), F.col("collections")).alias("cancer_type"),
-        "title",
-        web.strip_title_suffix(F.col("title")).alias("summary_name"),
-        "url", "discovered_from", "index_link_labels",
+        web.entity_name(F.col("summary_name"), F.col("collections")).alias("cancer_type"),
+        "title", "summary_name", "url", "discovered_from", "index_link_labels",
         tx.first_match_date(tx.normalize_ws(F.col("scan.full_text"))).alias("last_updated"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("retrieved_at"),
         F.sha2(F.array_join(texts, "\n\n"), 256).alias("content_sha256"),
