@@ -50,7 +50,7 @@ def document_index(spark: SparkSession, sf: str) -> bm25.Bm25Index:
 # --- corpus -------------------------------------------------------------------
 @query
 def clean_text(spark, sf):
-    return tables.table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+    return tables.documents(spark, sf).select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -105,7 +105,7 @@ def search_text(spark, sf):
 
 @query
 def tokenize_counts(spark, sf):
-    found = bm25.token_rows(tables.table(spark, sf, "documents"), ["doc_id"], F.col("text"))
+    found = bm25.token_rows(tables.documents(spark, sf), ["doc_id"], F.col("text"))
     per_doc = found.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("occurrences"), F.count("*").alias("documents"))
 
@@ -446,14 +446,14 @@ def last_updated(spark, sf):
         .when(i % 4 == 2, F.concat(F.lit(" reviewed: May "), day, F.lit(" UPDATED:\nAugust "), day))
         .otherwise(F.concat(F.lit(" Updated: Sometime "), day))
     )
-    return tables.table(spark, sf, "documents").select(
+    return tables.documents(spark, sf).select(
         "doc_id", tx.first_match_date(tx.normalize_ws(F.concat("text", line))).alias("last_updated")
     )
 
 
 def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages, _ = crawl.parse(tables.html_pages(spark, sf))
-    return pages
+    return store(pages, "parsed")
 
 
 @query
@@ -523,7 +523,7 @@ def manifest_counts(spark, sf):
 
 @query
 def slugify(spark, sf):
-    words = tables.table(spark, sf, "documents").select(
+    words = tables.documents(spark, sf).select(
         F.explode(F.split("text", "\n")).alias("name")
     ).distinct()
     return words.select("name", tx.slugify("name").alias("slug"))

@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.operators.metrics import RUNS
+from corpuslens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for work on their markup."""
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def document_pages(spark: SparkSession, sf_dir: str, url: Column | None = None, path: Column | None = None) -> DataFrame:
     """Every document as a page with one section."""
     title = F.concat(F.lit("Document "), F.col("doc_id"))
@@ -27,7 +38,7 @@ def document_pages(spark: SparkSession, sf_dir: str, url: Column | None = None,
         F.lit(1).alias("block_count"),
         F.col("text").alias("text"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         title.alias("title"),
         F.lit(None).cast("string").alias("summary_name"),
         F.when(F.col("lang") == "en", F.col("source")).alias("cancer_type"),
@@ -100,7 +111,7 @@ def page_collections() -> Column:
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array().cast("array<string>")
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         "page_id", "url", "html", page_collections().alias("collections"),
         empty.alias("discovered_from"), empty.alias("index_link_labels"),
     )

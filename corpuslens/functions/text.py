@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,16 +14,24 @@ from pyspark.sql.types import StringType
 
 from corpuslens import fixed_values as fv
 
-# Java's (?U)\s lacks U+001C..U+001F, which count as blanks in saved data.
+# Characters that count as blanks, and the line ends among them. Java's (?U)\s
+# lacks U+001C..U+001F, hence the class for regular expressions.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 BLANK = r"[\s\x1c-\x1f]"
-_LINE_END = r"[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
-_BLANK_IN_LINE = rf"[\s\x1c-\x1f&&[^\n\x0b\x0c\r\x1c-\x1e\x85  ]]"
 
 
 def strip(text: Column) -> Column:
-    """Remove blanks (Unicode sense) at both ends."""
-    # Possessive runs anchored at either end keep the scan linear.
-    return F.regexp_replace(text, rf"(?U)^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
+    """Remove blanks at both ends."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def contains_any(text: Column, parts: Iterable[str]) -> Column:
+    """Plain byte searches; far cheaper than a regular expression."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
 def normalize_ws(text: Column) -> Column:
@@ -40,18 +50,24 @@ def has_text(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Trim every line, squeeze spaces and tabs, drop blank lines."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t]+", " ")
-    # One newline for each run of blanks that holds a line end. The lookbehind
-    # lets only the start of a run be tried, so long runs stay linear.
-    lines = F.regexp_replace(
-        squeezed, rf"(?U)(?<!{_BLANK_IN_LINE}){_BLANK_IN_LINE}*+{_LINE_END}{BLANK}*+", "\n"
-    )
-    return strip(lines)
+    """Trim every line, squeeze spaces and tabs, drop blank lines.
+
+    Rewriting passes run only on texts and lines that need them.
+    """
+    text = F.coalesce(text, F.lit(""))
+    same_ends = F.when(
+        contains_any(text, RARE_LINE_ENDS), F.translate(text, RARE_LINE_ENDS, "\n" * len(RARE_LINE_ENDS))
+    ).otherwise(text)
+
+    def clean_line(line: Column) -> Column:
+        squeezed = F.when(contains_any(line, ["\t", "  "]), F.regexp_replace(line, r"[ \t]+", " ")).otherwise(line)
+        return strip(squeezed)
+
+    return F.array_join(F.array_remove(F.transform(F.split(same_ends, "\n"), clean_line), ""), "\n")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, rf"(?U){BLANK}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, rf"(?U){BLANK}+"), "")
 
 
 def word_windows(

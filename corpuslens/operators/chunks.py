@@ -93,8 +93,5 @@ def first_section(pages: DataFrame) -> DataFrame:
         "sections",
         lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)) & tx.has_text(s["text"]),
     )
-    first = F.get(good, F.lit(0))
-    return pages.select(
-        "url", first["section"].alias("section"), first["section_path"].alias("section_path"),
-        first["text"].alias("text"),
-    )
+    first = pages.select("url", F.get(good, F.lit(0)).alias("s"))
+    return first.select("url", "s.section", "s.section_path", "s.text")

@@ -94,6 +94,17 @@ def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows of a source with fewer splits than cores, by ``key``.
+
+    For heavy per-row work on a small table kept in one file. Large inputs have
+    more splits than cores and pass through unshuffled.
+    """
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` provably has at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
