@@ -105,9 +105,8 @@ def search_text(spark, sf):
 
 @query
 def tokenize_counts(spark, sf):
-    found = bm25.token_rows(tables.documents(spark, sf), ["doc_id"], F.col("text"))
-    per_doc = found.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("token").agg(F.sum("c").alias("occurrences"), F.count("*").alias("documents"))
+    found = bm25.term_counts(tables.documents(spark, sf).select("text"), F.col("text"))
+    return found.groupBy("token").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
 
 
 @query

@@ -124,6 +124,24 @@ def tokens(text: Column) -> Column:
     return F.transform(raw_tokens(text), F.lower)
 
 
+def run_starts(ordered: Column) -> Column:
+    """Positions in a sorted array column where a new value begins."""
+    return F.array_compact(
+        F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i))
+    )
+
+
+def run_lengths(ordered: Column, starts: Column) -> Column:
+    """array<struct<token,tf>> of a sorted array column and its run starts."""
+    return F.transform(
+        starts,
+        lambda s, j: F.struct(
+            F.get(ordered, s).alias("token"),
+            (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - s).cast("long").alias("tf"),
+        ),
+    )
+
+
 def _slug(text: str | None, max_length: int = 120) -> str | None:
     if text is None:
         return None

@@ -27,33 +27,38 @@ class Bm25Index:
         return self.total_len / self.n_chunks
 
 
-def token_rows(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """One row per token occurrence."""
-    found = rows.select(*keys, F.explode(tx.raw_tokens(text)).alias("_raw"))
-    return found.select(*keys, F.lower("_raw").alias("token"))
-
-
 def idf(n_chunks: Column, df: Column) -> Column:
     """Raw inverse document frequency; negative for terms in over half the chunks."""
     return F.ln(n_chunks - df + 0.5) - F.ln(df + 0.5)
 
 
-def make_postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, chunk_len, token, tf.
+def term_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds ``n_tokens`` and, one row per distinct token, ``token`` and ``tf``.
 
-    Both aggregations group by chunk_id first, so on input hash-partitioned or
-    bucketed by chunk_id neither needs an exchange.
+    All tokens of a text are in its own row, so they are counted there: sort
+    the array, then take run lengths. No exchange and no hash table of
+    (text, token) pairs. Texts without a token give no row.
     """
-    rows = with_search_text(chunks).select("chunk_id", tx.raw_tokens(F.col("search_text")).alias("_toks"))
-    found = rows.select(
-        "chunk_id", F.size("_toks").cast("long").alias("chunk_len"), F.explode("_toks").alias("_raw")
-    )
     return (
-        found.groupBy("chunk_id", "chunk_len", F.lower("_raw").alias("token"))
-        .agg(F.count("*").alias("tf"))
+        rows.withColumn("_t", F.sort_array(tx.tokens(text)))
+        .withColumn("_s", tx.run_starts(F.col("_t")))
+        .select(
+            *rows.columns, F.size("_t").cast("long").alias("n_tokens"),
+            F.inline(tx.run_lengths(F.col("_t"), F.col("_s"))),
+        )
     )
 
 
+def make_postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, chunk_len, token, tf."""
+    counted = term_counts(chunks_text(chunks), F.col("search_text"))
+    return counted.select("chunk_id", F.col("n_tokens").alias("chunk_len"), "token", "tf")
+
+
+def chunks_text(chunks: DataFrame) -> DataFrame:
+    return with_search_text(chunks).select("chunk_id", "search_text")
+
+
 def build_index(chunks: DataFrame) -> Bm25Index:
     """Tokenize once and store chunks, postings and term counts.
 
@@ -82,8 +87,8 @@ def question_weights(questions: DataFrame, index: Bm25Index) -> DataFrame:
     Terms unknown to the corpus drop out; negative idf is replaced by a
     fraction of the average one.
     """
-    asked = token_rows(questions, ["question_id"], F.col("question"))
-    asked = asked.groupBy("question_id", "token").agg(F.count("*").alias("qtf"))
+    asked = term_counts(questions.select("question_id", "question"), F.col("question"))
+    asked = asked.select("question_id", "token", F.col("tf").alias("qtf"))
     raw = idf(F.lit(float(index.n_chunks)), F.col("df"))
     floored = F.when(raw < 0, F.lit(fv.BM25_EPSILON * index.avg_idf)).otherwise(raw)
     return asked.join(index.terms, "token").select("question_id", "token", (F.col("qtf") * floored).alias("weight"))
