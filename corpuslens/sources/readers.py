@@ -134,13 +134,24 @@ def first_questions(questions: DataFrame, n: int | None) -> DataFrame:
     return questions.where(F.col("question_ord") < n)
 
 
+def _has_bom(spark: SparkSession, path: str) -> bool:
+    """True for a file that begins with a byte-order mark (readers drop it)."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(jvm_path).isDirectory():
+        return False
+    stream = fs.open(jvm_path)
+    try:
+        return bytes(max(stream.read(), 0) for _ in range(3)) == b"\xef\xbb\xbf"
+    finally:
+        stream.close()
+
+
 def check_header(spark: SparkSession, path: str, allow_bom: bool = True) -> None:
     """Header must be exactly the two answer columns, in order."""
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0] if first else ""
-    if allow_bom:
-        line = line.removeprefix("﻿")
-    if [c.strip('"') for c in line.split(",")] != fv.ANSWER_COLUMNS:
+    if [c.strip('"') for c in line.split(",")] != fv.ANSWER_COLUMNS or (not allow_bom and _has_bom(spark, path)):
         raise InvalidInput(f"{path} must have the columns {','.join(fv.ANSWER_COLUMNS)}")
 
 

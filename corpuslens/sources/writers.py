@@ -14,17 +14,16 @@ from corpuslens.operators.grouping import bounded_parts
 def csv_columns(df: DataFrame, fields: list[str]) -> DataFrame:
     """Only ``fields``, in order; doubles with 6 decimals, undefined ones blank."""
     types = dict(df.dtypes)
-    return df.select(
-        *[
-            F.coalesce(
-                F.format_string("%.6f", F.col(f)) if types.get(f) == "double" else F.col(f).cast("string"),
-                F.lit(""),
-            ).alias(f)
-            if f in types
-            else F.lit("").alias(f)
-            for f in fields
-        ]
-    )
+
+    def cell(name: str):
+        if name not in types:
+            return F.lit("")
+        value = F.col(name)
+        # format_string would print NULL as a word.
+        text = F.when(value.isNotNull(), F.format_string("%.6f", value)) if types[name] == "double" else value.cast("string")
+        return F.coalesce(text, F.lit(""))
+
+    return df.select(*[cell(f).alias(f) for f in fields])
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str], single_file: bool = False) -> None:
