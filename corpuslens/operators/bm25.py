@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.operators.chunks import with_search_text
-from corpuslens.session import fits_broadcast, store, store_bucketed
+from corpuslens.session import BROADCAST_ROWS, store, store_bucketed
 
 
 @dataclass(frozen=True)
@@ -94,13 +96,12 @@ def question_weights(questions: DataFrame, index: Bm25Index) -> DataFrame:
     return asked.join(index.terms, "token").select("question_id", "token", (F.col("qtf") * floored).alias("weight"))
 
 
-def score(questions: DataFrame, index: Bm25Index) -> DataFrame:
-    """question_id, chunk_id, score for all pairs that share a token."""
-    weights = question_weights(questions, index)
-    if fits_broadcast(weights):
-        # Postings stay where they are, partitioned by chunk_id; the sum below
-        # then needs no exchange either.
-        weights = F.broadcast(weights)
+def score(weights: DataFrame, index: Bm25Index) -> DataFrame:
+    """question_id, chunk_id, score for all pairs that share a token.
+
+    With broadcast ``weights`` the postings stay where they are, partitioned by
+    chunk_id, and the sum needs no exchange either.
+    """
     norm = 1 - fv.BM25_B + fv.BM25_B * F.col("chunk_len") / F.lit(index.avg_len)
     part = F.col("weight") * F.col("tf") * (fv.BM25_K1 + 1) / (F.col("tf") + fv.BM25_K1 * norm)
     return (
@@ -110,18 +111,7 @@ def score(questions: DataFrame, index: Bm25Index) -> DataFrame:
     )
 
 
-def search(questions: DataFrame, index: Bm25Index, k: int = fv.TOP_K) -> DataFrame:
-    """question_id, chunk_id, score, rank: hits within the first ``k`` places.
-
-    Places are counted over all chunks. A chunk that shares no token scores 0,
-    takes its place and is then left out, so matching chunks with a negative
-    score (possible only where the average idf is negative) come after all of
-    those. Equal scores rank matching chunks first, then by chunk_id. Scores
-    are rounded to 6 decimals so that ranks do not hang on summation order.
-    """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    pairs = score(questions, index)
+def top_k(pairs: DataFrame, index: Bm25Index, k: int) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     # row_number is pruned to k per task before the shuffle by question.
     top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -132,3 +122,34 @@ def search(questions: DataFrame, index: Bm25Index, k: int = fv.TOP_K) -> DataFra
         )
         top = top.where(F.col("rank") <= k)
     return top.select("question_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def search(questions: DataFrame, index: Bm25Index, k: int = fv.TOP_K, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """question_id, chunk_id, score, rank: hits within the first ``k`` places.
+
+    Places are counted over all chunks. A chunk that shares no token scores 0,
+    takes its place and is then left out, so matching chunks with a negative
+    score (possible only where the average idf is negative) come after all of
+    those. Equal scores rank matching chunks first, then by chunk_id. Scores
+    are rounded to 6 decimals so that ranks do not hang on summation order.
+
+    Question terms are broadcast. A batch with more than ``block_rows`` of them
+    is answered in blocks of whole questions, each of checked size: every block
+    reads the postings once more, but neither postings nor scored pairs are
+    ever shuffled by token. A block that is still too large (one huge
+    question) takes the shuffled join, whose skew AQE splits.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    weights = store(question_weights(questions, index), "weights")
+    rows = weights.count()
+    if rows <= block_rows:
+        return top_k(score(F.broadcast(weights), index), index, k)
+    blocks = 2 * math.ceil(rows / block_rows)
+    keyed = store(weights.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks))), "weights")
+    hits = []
+    for block, size in sorted((r["_block"], r["count"]) for r in keyed.groupBy("_block").count().collect()):
+        part = keyed.where(F.col("_block") == block).drop("_block")
+        part = F.broadcast(part) if size <= block_rows else part
+        hits.append(store(top_k(score(part, index), index, k), "hits"))
+    return reduce(DataFrame.unionByName, hits)

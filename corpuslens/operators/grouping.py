@@ -25,7 +25,9 @@ def bounded_parts(df: DataFrame, keys: list[str], order: list[str | Column], lim
         return df.withColumn("part", F.lit(0).cast("long"))
     big = broadcast_if_small(big)
     small = df.join(big, keys, "left_anti").withColumn("part", F.lit(0).cast("long"))
-    split = df.join(big, keys, "left_semi").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The row number lets ranges split even where keys and order are all equal.
+    split = df.join(big, keys, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    split = split.repartitionByRange(*keys, *order, "_row").sortWithinPartitions(*keys, *order, "_row").drop("_row")
     block = F.shiftright(F.monotonically_increasing_id(), limit.bit_length() - 1)
     return small.unionByName(split.withColumn("part", block + 1))
 
@@ -38,7 +40,8 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """
     # Numbers are fixed in the stored rows; sorting again could place equal
     # rows differently.
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row").withColumn(
         "_id", F.monotonically_increasing_id()
     )
     rows = store(rows, "ordered").withColumn("_p", F.shiftright("_id", _ROW_BITS))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
+from corpuslens.functions.messages import check_prompt
 from corpuslens.operators import bm25, chunks, evidence
-from corpuslens.operators.classify import Endpoint, classify
+from corpuslens.operators.classify import Endpoint, Transport, ask, classify, post_json, strict_boolean
 from corpuslens.session import store
 from corpuslens.sources import readers
 
@@ -50,6 +53,22 @@ def answer(
     return classify(rows, endpoint, **options)
 
 
+def classify_question(
+    spark: SparkSession, question: str, prompt: str, endpoint: Endpoint, index: bm25.Bm25Index, *,
+    k: int = fv.TOP_K, transport: Transport = post_json,
+) -> tuple[bool, list[dict]]:
+    """One question, interactively: (answer, evidence records by rank)."""
+    if not question.strip():
+        raise ValueError("the question must not be empty")
+    check_prompt(prompt)
+    rows = spark.createDataFrame([("1", question.strip())], "question_id string, question string")
+    hits, found = retrieve(rows, index, k)
+    message = evidence.messages_for(rows, [prompt], found).first()["message"]
+    records = evidence.evidence_json(hits, index.chunks).first()
+    value = strict_boolean(ask(endpoint.check(), message, transport))
+    return value, json.loads(records["evidence_json"]) if records else []
+
+
 def append_answers(answers: DataFrame, path: str) -> None:
     """Add answers to the run table (partitioned by prompt); committed per job,
     so a lost task is repeated and a stopped run resumes from what is saved.

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +20,14 @@ class InvalidInput(ValueError):
     """An input breaks a rule that has to hold before anything is computed."""
 
 
-def _files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
-    """Paths of the folder's files with this suffix, through Spark's file API."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path) or not fs.getFileStatus(jvm_path).isDirectory():
+def _json_glob(spark: SparkSession, folder: str) -> str | None:
+    """Pattern of the folder's JSON files; None where it has none."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path, pattern = jvm.Path(folder), f"{folder.rstrip('/')}/*.json"
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise FileNotFoundError(f"folder does not exist: {folder}")
-    return [s.getPath().toString() for s in fs.listStatus(jvm_path) if s.getPath().getName().endswith(suffix)]
+    return pattern if fs.globStatus(jvm.Path(pattern)) else None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -43,7 +49,7 @@ def read_page_json(spark: SparkSession, folders: list[str]) -> DataFrame:
     A file may hold ``{"pages": [...]}``, a plain list of pages or one page;
     anything that is not an object is skipped. Files are ordered by path parts.
     """
-    paths = [p for folder in folders for p in _files(spark, folder, ".json")]
+    paths = [p for p in (_json_glob(spark, folder) for folder in folders) if p]
     if not paths:
         raise FileNotFoundError("no page JSON files were found")
     raw = spark.read.text(paths, wholetext=True).select(
@@ -224,8 +230,20 @@ def with_cached_html(pages: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, sha256 of whole files."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256")
-    )
+    """path, sha256 of whole files, one task per file; files are streamed, so
+    their size does not matter."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = []
+            for path in batch["path"]:
+                files, inner = FileSystem.from_uri(path)
+                total = hashlib.sha256()
+                with files.open_input_stream(inner) as stream:
+                    while block := stream.read(1 << 20):
+                        total.update(block)
+                sums.append(total.hexdigest())
+            yield batch.assign(sha256=sums)
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    return rows.repartition(len(paths), "path").mapInPandas(digest, "path string, sha256 string")

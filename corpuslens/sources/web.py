@@ -49,6 +49,11 @@ def fetch_one(address: str, fetcher: Fetcher, timeout: float, sleep: Callable[[f
     raise AssertionError
 
 
+def robots_rules(fetcher: Fetcher = http_get, sleep: Callable[[float], None] = time.sleep) -> str:
+    """Text of the site's robots.txt; not being able to read it is an error."""
+    return fetch_one(f"{fv.SITE_BASE_URL}/robots.txt", fetcher, 30, sleep)
+
+
 def fetch_pages(
     pages: DataFrame, *, fetcher: Fetcher = http_get, timeout: float = 45, delay: float = 0.75,
     readers: int = 1, sleep: Callable[[float], None] = time.sleep,

@@ -18,6 +18,15 @@ def make_chunks(spark, texts):
     )
 
 
+_BUILT = {}
+
+
+def index_of(spark, name):
+    if name not in _BUILT:
+        _BUILT[name] = bm25.build_index(make_chunks(spark, CORPORA[name]))
+    return _BUILT[name]
+
+
 def brute(texts, question, k):
     find = re.compile(fv.TOKEN_PATTERN, re.IGNORECASE)
     docs = [[t.lower() for t in find.findall(x)] for x in texts]
@@ -60,7 +69,7 @@ QUESTIONS = [
 @pytest.mark.parametrize("k", [1, 6])
 def test_same_hits_as_scoring_everything(spark, name, k):
     texts = CORPORA[name]
-    index = bm25.build_index(make_chunks(spark, texts))
+    index = index_of(spark, name)
     questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
     got = {}
     for r in bm25.search(questions, index, k).orderBy("question_id", "rank").collect():
@@ -68,21 +77,19 @@ def test_same_hits_as_scoring_everything(spark, name, k):
     assert got == {i: hits for i, q in enumerate(QUESTIONS) if (hits := brute(texts, q, k))}
 
 
-def test_batches_too_large_to_broadcast_give_the_same(spark, monkeypatch):
-    index = bm25.build_index(make_chunks(spark, CORPORA["usual"]))
+@pytest.mark.parametrize("block_rows", [12, 1])
+@pytest.mark.parametrize("name", ["usual", "negative"])
+def test_batches_too_large_to_broadcast_give_the_same(spark, name, block_rows):
+    """Blocks of questions, and (at 1) questions too large for any block."""
+    index = index_of(spark, name)
     questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
     small = sorted(map(tuple, bm25.search(questions, index).collect()))
-    monkeypatch.setattr(bm25, "fits_broadcast", lambda df: False)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert sorted(map(tuple, bm25.search(questions, index).collect())) == small
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, bm25.search(questions, index, block_rows=block_rows).collect())) == small
 
 
 def test_postings_stay_in_place(spark, plan_of):
     """Scoring shuffles nothing but the k best per question and task."""
-    index = bm25.build_index(make_chunks(spark, CORPORA["usual"]))
+    index = index_of(spark, "usual")
     questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
     plan = plan_of(bm25.search(questions, index))
     above_join = plan[: plan.index("BroadcastHashJoin")]
@@ -91,6 +98,19 @@ def test_postings_stay_in_place(spark, plan_of):
     assert "Bucketed: true" in plan
 
 
+def test_index_build_shuffles_the_corpus_once(spark, plan_of):
+    """Deduplication leaves chunks partitioned by chunk_id; bucketing reuses that."""
+    from corpuslens.operators.chunks import keep_first
+
+    chunks = make_chunks(spark, CORPORA["usual"]).withColumns(
+        {"load_order": F.lit(1), "section_index": F.lit(1), "chunk_index": F.lit(1)})
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan_of(keep_first(chunks).repartition(buckets, "chunk_id")).count("Exchange") == 1
+    index = index_of(spark, "usual")
+    postings = bm25.make_postings(index.chunks).repartition(buckets, "chunk_id")
+    assert plan_of(postings).count("Exchange") == 0
+
+
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         bm25.build_index(make_chunks(spark, ["x"]).where("false"))
@@ -100,7 +120,7 @@ def test_bad_arguments(spark):
 
 
 def test_no_hit_gives_the_fixed_sentence(spark):
-    index = bm25.build_index(make_chunks(spark, CORPORA["usual"]))
+    index = index_of(spark, "usual")
     questions = spark.createDataFrame([("1", "nothing"), ("2", "gamma only5")], "question_id string, question string")
     rows = evidence.evidence_text(questions, bm25.search(questions, index, 2), index.chunks).orderBy("question_id").collect()
     assert rows[0]["evidence"] == fv.NO_EVIDENCE

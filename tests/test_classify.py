@@ -167,3 +167,17 @@ def test_streaming_run_answers_each_question_once(spark, tmp_path):
     assert run() == ["1", "2", "3"]
     assert run() == ["1", "2", "3"]
     assert run("lost-checkpoint") == ["1", "2", "3"]
+
+
+def test_single_question_with_evidence(spark):
+    from corpuslens.operators import bm25
+    from test_bm25 import make_chunks
+
+    index = bm25.build_index(make_chunks(spark, ["alpha beta", "gamma", "delta alpha"]))
+    value, records = retrieval.classify_question(spark, " alpha? ", "basic", Endpoint(), index, transport=even_length)
+    assert isinstance(value, bool) and [r["rank"] for r in records] == [1, 2]
+    with pytest.raises(ValueError):
+        retrieval.classify_question(spark, "  ", "basic", Endpoint(), index)
+    with pytest.raises(ValueError):
+        retrieval.classify_question(spark, "x", "other", Endpoint(), index)
+    assert retrieval.classify_question(spark, "zzz", "basic", Endpoint(), index, transport=even_length)[1] == []
