@@ -1 +1 @@
-"""See the package README."""
+"""Spark operators: chunks, BM25, evidence, model calls, pages, metrics, pairs, rules."""

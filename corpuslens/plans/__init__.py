@@ -1 +1 @@
-"""See the package README."""
+"""End-to-end jobs built from the operators."""

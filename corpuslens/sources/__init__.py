@@ -1 +1 @@
-"""See the package README."""
+"""Readers, writers and HTTP fetching."""

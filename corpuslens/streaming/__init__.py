@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming form of the resumable run."""
