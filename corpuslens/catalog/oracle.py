@@ -99,10 +99,10 @@ asked AS (SELECT CAST(item_id AS VARCHAR) AS question_id, lower(unnest({_TOKENS.
 qtf AS (SELECT question_id, token, count(*) AS q FROM asked GROUP BY ALL),
 scores AS (
   SELECT question_id, chunk_id,
-         round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (CAST(total AS DOUBLE) / n)))), 6) AS score
+         sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (CAST(total AS DOUBLE) / n)))) AS score
   FROM qtf JOIN idfs USING (token) JOIN tf USING (token) JOIN lens USING (chunk_id), n
   GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scores),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scores),
 hits AS (SELECT * FROM ranked WHERE rank <= 6)"""
 SQL["bm25_topk"] = f"WITH {HITS} SELECT question_id, chunk_id, round(score, 4) AS score, rank FROM hits"
 
@@ -478,7 +478,7 @@ walk AS (
 ends AS (SELECT page_id, p.tag, p.starts AS first, i AS last FROM (SELECT page_id, i, unnest(popped) AS p FROM walk)),
 texts AS (
   SELECT page_id, i, trim(replace(replace(replace(replace(replace(replace(replace(replace(
-                          tok, '&quot;', '"'), '&#x27;', ''''), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'),
+                          regexp_replace(tok, '&(amp|quot|lt|gt|#x27)$', '&\1;'), '&quot;', '"'), '&#x27;', ''''), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'),
                           '&nbsp;', chr(160)), '&amp;', '&'), E' \n\t\r') AS text
   FROM tok WHERE kind = 'text'),
 dropped AS (SELECT page_id, first, last FROM ends WHERE tag IN ('noscript', 'form', 'nav', 'footer', 'aside')),

@@ -240,8 +240,7 @@ def pending_after_checkpoint(spark, sf):
         "question_id", F.lit(True).alias("answer"), F.lit(fv.PROMPTS[0]).alias("prompt")
     )
     retrieval.append_answers(saved, path)
-    wanted = questions.select("question_id", F.explode(F.array(*[F.lit(p) for p in fv.PROMPTS])).alias("prompt"))
-    return wanted.join(retrieval.saved_answers(spark, path), ["question_id", "prompt"], "left_anti")
+    return retrieval.pairs(questions, fv.PROMPTS).join(retrieval.saved_answers(spark, path), ["question_id", "prompt"], "left_anti")
 
 
 @query

@@ -15,6 +15,9 @@ from corpuslens.operators.chunks import with_search_text
 from corpuslens.session import BROADCAST_ROWS, store, store_bucketed
 
 
+RANK_DIGITS = 6
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     chunks: DataFrame    # chunk rows, bucketed by chunk_id
@@ -107,18 +110,23 @@ def score(weights: DataFrame, index: Bm25Index) -> DataFrame:
     return (
         index.postings.join(weights, "token")
         .groupBy("question_id", "chunk_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
+        .agg(F.sum(part).alias("score"))
     )
 
 
+def rank_score() -> Column:
+    """Score for comparisons: without the noise of the order of summation."""
+    return F.round("score", RANK_DIGITS)
+
+
 def top_k(pairs: DataFrame, index: Bm25Index, k: int) -> DataFrame:
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    w = Window.partitionBy("question_id").orderBy(rank_score().desc(), "chunk_id")
     # row_number is pruned to k per task before the shuffle by question.
     top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if index.avg_idf < 0:
         unmatched = pairs.groupBy("question_id").agg((F.lit(index.n_chunks) - F.count("*")).alias("_gap"))
         top = top.join(unmatched, "question_id").withColumn(
-            "rank", F.col("rank") + F.when(F.col("score") < 0, F.col("_gap")).otherwise(F.lit(0))
+            "rank", F.col("rank") + F.when(rank_score() < 0, F.col("_gap")).otherwise(F.lit(0))
         )
         top = top.where(F.col("rank") <= k)
     return top.select("question_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
@@ -130,8 +138,8 @@ def search(questions: DataFrame, index: Bm25Index, k: int = fv.TOP_K, block_rows
     Places are counted over all chunks. A chunk that shares no token scores 0,
     takes its place and is then left out, so matching chunks with a negative
     score (possible only where the average idf is negative) come after all of
-    those. Equal scores rank matching chunks first, then by chunk_id. Scores
-    are rounded to 6 decimals so that ranks do not hang on summation order.
+    those. Scores equal in 6 decimals rank matching chunks first, then by
+    chunk_id, so that ranks do not hang on the order of summation.
 
     Question terms are broadcast. A batch with more than ``block_rows`` of them
     is answered in blocks of whole questions, each of checked size: every block

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from corpuslens.functions import text as tx
 from corpuslens.functions import web
 from corpuslens.operators.grouping import bounded_parts
+from corpuslens.session import store
 
 
 def _join(base: str, href: str) -> str | None:
@@ -56,7 +57,8 @@ def discover(found: DataFrame, only_content: bool = True, max_labels: int = 4096
     """
     if only_content:
         found = found.where(web.is_content_url(F.col("url")))
-    facts = found.select(
+    # Stored, because counting the groups and building them both read it.
+    facts = store(found.select(
         "url",
         F.inline(F.array(*[
             F.struct(F.lit(kind).alias("kind"), value.alias("value"))
@@ -64,7 +66,7 @@ def discover(found: DataFrame, only_content: bool = True, max_labels: int = 4096
                 ("collection", F.col("collection")), ("from", F.col("index_url")), ("label", tx.truthy(F.col("label")))
             )
         ])),
-    ).where(F.col("value").isNotNull()).distinct()
+    ).where(F.col("value").isNotNull()).distinct(), "facts")
     parts = bounded_parts(facts, ["url"], ["kind", "value"], max_labels)
 
     def values(kind: str):

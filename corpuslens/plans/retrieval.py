@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.functions.messages import check_prompt
+from corpuslens.functions.text import has_text
 from corpuslens.operators import bm25, chunks, evidence
 from corpuslens.operators.classify import Endpoint, Transport, ask, classify, post_json, strict_boolean
 from corpuslens.session import store
@@ -42,17 +43,26 @@ def answer(
     """question_id, prompt, answer, error for all pending (question, prompt).
 
     ``index`` turns retrieval on; it uses the raw question, not the prompt.
-    ``finished`` (question_id, prompt) is left out. One job answers all
-    questions under all prompts, so the corpus is scored once.
+    ``finished`` (question_id, prompt) is left out, before retrieval. One job
+    answers all questions under all prompts, so the corpus is scored once.
     """
-    asked = questions.where(F.trim("question") != "")
-    found = retrieve(asked, index, k)[1] if index is not None else None
-    rows = evidence.messages_for(asked.select("question_id", "question"), prompts, found)
+    asked = questions.select("question_id", "question").where(has_text(F.col("question")))
+    pending = None
     if finished is not None:
-        rows = rows.join(finished.select("question_id", "prompt"), ["question_id", "prompt"], "left_anti")
+        pending = store(pairs(asked, prompts).join(finished, ["question_id", "prompt"], "left_anti"), "pending")
+        asked = asked.join(pending, "question_id", "left_semi")
+    found = retrieve(asked, index, k)[1] if index is not None else None
+    rows = evidence.messages_for(asked, prompts, found)
+    if pending is not None:
+        rows = rows.join(pending, ["question_id", "prompt"], "left_semi")
     return classify(rows, endpoint, **options)
 
 
+def pairs(questions: DataFrame, prompts: list[str]) -> DataFrame:
+    """question_id, prompt for every question under every prompt."""
+    return questions.select("question_id", F.explode(F.array(*[F.lit(p) for p in prompts])).alias("prompt"))
+
+
 def classify_question(
     spark: SparkSession, question: str, prompt: str, endpoint: Endpoint, index: bm25.Bm25Index, *,
     k: int = fv.TOP_K, transport: Transport = post_json,
@@ -94,5 +104,4 @@ def resume(
     # Stored, because saving changes the folder that ``finished`` reads.
     finished = store(saved_answers(spark, path).select("question_id", "prompt"), "finished")
     append_answers(answer(questions, prompts, endpoint, finished=finished, **options), path)
-    wanted = questions.select("question_id", F.explode(F.array(*[F.lit(p) for p in prompts])).alias("prompt"))
-    return wanted.join(saved_answers(spark, path), ["question_id", "prompt"], "left_anti")
+    return pairs(questions, prompts).join(saved_answers(spark, path), ["question_id", "prompt"], "left_anti")
