@@ -64,7 +64,7 @@ SELECT doc_id,
        CASE doc_id % 3 WHEN 2 THEN 'general' ELSE source END AS topic,
        CASE doc_id % 3 WHEN 2 THEN 'unspecified' ELSE lang END AS audience,
        CASE doc_id % 3 WHEN 0 THEN 'Document ' || doc_id WHEN 1 THEN 'Summary' ELSE 'documents' END AS section
-FROM clean WHERE body <> '' AND doc_id % 5 <> 4"""
+FROM clean WHERE body <> '' AND source <> 'src3'"""
 
 SEARCH = CHUNKS + """,
 searchable AS (
@@ -179,14 +179,14 @@ _RULES = [
 def _answers(base: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS condition, '{p}' AS prompt, CAST(doc_id AS VARCHAR) AS question_id, ({rule}) AS answer "
-        f"FROM {base} WHERE doc_id % 17 <> {i}"
+        f"FROM {base} WHERE source <> 'src{i}'"
         for i, (c, p, rule) in enumerate(_RULES)
     )
 
 
 ANSWERS = f"""
 base AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS question_id, CAST(toxic AS VARCHAR) AS split, source AS cancer,
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS question_id, CAST(toxic AS VARCHAR) AS split, source, source AS cancer,
          'doc://' || doc_id AS question, quality = 1 AS correct_answer, lang, n_chars
   FROM labels JOIN documents USING (doc_id)),
 answers AS ({_answers('base')}),
@@ -381,7 +381,7 @@ FROM twice GROUP BY condition, prompt, question_id HAVING count(*) > 1
 UNION ALL
 SELECT 'answer_not_boolean', condition || '/' || prompt || '/' || question_id, answer_text FROM twice WHERE answer_text = 'maybe'"""
 SQL["missing_answers"] = """
-SELECT CAST(doc_id AS VARCHAR) AS question_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 17 = 0"""
+SELECT CAST(doc_id AS VARCHAR) AS question_id FROM labels JOIN documents USING (doc_id) WHERE source = 'src0'"""
 
 # --- web pages ------------------------------------------------------------------------
 SQL["canonical_urls"] = r"""

@@ -82,15 +82,16 @@ def chunk_dedupe_first(spark, sf):
 
 @query
 def page_defaults(spark, sf):
-    """Empty strings fall through to the defaults like missing fields."""
-    pages = tables.document_pages(spark, sf)
+    """Empty strings fall through to the defaults like missing fields; pages of
+    one source have no URL and are left out."""
+    pages = tables.document_pages(spark, sf).withColumn("source", F.col("topic"))
     empty = F.col("load_order") % 3
     pages = (
         pages.withColumn("summary_name", F.when(empty == 1, "Summary").otherwise(""))
         .withColumn("title", F.when(empty > 0, "").otherwise(F.col("title")))
         .withColumn("topic", F.when(empty == 2, "").otherwise(F.col("topic")))
         .withColumn("audience", F.when(empty == 2, None).otherwise(F.col("audience")))
-        .withColumn("url", F.when(F.col("load_order") % 5 == 4, "").otherwise(F.col("url")))
+        .withColumn("url", F.when(F.col("source") == "src3", "").otherwise(F.col("url")))
     )
     return chunks.usable_sections(pages).select(
         F.col("load_order").alias("doc_id"), "title", "cancer_type", "topic", "audience", "section"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.functions import web
 from corpuslens.operators import discovery, html
-from corpuslens.session import store
+from corpuslens.session import spread, store
 from corpuslens.sources import readers, writers
 from corpuslens.sources.web import fetch_pages
 
@@ -35,7 +35,7 @@ def pages_to_read(index_html: DataFrame) -> DataFrame:
 
 def parse(pages_html: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(page records, failures) of pages with html; scanned once, then stored."""
-    scanned = store(html.scan_pages(pages_html).drop("html"), "scanned")
+    scanned = store(html.scan_pages(spread(pages_html, "url")).drop("html"), "scanned")
     pages = html.parse_pages(scanned).withColumn(
         "raw_html_file", F.concat(F.lit("raw_html/"), web.raw_html_key(F.col("url")), F.lit(".html"))
     )
@@ -63,7 +63,8 @@ def crawl(
         found = discovery.allowed_by_robots(found, robots_text, user_agent)
     else:
         found = found.withColumn("allowed", F.lit(True))
-    # A URL whose labels span several rows is still read once.
+    # A URL whose labels span several rows is read once; all of its labels are
+    # in the table of discovered pages.
     wanted = found.where("allowed").dropDuplicates(["url"]).drop("part", "allowed")
     if use_cache and readers._exists(spark, f"{output}/raw_html"):
         cached = store(readers.with_cached_html(wanted, spark.read.parquet(f"{output}/raw_html")), "cached")
