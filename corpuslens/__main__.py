@@ -1,4 +1,4 @@
-"""Command line: crawl, answer and analyse."""
+"""Command line: crawl, answer, analyse and evaluate."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.operators import bm25, validate
 from corpuslens.operators.classify import Endpoint
-from corpuslens.plans import analysis, crawl, retrieval
+from corpuslens.plans import analysis, crawl, report, retrieval
 from corpuslens.session import ship_package
 from corpuslens.sources import readers, web
 
@@ -45,6 +45,10 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--rag-dir", required=True)
     r.add_argument("--non-rag-dir", required=True)
     r.add_argument("--output", required=True)
+
+    e = commands.add_parser("evaluate", help="metrics of one folder of answers")
+    e.add_argument("--questions", required=True)
+    e.add_argument("--results-dir", required=True)
     return parser
 
 
@@ -71,6 +75,13 @@ def main(argv: list[str] | None = None) -> int:
         ).count()
         print(f"{left} answers are still missing")
         return 1 if left else 0
+    elif args.command == "evaluate":
+        rows, common = analysis.evaluate(spark, args.questions, args.results_dir)
+        names = ["prompt"] + [f for f in fv.METRIC_FIELDS if f not in ("scope", "condition", "prompt")]
+        print(",".join(names))
+        for row in rows:
+            print(",".join(report.rate(row.get(name)) for name in names))
+        print(f"questions answered under all prompts: {common}")
     else:
         analysis.run(spark, args.questions, {"rag": args.rag_dir, "non_rag": args.non_rag_dir}, args.output)
     return 0

@@ -56,14 +56,11 @@ def term_counts(rows: DataFrame, text: Column) -> DataFrame:
 
 def make_postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, chunk_len, token, tf."""
-    counted = term_counts(chunks_text(chunks), F.col("search_text"))
+    rows = with_search_text(chunks).select("chunk_id", "search_text")
+    counted = term_counts(rows, F.col("search_text"))
     return counted.select("chunk_id", F.col("n_tokens").alias("chunk_len"), "token", "tf")
 
 
-def chunks_text(chunks: DataFrame) -> DataFrame:
-    return with_search_text(chunks).select("chunk_id", "search_text")
-
-
 def build_index(chunks: DataFrame) -> Bm25Index:
     """Tokenize once and store chunks, postings and term counts.
 

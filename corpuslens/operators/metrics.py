@@ -122,10 +122,13 @@ def subgroup_order(rows: DataFrame) -> DataFrame:
 
 
 def group_metrics(long: DataFrame, field: str) -> DataFrame:
-    """Short per-group table rounded to 4 decimals; an empty name is Unknown."""
+    """Short per-group table rounded to 4 decimals, larger groups first; an
+    empty name is Unknown."""
     name = F.coalesce(tx.truthy(F.col(field)), F.lit(fv.UNKNOWN_GROUP))
     rows = metrics_by(long.withColumn("group", name), "group")
-    return rows.select("group", "n", *[F.round(m, 4).alias(m) for m in ("accuracy", "precision", "recall", "f1")])
+    return rows.select("group", "n", *[F.round(m, 4).alias(m) for m in ("accuracy", "precision", "recall", "f1")]).orderBy(
+        F.desc("n"), "group"
+    )
 
 
 def common_metrics(sheet: DataFrame, condition: str) -> DataFrame:

@@ -55,6 +55,24 @@ def load(spark: SparkSession, question_file: str, folders: dict[str, str]) -> tu
     return questions, answers
 
 
+def evaluate(spark: SparkSession, question_file: str, folder: str) -> tuple[list[dict], int]:
+    """Metrics per prompt of one condition's answers, and the number of
+    questions that all prompts answered. Empty answer files are allowed, a
+    byte-order mark is not."""
+    questions = store(readers.read_questions(spark, question_file), "questions")
+    validate.require_none(validate.question_violations(questions, ["id", "correct_answer"]))
+    answers = store(
+        readers.read_experiment(spark, {"rag": folder}, allow_bom=False, allow_empty=True), "answers"
+    )
+    validate.require_none(validate.answer_violations(answers, questions))
+    sheet = store(metrics.score_sheet(answers, questions), "sheet")
+    rows = metrics.metrics_two_scopes(sheet).where("scope = 'available'").collect()
+    found = {r["prompt"]: r.asDict() for r in rows}
+    common = paired.common_ids(sheet, [metrics.run_column("rag", p) for p in fv.PROMPTS]).count()
+    empty = {"n": 0, "coverage": 0.0, "tp": 0, "tn": 0, "fp": 0, "fn": 0}
+    return [found.get(p, {"prompt": p, **empty}) for p in fv.PROMPTS], common
+
+
 def run(spark: SparkSession, question_file: str, folders: dict[str, str], output: str) -> Analysis:
     """The whole evaluation; ``folders`` maps each condition to its answers."""
     questions, answers = load(spark, question_file, folders)
