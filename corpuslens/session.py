@@ -87,7 +87,6 @@ def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
         df.repartition(buckets, key)
         .write.format("parquet")
         .bucketBy(buckets, key)
-        .sortBy(key)
         .option("path", f"{shared_dir(spark)}/{table}")
         .saveAsTable(table)
     )
