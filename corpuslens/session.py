@@ -34,6 +34,8 @@ def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
 
 
 _SHIPPED: set[str] = set()
+# Stand-in folders of local sessions without spark.checkpoint.dir.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -51,12 +53,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's spark.checkpoint.dir.
 
-    Only where none is configured (tests) is a temporary one set.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder stands in for an unset one. On a cluster an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _LOCAL_FOLDERS.get(context.applicationId) or tempfile.mkdtemp(prefix="corpuslens-")
+        _LOCAL_FOLDERS[context.applicationId] = folder
     return folder.rstrip("/")
 
 
