@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.llm.common import text_of
-from corpuslens.llm.wordscan import scan
+from corpuslens.llm.wordscan import scan, slices
 from corpuslens.session import store
 
 SHORTEST = 5
@@ -193,14 +193,15 @@ def contaminated(
     shift = np.uint64(64 - bitmap_bits)
 
     def hits(texts: pd.Series) -> pd.Series:
-        words = scan([t.lower() for t in texts])
-        grams, whole = words.grams(shortest)
-        at = (grams >> shift).astype(np.int64)
-        hit = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & whole)
-        cuts = np.searchsorted(hit, words.first)
-        return pd.Series([
-            np.unique(grams[hit[a:b]]).view(np.int64) if b > a else None for a, b in zip(cuts[:-1], cuts[1:])
-        ], dtype=object)
+        out = []
+        for part in slices(texts.tolist()):
+            words = scan([t.lower() for t in part])
+            grams, whole = words.grams(shortest)
+            at = (grams >> shift).astype(np.int64)
+            hit = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & whole)
+            cuts = np.searchsorted(hit, words.first)
+            out += [np.unique(grams[hit[a:b]]).view(np.int64) if b > a else None for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.Series(out, dtype=object)
 
     hit_udf = F.pandas_udf(hits, T.ArrayType(T.LongType()))
     some = store(

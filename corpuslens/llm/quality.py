@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import held_out, text_of
-from corpuslens.llm.wordscan import VISIBLE, scan
+from corpuslens.llm.wordscan import VISIBLE, scan, slices
 
 SAMPLE_ROWS = 6000
 SAMPLE_FEATURES = 1024
@@ -32,7 +32,6 @@ EPOCHS = 6
 RATE = 0.5
 GRAMS = (2, 3, 4)
 THRESHOLD = 0.7
-_SLICE = 200  # texts whose features are in memory at once
 
 
 @dataclass
@@ -82,7 +81,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int, per_row: int, bits:
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            buckets = [f for i in range(0, len(texts), _SLICE) for f in features(texts[i : i + _SLICE], bits)]
+            buckets = [f for part in slices(texts) for f in features(part, bits)]
             kept = [f[:: -(-len(f) // per_row)] if len(f) else f for f in buckets]
             yield pd.DataFrame({"label_id": batch["label_id"], "label": batch["label"], "buckets": [k.tobytes() for k in kept]})
 
@@ -133,13 +132,12 @@ def scorer(docs: DataFrame, model: Model, bits: int = BUCKET_BITS):
 
     def score(texts: pd.Series) -> pd.Series:
         own = shared.value
-        out = np.full(len(texts), own.prior)
-        texts = texts.tolist()
-        for at in range(0, len(texts), _SLICE):
-            for i, buckets in enumerate(features(texts[at : at + _SLICE], bits), at):
-                if len(buckets):
-                    out[i] = 1 / (1 + np.exp(-np.clip(own.weights[buckets].mean(dtype=np.float64) + own.bias, -500, 500)))
-        return pd.Series(out)
+        out = []
+        for part in slices(texts.tolist()):
+            for buckets in features(part, bits):
+                z = own.weights[buckets].mean(dtype=np.float64) + own.bias if len(buckets) else 0.0
+                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))) if len(buckets) else own.prior)
+        return pd.Series(out, dtype="float64")
 
     udf = F.pandas_udf(score, "double")
 

@@ -94,6 +94,7 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct ``fps``, as index pairs."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).reshape(len(fps), 8, 8)
     near = bits.sum(2, dtype=np.int8)  # coarser segments: still a lower bound
+    fps = fps.view(np.uint64)  # bits of a negative number would be those of its absolute value
     left = np.arange(len(fps))
     out, todo = [], []
     while len(left) or todo:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,23 @@ WORDS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 VISIBLE = np.array([not chr(b).isspace() or b >= 0x80 for b in range(256)])
 
 
+# Characters whose words are in memory at once, but for a single longer text.
+SLICE = 1 << 20
+
+
+def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``most`` characters."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -53,8 +71,11 @@ def scan(texts: list[str], inside: np.ndarray = WORDS) -> Words:
     first = np.cumsum(length) - length
     if len(start):
         powers = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-        place = np.arange(int(length.sum())) - np.repeat(first, length)
-        hashes = mixed(np.add.reduceat((buffer[word].astype(np.uint64) + np.uint64(1)) * powers[place], first))
+        place = np.arange(int(length.sum()), dtype=np.int32 if len(buffer) < 2**31 else np.int64)
+        place -= np.repeat(first.astype(place.dtype), length)
+        terms = powers[place]
+        terms *= buffer[word] + np.uint64(1)
+        hashes = mixed(np.add.reduceat(terms, first))
     else:
         hashes = np.zeros(0, np.uint64)
     return Words(buffer, start, end, hashes, np.searchsorted(start, bounds))
