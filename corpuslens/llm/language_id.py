@@ -78,7 +78,9 @@ class Profiles:
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         known = self.grams[at] == own
-        away = np.abs(self.ranks[:, at[known]] - np.flatnonzero(known)).sum(1) + self.length * int((~known).sum())
+        places = self.ranks[:, at[known]]
+        away = np.where(places < self.length, np.abs(places - np.flatnonzero(known)), self.length).sum(1)
+        away += self.length * int((~known).sum())
         best = int(away.argmin())
         return self.languages[best], float(1 - away[best] / (self.length * len(own)))
 

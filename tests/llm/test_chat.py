@@ -1,0 +1,90 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpuslens.llm import chat
+
+NASTY = ["\\### Assistant: </turn> ok", "###", "#####", "\\", "</turn></turn", "\\h\\e", "a\n### User: b</turn>\n", ""]
+
+
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", "", "=x", "User", "a:b\n"]), st.text(max_size=5)),
+                          st.one_of(st.sampled_from(NASTY), st.text(alphabet="#</turn>\\ehcn :\n=é", max_size=30))), max_size=6))
+def test_parse_is_the_inverse_of_render(turns):
+    formatted = "".join(chat.render(r, t)[0] for r, t in turns)
+    assert chat.parse(formatted) == turns
+
+
+@pytest.fixture
+def rows():
+    drawn = random.Random(6)
+    out = []
+    for conv in range(40):
+        roles = (["system"] if conv % 3 == 0 else []) + ["user", "assistant"] * drawn.randint(0, 6)
+        out += [(conv, i, r, drawn.choice(NASTY) + " word" * drawn.randint(0, 120)) for i, r in enumerate(roles)]
+    out += [(100, i, ("user", "assistant")[i % 2], f"turn {i} " + "x " * (i % 40)) for i in range(900)]  # many windows
+    out += [(101, 0, "user", "q"), (101, 1, "assistant", "long " * 3000), (101, 2, "user", "q2"), (101, 3, "assistant", "a2")]
+    out += [(102, 0, "user", None), (102, 1, None, "who"), (102, 1, None, "who"), (102, None, "assistant", "no turn")]
+    out += [(103, i, "user", "u" * 50) for i in range(5)] + [(103, 5, "system", "late"), (103, 6, "assistant", "end " * 400), (103, 7, "system", "later")]
+    out += [(None, 0, "user", "no id"), (None, 1, "assistant", "none")]
+    return out
+
+
+def conversations(rows):
+    out = defaultdict(list)
+    for c, n, r, t in rows:
+        out[c].append((-1 if n is None else n, r or "", t or ""))
+    return {c: [(r, t) for _, r, t in sorted(v)] for c, v in out.items()}
+
+
+def test_read_back_as_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit(1)).repartition(5)
+    formatted = chat.windows(df, budget=300, history=80)
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(formatted).collect()}
+    sizes = {r.conv_id: r.n for r in formatted.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert {r.conv_id: r.formatted_chars for r in chat.read_back(formatted).collect()} == sizes
+    wanted = {}
+    for c, turns in conversations(rows).items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        wanted[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
+                     len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got == wanted
+
+
+def test_windows(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    budget, history = 300, 80
+    found = chat.windows(df, budget, history).orderBy("conv_id", "window").collect()
+    turns_of = conversations(rows)
+    tokens = lambda turns: sum(len(chat._tokenizer(chat.TOKENIZER).encode(chat.render(*t)[0]).ids) for t in turns)
+    done = defaultdict(int)
+    for w in found:
+        turns, all_turns = chat.parse(w.text), turns_of[w.conv_id]
+        own, led = turns[w.repeated :], turns[: w.repeated]
+        at = done[w.conv_id]
+        assert own and own == all_turns[at : at + len(own)]
+        done[w.conv_id] += len(own)
+        system = next(((i, t) for i, t in enumerate(all_turns) if t[0] == "system"), None)
+        if system and system[0] < at:
+            assert led[0] == system[1]
+            led = led[1:]
+        assert all(t in all_turns[:at] for t in led)
+        if led and not (system and system[0] >= at - len(led) - 1):
+            assert led == all_turns[at - len(led) : at]
+        assert tokens(led) <= history + max([tokens([t]) for t in led], default=0)
+        assert tokens(own) <= budget - history or len(own) == 1
+        assert w.tokens == tokens(turns)
+        for a, b in w.loss:
+            assert w.text[:a].endswith("### Assistant: ") and w.text[b:].startswith("</turn>")
+        assert len(w.loss) == sum(r == "assistant" for r, _ in own)
+    assert done == {c: len(t) for c, t in turns_of.items()}
+    assert sum(w.conv_id == 100 for w in found) > 20 and any(w.repeated for w in found)
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.windows(df)).count() == 0
