@@ -20,11 +20,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +34,38 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
 SHARD_PIECES = 50_000
-_CACHED = 300_000
+_CACHED = 600_000
 
-# Fixed values of the tokenizer file: its pre-token pattern. Lower-casing comes first.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_UNUSUAL = re.compile(r"[^\t\n\r -~¡-ÿ]|<\|")
+# Fixed values of the tokenizer file: its pre-token pattern, here with its classes spelled
+# out for Latin-1. Lower-casing comes first.
+_LETTERS = "a-zªµºß-öø-ÿ"
+_DIGITS = "0-9²³¹¼-¾"
+_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_USUAL = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies (public rule)."""
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     others = (chr(256 + i) for i in range(256))
-    return [chr(b) if b in printable else next(others) for b in range(256)]
+    return {b: chr(b) if b in printable else next(others) for b in range(256)}
 
 
-class Encoder(dict):
-    """Token ids of texts, little-endian unsigned 32 bit; itself the cache of pre-tokens."""
+class _Bounded(dict):
+    """A cache that starts anew when it is full."""
+
+    def __init__(self, make, most: int = _CACHED) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
+class Encoder:
+    """Token ids of texts, little-endian unsigned 32 bit, with caches of words and of their pre-tokens."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -60,18 +75,24 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.plain = name == TOKENIZER
+        self.pretokens = _Bounded(self._pretoken)
+        self.words = _Bounded(lambda word: b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower()))))
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHED:
-            self.clear()
-        spelled = "".join([self.letters[b] for b in word.encode()])
-        self[word] = out = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return out
+    def _pretoken(self, pretoken: str) -> bytes:
+        # Visible ASCII letters stand for themselves.
+        spelled = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _usual(self, text: str) -> bool:
+        try:
+            return self.plain and "<|" not in text and not text.encode("latin-1").translate(None, _USUAL)
+        except UnicodeEncodeError:
+            return False
 
     def ids(self, text: str) -> bytes:
-        if not self.plain or _UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
+        if self._usual(text):
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -6,7 +6,7 @@ likelihood of its character transitions under the corpus's words, share of its
 letters in dictionary words, signs of a test or example path, secret or harmless
 words and assignment marks nearby. The forest learns from labelled findings of
 the learning folds: given ones, or those whose label is plain by itself (an assigned
-random-looking value; a number, mail address or value made of words).
+random-looking value; a number, mail address, name or value made of words).
 
 Dictionary and transitions are counted over all documents: words are
 pre-aggregated per task, and only a table of at most 27 x 27 transitions is
@@ -36,6 +36,8 @@ THRESHOLD = 0.5
 DICTIONARY_USES = 5
 SAMPLE_FINDINGS = 20_000
 TREES, DEPTH = 20, 6
+# Mean cost of a character's transition, in nats, below which a value reads like words.
+WORDLIKE = 3.0
 _NAME = "(?:api[_-]?key|access[_-]?key|passw(?:or)?d|passphrase|pwd|secret|token|credential)"
 
 RULES = {
@@ -132,6 +134,7 @@ def plain_label() -> Column:
         F.when((F.col("secret_words") == 1) & (F.col("assigned_mark") == 1) & random & (F.col("harmless_words") == 0), 1.0)
         .when((F.col("mail_mark") == 1) | F.col("value").rlike("^[0-9./:,_-]+$") | (F.col("dictionary_cover") > 0.8), 0.0)
         .when((F.col("secret_words") == 1) & (F.col("harmless_words") == 1), 0.0)
+        .when(F.col("value").rlike("^[A-Za-z][A-Za-z_.-]*[0-9]{0,2}$") & (F.col("transitions") < WORDLIKE), 0.0)
     )
 
 
