@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.spans import keyed
+from corpuslens.session import store
 
 K = 3
 COVER = 0.8
 SHIFT = 4  # widest step between neighbouring diagonals
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words before lower-casing.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Phrases that name a license, and the label of each.
 PHRASES = {
@@ -87,9 +90,9 @@ def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame
     rows = keyed(docs)
     known = templates(docs.sparkSession)
     of = ["doc_id", "text_key", "template", "label", "whole", "n_words"]
-    diagonals = (
+    diagonals = store(
         _votes(rows, known).withColumn("diagonal", F.col("at") - F.col("place"))
-        .groupBy(*of, "diagonal").agg(F.collect_set("place").alias("places"))
+        .groupBy(*of, "diagonal").agg(F.collect_set("place").alias("places")), "license-votes",
     )
     phrases = diagonals.where("whole and size(places) = n_words - 2").select(
         "doc_id", "text_key", "label", F.lit(True).alias("base"), F.col("diagonal").alias("begin"), F.lit(1.0).alias("cover")
@@ -120,7 +123,7 @@ def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame
         )
     )
     counted = rows.select(
-        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long").alias("n_words")
+        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words")
     )
     named = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return counted.join(
