@@ -442,7 +442,9 @@ SELECT name, CASE WHEN s = '' THEN 'unnamed' ELSE rtrim(left(s, 120), '_') END A
 SQL["cached_pages"] = """
 SELECT page_id, left(sha256(url), 20) AS key, CASE WHEN url LIKE 'https%' THEN length(html) END AS html_length FROM pages"""
 SQL["robots_allowed"] = """
-SELECT page_id, NOT (regexp_matches(url, '^https?://[^/]*/fr/') OR regexp_matches(url, '^https?://[^/]*/de/1')) AS allowed FROM pages"""
+SELECT page_id, regexp_matches(url, '^https?://[^/]*/fr/1')
+                OR NOT (regexp_matches(url, '^https?://[^/]*/fr/') OR regexp_matches(url, '^https?://[^/]*/de/1')) AS allowed
+FROM pages"""
 
 # HTML: tokens of every page, then an open-tag stack carried token by token. An
 # end tag closes its nearest open element and all inside it; void tags never

@@ -481,11 +481,12 @@ def html_sections(spark, sf):
 def html_links(spark, sf):
     """Links of all pages, grouped by target."""
     index = tables.html_pages(spark, sf).select("url", "html", F.col("collections")[0].alias("collection"))
-    found = discovery.links(html.scan_pages(index))
-    return discovery.discover(found, only_content=False).select(
+    facts = store(discovery.link_facts(discovery.links(html.scan_pages(index)), only_content=False), "facts")
+    # Origins have no bound here, so they are counted and not listed.
+    listed = discovery.discover(facts.where("kind <> 'from'"))
+    return discovery.link_counts(facts).select("url", "origins").join(listed, "url").select(
         "url", F.array_join("collections", "|").alias("collections"),
-        F.array_join("index_link_labels", "|").alias("labels"),
-        F.size("discovered_from").cast("long").alias("origins"),
+        F.array_join("index_link_labels", "|").alias("labels"), "origins",
     )
 
 
@@ -541,7 +542,11 @@ def cached_pages(spark, sf):
 
 @query
 def robots_allowed(spark, sf):
-    rules = "User-agent: *\nDisallow: /fr/\nDisallow: /de/1\nAllow: /\n"
+    """Groups of two agents, with rules that overlap: the first that fits decides."""
+    rules = (
+        "User-agent: other\nDisallow: /\n\nUser-agent: corpuslens\nAllow: /fr/1\nDisallow: /fr/\nDisallow: /de/1\n"
+        "Allow: /de/\n\nUser-agent: *\nDisallow: /es/\n"
+    )
     pages = tables.table(spark, sf, "pages").select("page_id", "url")
     return discovery.allowed_by_robots(pages, rules, "corpuslens").select("page_id", "allowed")
 

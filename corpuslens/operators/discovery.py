@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -12,8 +12,6 @@ from pyspark.sql.types import StringType
 
 from corpuslens.functions import text as tx
 from corpuslens.functions import web
-from corpuslens.operators.grouping import bounded_parts
-from corpuslens.session import store
 
 
 def _join(base: str, href: str) -> str | None:
@@ -47,18 +45,14 @@ def links(scanned: DataFrame) -> DataFrame:
     ).where(F.col("url").isNotNull())
 
 
-def discover(found: DataFrame, only_content: bool = True, max_labels: int = 4096) -> DataFrame:
-    """One row per URL with sorted sets of collections, labels and index pages.
+def link_facts(found: DataFrame, only_content: bool = True) -> DataFrame:
+    """url, kind (collection, from or label), value: what the links say about each URL, once.
 
-    Repeats are removed first, by (url, attribute, value), so that a URL linked
-    from a third of all pages is spread over all tasks. A URL with more than
-    ``max_labels`` distinct values of one attribute spans several rows
-    (one per ``part``), so no list grows without bound and none is cut.
+    A long table: a URL linked from a third of all pages is spread over all tasks.
     """
     if only_content:
         found = found.where(web.is_content_url(F.col("url")))
-    # Stored, because counting the groups and building them both read it.
-    facts = store(found.select(
+    return found.select(
         "url",
         F.inline(F.array(*[
             F.struct(F.lit(kind).alias("kind"), value.alias("value"))
@@ -66,26 +60,51 @@ def discover(found: DataFrame, only_content: bool = True, max_labels: int = 4096
                 ("collection", F.col("collection")), ("from", F.col("index_url")), ("label", tx.truthy(F.col("label")))
             )
         ])),
-    ).where(F.col("value").isNotNull()).distinct(), "facts")
-    parts = bounded_parts(facts, ["url"], ["kind", "value"], max_labels)
+    ).where(F.col("value").isNotNull()).distinct()
 
+
+def discover(facts: DataFrame) -> DataFrame:
+    """One row per URL with its sorted sets of collections, labels and index pages, from :func:`link_facts`.
+
+    A row holds the distinct values of one URL. Where those have no bound, read the
+    facts themselves, or :func:`link_counts`.
+    """
     def values(kind: str):
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    return parts.groupBy("url", "part").agg(
+    return facts.groupBy("url").agg(
         values("collection").alias("collections"),
         values("label").alias("index_link_labels"),
         values("from").alias("discovered_from"),
     )
 
 
-def allowed_by_robots(pages: DataFrame, robots_text: str, user_agent: str) -> DataFrame:
-    """Adds ``allowed``. The rules of the one site read travel with the UDF."""
+def link_counts(facts: DataFrame) -> DataFrame:
+    """One row per URL: number of different collections, labels and origins. Combined before the shuffle."""
+    names = {"collection": "collections", "label": "labels", "from": "origins"}
+    return facts.groupBy("url").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in names.items()])
+
 
-    @F.pandas_udf("boolean")
-    def allowed(urls: pd.Series) -> pd.Series:
-        rules = RobotFileParser()
-        rules.parse(robots_text.splitlines())
-        return urls.map(lambda u: rules.can_fetch(user_agent, u)).astype(bool)
+def robots_rules(robots_text: str, user_agent: str) -> list[tuple[bool, str]]:
+    """(allowed, path prefix) in order, for the first group that names the agent, else for all agents."""
+    parsed = RobotFileParser()
+    parsed.parse(robots_text.splitlines())
+    if parsed.disallow_all:
+        return [(False, "/")]
+    groups = [g for g in parsed.entries if g.applies_to(user_agent)] or [parsed.default_entry]
+    return [(r.allowance, unquote(r.path)) for r in groups[0].rulelines] if groups[0] else []
 
-    return pages.withColumn("allowed", allowed("url"))
+
+def allowed_by_robots(pages: DataFrame, robots_text: str, user_agent: str) -> DataFrame:
+    """Adds ``allowed``: what the first rule says whose path the URL's begins with; True without one.
+
+    The rules are read once, on the driver; URLs are tested by columns.
+    """
+    rest = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(rest, r"\+", "%2B")), rest)
+    path = F.when(decoded == "", "/").otherwise(decoded)
+    allowed = F.lit(None).cast("boolean")
+    for allow, prefix in reversed(robots_rules(robots_text, user_agent)):
+        hit = F.lit(True) if prefix == "*" else path.startswith(prefix)
+        allowed = F.when(hit, F.lit(allow)).otherwise(allowed)
+    return pages.withColumn("allowed", F.coalesce(allowed, F.lit(True)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from corpuslens.functions import web
 from corpuslens.operators import discovery, html
 from corpuslens.session import spread, store
 from corpuslens.sources import readers, writers
-from corpuslens.sources.web import fetch_pages
+from corpuslens.sources.web import fetch_pages, http_get
 
 
 def select_collections(names: list[str]) -> list[str]:
@@ -29,8 +31,11 @@ def index_pages(spark: SparkSession, collections: list[str]) -> DataFrame:
 
 
 def pages_to_read(index_html: DataFrame) -> DataFrame:
-    """Discovered pages from rows with collection, url and html."""
-    return discovery.discover(discovery.links(html.scan_pages(index_html)))
+    """Discovered pages from rows with collection, url and html.
+
+    There is one index page per collection, so the lists of a row are short.
+    """
+    return discovery.discover(discovery.link_facts(discovery.links(html.scan_pages(index_html))))
 
 
 def parse(pages_html: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +59,7 @@ def crawl(
     index = index_pages(spark, chosen)
     if robots_text is not None:
         index = discovery.allowed_by_robots(index, robots_text, user_agent).where("allowed").drop("allowed")
+    fetching = {"fetcher": partial(http_get, user_agent=user_agent), **fetching}
     index = store(fetch_pages(index, **fetching), "index")
     broken = index.where(F.col("html").isNull()).first()
     if broken:
@@ -63,9 +69,7 @@ def crawl(
         found = discovery.allowed_by_robots(found, robots_text, user_agent)
     else:
         found = found.withColumn("allowed", F.lit(True))
-    # A URL whose labels span several rows is read once; all of its labels are
-    # in the table of discovered pages.
-    wanted = found.where("allowed").dropDuplicates(["url"]).drop("part", "allowed")
+    wanted = found.where("allowed").drop("allowed")
     if use_cache and readers._exists(spark, f"{output}/raw_html"):
         cached = store(readers.with_cached_html(wanted, spark.read.parquet(f"{output}/raw_html")), "cached")
         have = cached.where(F.col("html").isNotNull()).withColumn("fetch_error", F.lit(None).cast("string"))
@@ -84,7 +88,7 @@ def crawl(
     )
     found.drop("allowed").write.mode("overwrite").json(f"{output}/discovered_pages")
     pages.write.mode("overwrite").json(f"{output}/all_pages")
-    writers.write_page_documents(pages, output)
+    files = writers.write_page_documents(pages, output)
     failed.write.mode("overwrite").json(f"{output}/failures")
     entities = store(writers.entity_manifest(pages), "manifest")
     entities.write.mode("overwrite").json(f"{output}/files")
@@ -93,6 +97,14 @@ def crawl(
         "schema_version": fv.SCHEMA_VERSION, "source": fv.PAGE_SOURCE, "collection": fv.PAGE_COLLECTION,
         "base_url": fv.SITE_BASE_URL, "collections_requested": chosen,
         "index_urls": {c: fv.INDEX_URLS[c] for c in chosen},
+        "generated_at": datetime.now(timezone.utc).isoformat(),
+        "cancer_files": [f for f in files if f.startswith("cancers/")],
+        "general_topic_files": [f for f in files if f.startswith("general_topics/")],
+        "failures": {r["reason"]: r["count"] for r in failed.select(
+            F.regexp_extract("reason", "^([A-Za-z_]+)", 1).alias("reason")).groupBy("reason").count().collect()},
+        "tables": {"files": "files", "failures": "failures", "pages": "all_pages", "discovered": "discovered_pages"},
+        "notes": ["A page is in the file of its cancer type, or of its title where it names none.",
+                  "Failed and disallowed pages are listed with their reasons in the failures table."],
     }
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{output}/manifest"

@@ -58,7 +58,7 @@ def read_page_json(spark: SparkSession, folders: list[str]) -> DataFrame:
     wrapped = F.try_variant_get("v", "$.pages", "variant")
     is_wrapper = _is(F.col("v"), "OBJECT") & _is(wrapped, "ARRAY")
     pages = raw.select(
-        F.regexp_replace("file", "^file:/+", "/").alias("source_file"),
+        F.url_decode(F.regexp_replace(F.regexp_replace("file", "^file:/+", "/"), r"\+", "%2B")).alias("source_file"),
         F.when(_is(F.col("v"), "OBJECT"), _text(F.col("v"), "$.cancer_type")).alias("outer_type"),
         F.posexplode(
             F.when(is_wrapper, F.try_variant_get("v", "$.pages", "array<variant>"))

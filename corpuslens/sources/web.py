@@ -6,9 +6,11 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 
@@ -16,9 +18,9 @@ from corpuslens import fixed_values as fv
 Fetcher = Callable[[str, float], tuple[int, dict, str]]
 
 
-def http_get(address: str, timeout: float) -> tuple[int, dict, str]:
+def http_get(address: str, timeout: float, user_agent: str = "corpuslens/1.0") -> tuple[int, dict, str]:
     request = urllib.request.Request(
-        address, headers={"User-Agent": "corpuslens/1.0", "Accept": "text/html", "Accept-Language": "en"}
+        address, headers={"User-Agent": user_agent, "Accept": "text/html", "Accept-Language": "en"}
     )
     try:
         with urllib.request.urlopen(request, timeout=timeout) as reply:
@@ -56,23 +58,25 @@ def robots_rules(fetcher: Fetcher = http_get, sleep: Callable[[float], None] = t
 
 def fetch_pages(
     pages: DataFrame, *, fetcher: Fetcher = http_get, timeout: float = 45, delay: float = 0.75,
-    readers: int = 1, sleep: Callable[[float], None] = time.sleep,
+    readers: int = 64, sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Adds html and fetch_error to rows with a ``url``.
 
-    The site's load is set by ``readers`` (tasks reading at a time) and
-    ``delay`` (seconds between two pages of one task).
+    Hosts are spread over ``readers`` tasks, each host whole in one, which waits
+    ``delay`` seconds between two of its pages: the load on a site does not
+    depend on the number of tasks.
     """
     schema = pages.schema.add("html", "string").add("fetch_error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started = False
+        seen = set()
         for batch in batches:
             bodies, errors = [], []
             for url in batch["url"]:
-                if started and delay > 0:
+                host = urlsplit(url).netloc.lower()
+                if host in seen and delay > 0:
                     sleep(delay)
-                started = True
+                seen.add(host)
                 try:
                     body, error = fetch_one(url, fetcher, timeout, sleep), None
                 except Exception as problem:
@@ -81,4 +85,5 @@ def fetch_pages(
                 errors.append(error)
             yield batch.assign(html=bodies, fetch_error=errors)
 
-    return pages.repartition(readers).mapInPandas(run, schema)
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return pages.repartition(readers, host).mapInPandas(run, schema)

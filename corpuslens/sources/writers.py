@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.functions import web
-from corpuslens.operators.grouping import bounded_parts
+from corpuslens.session import new_folder
 
 
 def csv_columns(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -65,55 +65,83 @@ def file_clashes(manifest: DataFrame) -> DataFrame:
                                         F.max("entity").alias("last")).where("n > 1")
 
 
-def page_documents(pages: DataFrame, max_pages: int = 1024) -> DataFrame:
-    """is_specific, entity, part, document: one JSON document per entity with
-    its pages sorted by topic, audience and title.
+PAGE_ORDER = ["topic", "audience", "title", "url"]
 
-    An entity with more than ``max_pages`` pages spans several documents of the
-    same layout, so one entity with a third of all pages still spreads out.
-    """
-    order = ["topic", "audience", "title", "url"]
-    rows = bounded_parts(entities(pages), ["is_specific", "entity"], order, max_pages)
-    page_columns = [c for c in pages.columns if c not in ("load_order", "source_file")]
-    page = F.struct(*page_columns)
-    grouped = rows.groupBy("is_specific", "entity", "part").agg(
-        F.array_sort(F.collect_list(F.struct(*order, page.alias("page")))).alias("ps")
-    )
-    shared = [
-        F.lit(fv.SCHEMA_VERSION).alias("schema_version"),
-        F.lit(fv.PAGE_SOURCE).alias("source"),
-        F.lit(fv.PAGE_COLLECTION).alias("collection"),
-    ]
-    rest = [
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at"),
-        F.size("ps").alias("page_count"),
-        F.transform("ps", lambda p: p["page"]).alias("pages"),
+
+def _head() -> list:
+    """Fields of a document before its pages. A specific entity has no scope, the others no type."""
+    specific = F.col("is_specific")
+    return [
+        F.lit(fv.SCHEMA_VERSION).alias("schema_version"), F.lit(fv.PAGE_SOURCE).alias("source"),
+        F.lit(fv.PAGE_COLLECTION).alias("collection"), F.when(specific, F.col("entity")).alias("cancer_type"),
+        F.when(~specific, F.lit(fv.GENERAL_SCOPE)).alias("scope"), F.when(~specific, F.col("entity")).alias("summary_name"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at"), "page_count",
     ]
-    # to_json leaves out NULL fields, so a specific entity has no scope.
-    body = F.to_json(
-        F.struct(
-            *shared,
-            F.when(F.col("is_specific"), F.col("entity")).alias("cancer_type"),
-            F.when(~F.col("is_specific"), F.lit(fv.GENERAL_SCOPE)).alias("scope"),
-            F.when(~F.col("is_specific"), F.col("entity")).alias("summary_name"),
-            *rest,
-        )
+
+
+def document_lines(pages: DataFrame) -> DataFrame:
+    """is_specific, entity, place, line: the JSON document of each entity, a line at a time.
+
+    Line 0 opens the document, then comes a line per page, by topic, audience, title
+    and URL, and a last one closes it. No row holds more than a page, whatever the
+    number of pages of an entity.
+    """
+    columns = [c for c in pages.columns if c not in ("load_order", "source_file")]
+    rows = entities(pages)
+    along = Window.partitionBy("is_specific", "entity").orderBy(*PAGE_ORDER)
+    place = F.row_number().over(along).cast("long")
+    body = rows.select("is_specific", "entity", place.alias("place"), F.to_json(F.struct(*columns)).alias("line"))
+    body = body.withColumn("line", F.when(F.col("place") > 1, F.concat(F.lit(","), "line")).otherwise(F.col("line")))
+    totals = rows.groupBy("is_specific", "entity").agg(F.count("*").alias("page_count"))
+    opening = F.regexp_replace(F.to_json(F.struct(*_head())), r"\}$", ',"pages":[')
+    ends = totals.select("is_specific", "entity", F.inline(F.array(
+        F.struct(F.lit(0).cast("long").alias("place"), opening.alias("line")),
+        F.struct((F.col("page_count") + 1).alias("place"), F.lit("]}").alias("line")),
+    )))
+    return body.unionByName(ends)
+
+
+def page_documents(pages: DataFrame) -> DataFrame:
+    """is_specific, entity, document: the JSON documents as one row each, for entities that fit a row."""
+    line = F.struct("place", "line")
+    return document_lines(pages).groupBy("is_specific", "entity").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("document")
     )
-    return grouped.select("is_specific", "entity", "part", body.alias("document"))
 
 
-def write_page_documents(pages: DataFrame, folder: str, max_pages: int = 1024) -> None:
-    """Documents under ``cancers/<slug>`` and ``general_topics/<slug>``."""
+def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
+    """Write ``cancers/<slug>.json`` and ``general_topics/<slug>.json``; returns these paths.
+
+    Lines are sorted in their task and streamed to the file of their entity.
+    """
     clash = file_clashes(entity_manifest(pages)).first()
     if clash:
         raise ValueError(f"{clash['first']!r} and {clash['last']!r} lead to the same file {clash['file']}")
-    docs = page_documents(pages, max_pages).withColumn("slug", tx.slugify("entity"))
-    for specific, name in ((True, "cancers"), (False, "general_topics")):
-        (
-            docs.where(F.col("is_specific") == specific)
-            .select(F.col("document").alias("value"), "slug")
-            .write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(f"{folder}/{name}")
-        )
+    spark = pages.sparkSession
+    made = new_folder(spark, "documents")
+    kind = F.when(F.col("is_specific"), "cancers").otherwise("general_topics")
+    (
+        document_lines(pages).select("line", "place", kind.alias("kind"), tx.slugify("entity").alias("slug"))
+        .repartition("kind", "slug").sortWithinPartitions("kind", "slug", "place").drop("place")
+        .write.partitionBy("kind", "slug").text(made)
+    )
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = lambda *parts: hadoop.Path("/".join(parts))
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = []
+    for kind in ("cancers", "general_topics"):
+        fs.delete(path(folder, kind), True)
+        fs.mkdirs(path(folder, kind))
+        source = path(made, f"kind={kind}")
+        for entity in fs.listStatus(source) if fs.exists(source) else []:
+            name = f"{kind}/{entity.getPath().getName().removeprefix('slug=')}.json"
+            parts = [p.getPath() for p in fs.listStatus(entity.getPath()) if p.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise RuntimeError(f"{name} has {len(parts)} parts")
+            if not hadoop.FileUtil.copy(fs, parts[0], fs, path(folder, name), True, spark._jsc.hadoopConfiguration()):
+                raise RuntimeError(f"{name} could not be written")
+            files.append(name)
+    return sorted(files)
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 import hashlib
 import json
-from pathlib import Path
+from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from corpuslens.functions.html_blocks import scan_page
 from corpuslens.operators import discovery, grouping, html
 from corpuslens.plans import crawl, retrieval
 from corpuslens.sources import web as fetching
-from corpuslens.sources import writers
+from corpuslens.sources import readers, writers
 
 PAGE = """<!DOCTYPE html><html><head><title>Site  title</title></head><body>
 <h1>Outside</h1><p>Before main</p>
@@ -90,28 +90,39 @@ def test_discovery_merges_and_splits_long_lists(spark):
     rows += [("c2", "https://www.cancer.gov/j/", "../y-PDQ#top", ""), ("c1", "https://www.cancer.gov/j/", "https://other.org/pdq", "z")]
     scanned = spark.createDataFrame(rows, "collection string, url string, href string, label string").select(
         "collection", "url", F.struct(F.array(F.struct("href", "label")).alias("links")).alias("scan"))
-    found = discovery.discover(discovery.links(scanned))
+    facts = discovery.link_facts(discovery.links(scanned))
+    found = discovery.discover(facts)
     got = {r["url"]: r for r in found.collect()}
     assert set(got) == {"https://www.cancer.gov/x-pdq", "https://www.cancer.gov/y-PDQ"}
     assert got["https://www.cancer.gov/x-pdq"]["index_link_labels"] == sorted({f"label {i}" for i in range(40)})
     assert got["https://www.cancer.gov/y-PDQ"]["index_link_labels"] == []
-    parts = discovery.discover(discovery.links(scanned), max_labels=8).where("url like '%/x-pdq'").collect()
-    assert len(parts) >= 6 and all(
-        len(p["index_link_labels"]) + len(p["collections"]) + len(p["discovered_from"]) <= 8 for p in parts)
-    assert sorted(x for p in parts for x in p["index_link_labels"]) == sorted({f"label {i}" for i in range(40)})
-
-
-def test_hot_group_is_split_and_kept_whole(spark):
-    rows = spark.range(5000).select(
-        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"),
-        F.col("id").alias("v"))
-    parts = grouping.bounded_parts(rows, ["k"], ["v"], 64)
-    sizes = parts.groupBy("k", "part").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 64
-    assert parts.select("k", "v").exceptAll(rows).isEmpty() and parts.count() == 5000
-    assert sizes.where("k <> 'hot'").agg(F.max("part")).first()[0] == 0
-    spans = parts.where("k = 'hot'").groupBy("part").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part").collect()
-    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+    counts = {r["url"]: (r["collections"], r["labels"], r["origins"]) for r in discovery.link_counts(facts).collect()}
+    assert counts == {"https://www.cancer.gov/x-pdq": (1, 40, 1), "https://www.cancer.gov/y-PDQ": (1, 0, 1)}
+
+
+def test_url_linked_by_a_third_of_all_pages_is_one_row(spark):
+    links = spark.range(100_000).select(
+        F.lit("c").alias("collection"), F.concat(F.lit("https://h.org/"), F.col("id")).alias("index_url"),
+        F.when(F.col("id") % 3 == 0, "https://h.org/hot").otherwise(F.concat(F.lit("https://h.org/p"), F.col("id") % 5000)).alias("url"),
+        F.concat(F.lit("label "), F.col("id") % 9000).alias("label"))
+    facts = discovery.link_facts(links, only_content=False)
+    rows = {r["url"]: r for r in discovery.discover(facts).collect()}
+    assert len(rows) == 5001
+    assert len(rows["https://h.org/hot"]["index_link_labels"]) == 3000 and len(rows["https://h.org/hot"]["discovered_from"]) == 33_334
+    assert discovery.link_counts(facts).where("url = 'https://h.org/hot'").first()["origins"] == 33_334
+
+
+def test_robots_rules_by_columns(spark, plan_of):
+    text = ("User-agent: a\nDisallow: /x\nAllow: /x/y\n\nUser-agent: b\nAllow: /x/y\nDisallow: /x\nDisallow: /q%20r\n\n"
+            "User-agent: *\nDisallow: /only\n")
+    urls = [f"https://h.org{p}" for p in ("", "/", "/x", "/x/y/z", "/xx", "/only/1", "/q%20r", "/q r", "/q+r", "/?x=1", "/é")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for agent in ("a", "b/2.0", "other"):
+        rules = RobotFileParser()
+        rules.parse(text.splitlines())
+        found = discovery.allowed_by_robots(df, text, agent)
+        assert {r["url"]: r["allowed"] for r in found.collect()} == {u: rules.can_fetch(agent, u) for u in urls}
+        assert "Python" not in plan_of(found)
 
 
 def test_positions(spark):
@@ -131,16 +142,17 @@ def pages_table(spark, n=10):
 
 def test_documents_by_entity_read_back_as_pages(spark, tmp_path):
     pages = pages_table(spark, 40)
-    writers.write_page_documents(pages, str(tmp_path / "out"), max_pages=4)
-    docs = {}
-    for f in (tmp_path / "out").glob("*/slug=*/part-*"):
-        for line in f.read_text().splitlines():
-            docs.setdefault(f.parts[-3] + "/" + f.parts[-2], []).append(json.loads(line))
-    assert set(docs) == {"cancers/slug=a"} | {f"general_topics/slug=s{i}" for i in range(5)}
-    assert all(d["page_count"] == len(d["pages"]) <= 4 for ds in docs.values() for d in ds)
-    assert sum(len(d["pages"]) for d in docs["cancers/slug=a"]) == 20
-    assert docs["cancers/slug=a"][0]["cancer_type"] == "A" and "scope" not in docs["cancers/slug=a"][0]
-    assert docs["general_topics/slug=s0"][0]["scope"] == fv.GENERAL_SCOPE
+    files = writers.write_page_documents(pages, str(tmp_path / "out"))
+    assert files == ["cancers/a.json"] + [f"general_topics/s{i}.json" for i in range(5)]
+    docs = {f: json.loads((tmp_path / "out" / f).read_text()) for f in files}
+    assert all(d["page_count"] == len(d["pages"]) for d in docs.values())
+    assert len(docs["cancers/a.json"]["pages"]) == 20
+    keys = [(p["topic"], p["audience"], p["title"], p["url"]) for p in docs["cancers/a.json"]["pages"]]
+    assert keys == sorted(keys)
+    assert docs["cancers/a.json"]["cancer_type"] == "A" and "scope" not in docs["cancers/a.json"]
+    assert docs["general_topics/s0.json"]["scope"] == fv.GENERAL_SCOPE
+    read = readers.read_page_json(spark, [str(tmp_path / "out" / "cancers"), str(tmp_path / "out" / "general_topics")])
+    assert sorted(r["url"] for r in read.collect()) == sorted(f"u{i}" for i in range(40))
     manifest = {r["entity"]: r for r in writers.entity_manifest(pages).collect()}
     assert (manifest["A"]["page_count"], manifest["A"]["file"], manifest["A"]["topics"]) == (20, "cancers/a.json", ["screening"])
 
@@ -188,11 +200,9 @@ def test_crawl_from_index_to_chunks(spark, tmp_path):
     assert (manifest["cancer_file_count"], manifest["general_topic_file_count"]) == (1, 0)
     reasons = {r["url"].rsplit("/", 1)[1]: r["reason"] for r in spark.read.json(f"{out}/failures").collect()}
     assert reasons == {"b-pdq": "RuntimeError: HTTP status 404", "c-pdq": "disallowed_by_robots_txt"}
-    saved = next(Path(out, "cancers", "slug=alpha_cancer").glob("part-*"))
-    folder = tmp_path / "json"
-    folder.mkdir()
-    (folder / "alpha.json").write_text(saved.read_text())
-    chunk = retrieval.load_chunks(spark, [str(folder)]).first()
+    assert manifest["cancer_files"] == ["cancers/alpha_cancer.json"] and manifest["general_topic_files"] == []
+    assert manifest["failures"] == {"RuntimeError": 1, "disallowed_by_robots_txt": 1}
+    chunk = retrieval.load_chunks(spark, [f"{out}/cancers"]).first()
     assert (chunk["cancer_type"], chunk["text"], chunk["audience"]) == ("Alpha Cancer", "Alpha Cancer text", "patient")
 
     site.pop(f"{base}/types/a/patient/a-pdq")  # now only in the snapshots
