@@ -37,7 +37,8 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--model")
     a.add_argument("--top-k", type=int, default=fv.TOP_K)
     a.add_argument("--first", type=int)
-    a.add_argument("--workers", type=int, default=8)
+    a.add_argument("--workers", type=int, default=8, help="requests at a time in a task")
+    a.add_argument("--tasks", type=int, help="tasks that send requests; by default one for each 200")
     a.add_argument("--max-attempts", type=int, default=3)
 
     r = commands.add_parser("analyse", help="compare the answers of both conditions")
@@ -71,8 +72,10 @@ def main(argv: list[str] | None = None) -> int:
         index = bm25.build_index(retrieval.load_chunks(spark, args.pages)) if args.pages else None
         left = retrieval.resume(
             chosen, args.prompts, endpoint, args.output, index=index, k=args.top_k, attempts=args.max_attempts,
-            threads=args.workers,
+            threads=args.workers, tasks=args.tasks,
         ).count()
+        if index:
+            index.close()
         print(f"{left} answers are still missing")
         return 1 if left else 0
     elif args.command == "evaluate":

@@ -166,7 +166,7 @@ def evidence_json_counts(spark, sf):
 def user_message(spark, sf):
     questions = tables.benchmark_questions(spark, sf)
     found = retrieval.retrieve(questions, document_index(spark, sf))[1]
-    return evidence.messages_for(questions, fv.PROMPTS, found)
+    return evidence.messages_for(found, fv.PROMPTS)
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.operators.chunks import with_search_text
-from corpuslens.session import BROADCAST_ROWS, store, store_bucketed
+from corpuslens.session import BROADCAST_ROWS, drop_bucketed, store, store_bucketed
 
 
 RANK_DIGITS = 6
@@ -27,6 +27,11 @@ class Bm25Index:
     total_len: int
     avg_idf: float
 
+    def close(self) -> None:
+        """Drop the bucketed tables from the catalog; their files stay with the shared folder."""
+        for table in (self.chunks, self.postings):
+            drop_bucketed(table)
+
     @property
     def avg_len(self) -> float:
         return self.total_len / self.n_chunks

@@ -16,15 +16,16 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions import messages
 
 # Sends one request body to one address with headers and a timeout (seconds);
 # gives the decoded reply.
 Transport = Callable[[str, dict, dict, float], dict]
 
+# Requests a task sends where the caller sets no number of tasks.
+TASK_REQUESTS = 200
+
 
 @dataclass(frozen=True)
 class Endpoint:
@@ -95,27 +96,34 @@ def ask(endpoint: Endpoint, message: str, transport: Transport = post_json) -> s
 
 
 def strict_boolean(text: str) -> bool:
-    """Same rule as ``messages.parse_response``, for the retry loop."""
+    """The Boolean of a reply; a name given twice counts as two fields.
+
+    ``messages.parse_response`` is the same rule for columns of stored replies.
+    """
     try:
-        value = json.loads(text)
+        fields = json.loads(text, object_pairs_hook=_Fields)
     except ValueError:
         raise ValueError("the reply is not valid JSON") from None
-    if not isinstance(value, dict) or list(value) != ["value"] or not isinstance(value["value"], bool):
+    if not isinstance(fields, _Fields) or [name for name, _ in fields] != ["value"] or not isinstance(fields[0][1], bool):
         raise ValueError("the reply must be an object with one Boolean 'value'")
-    return value["value"]
+    return fields[0][1]
+
+
+class _Fields(list):
+    """(name, value) pairs of a JSON object, repeated names included."""
 
 
 def ask_with_retry(
     endpoint: Endpoint, message: str, transport: Transport, attempts: int, sleep: Callable[[float], None]
-) -> tuple[str | None, str | None]:
-    """(reply text, None), or (None, reason) after the last attempt."""
+) -> tuple[bool | None, str | None]:
+    """(answer, None), or (None, reason) after the last attempt; no request without a message."""
+    if message is None:
+        return None, "ValueError: the question is blank"
     for attempt in range(attempts):
         if attempt:
             sleep(2 ** (attempt - 1))
         try:
-            text = ask(endpoint, message, transport)
-            strict_boolean(text)
-            return text, None
+            return strict_boolean(ask(endpoint, message, transport)), None
         except Exception as problem:
             reason = f"{type(problem).__name__}: {problem}"
     return None, reason
@@ -131,16 +139,17 @@ def classify(
     tasks: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """Adds answer (Boolean) and error to rows with a ``message``.
+    """Adds answer (Boolean) and error, one of them, to rows with a ``message``.
 
     ``tasks`` spreads the requests over that many tasks, ``threads`` overlaps
-    the waiting inside one; together they bound the concurrent requests.
+    the waiting inside one; together they bound the concurrent requests. Without
+    ``tasks`` there is one for each ``TASK_REQUESTS`` rows, which are counted.
     """
     if attempts < 1 or threads < 1:
         raise ValueError("attempts and threads must be at least 1")
     endpoint.check()
     keep = [c for c in rows.columns if c != "message"]
-    schema = rows.select(*keep).schema.add("reply", "string").add("error", "string")
+    schema = rows.select(*keep).schema.add("answer", "boolean").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
@@ -148,9 +157,7 @@ def classify(
                 done = list(pool.map(
                     lambda m: ask_with_retry(endpoint, m, transport, attempts, sleep), batch["message"]
                 ))
-                yield batch[keep].assign(reply=[d[0] for d in done], error=[d[1] for d in done])
+                yield batch[keep].assign(answer=[d[0] for d in done], error=[d[1] for d in done])
 
-    spread = rows.repartition(tasks) if tasks else rows
-    return spread.mapInPandas(run, schema).select(
-        *keep, messages.parse_response(F.col("reply")).alias("answer"), "error"
-    )
+    tasks = tasks or max(1, -(-rows.count() // TASK_REQUESTS))
+    return rows.repartition(tasks).mapInPandas(run, schema)

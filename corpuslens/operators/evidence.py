@@ -55,13 +55,16 @@ def evidence_json(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def messages_for(questions: DataFrame, prompts: list[str], evidence: DataFrame | None = None) -> DataFrame:
     """question_id, prompt, message for every question and prompt key.
 
-    With ``evidence`` (question_id, evidence) the retrieval wording is used,
-    without it the plain one. Prompt keys are few and fixed: exploding a
-    literal array replaces a cross product.
+    With ``evidence`` (question_id, evidence), or an ``evidence`` column in the
+    questions, the retrieval wording is used, without it the plain one. Prompt keys
+    are few and fixed: exploding a literal array replaces a cross product.
     """
     keys = F.array(*[F.lit(messages.check_prompt(p)) for p in prompts])
-    rows = questions.join(evidence.select("question_id", "evidence"), "question_id", "left") if evidence is not None \
-        else questions.withColumn("evidence", F.lit(None).cast("string"))
+    rows = questions
+    if evidence is not None:
+        rows = questions.join(evidence.select("question_id", "evidence"), "question_id", "left")
+    elif "evidence" not in questions.columns:
+        rows = questions.withColumn("evidence", F.lit(None).cast("string"))
     rows = rows.select("question_id", F.explode(keys).alias("prompt"), "question", "evidence")
     text = messages.render_prompt(F.col("prompt"), F.col("question"))
     return rows.select("question_id", "prompt", messages.user_message(text, F.col("evidence")).alias("message"))

@@ -15,6 +15,9 @@ from corpuslens.operators.classify import Endpoint, Transport, ask, classify, po
 from corpuslens.session import store
 from corpuslens.sources import readers
 
+# Requests between two commits of a run.
+BLOCK_ROWS = 5_000
+
 
 def load_chunks(
     spark: SparkSession, folders: list[str], target: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP
@@ -30,32 +33,43 @@ def retrieve(questions: DataFrame, index: bm25.Bm25Index, k: int = fv.TOP_K) ->
     return hits, evidence.evidence_text(questions, hits, index.chunks)
 
 
-def answer(
-    questions: DataFrame,
-    prompts: list[str],
-    endpoint: Endpoint,
-    *,
-    index: bm25.Bm25Index | None = None,
-    finished: DataFrame | None = None,
+def to_ask(
+    questions: DataFrame, prompts: list[str], *, index: bm25.Bm25Index | None = None, finished: DataFrame | None = None,
     k: int = fv.TOP_K,
-    **options,
 ) -> DataFrame:
-    """question_id, prompt, answer, error for all pending (question, prompt).
+    """question_id, prompt, message for all pending (question, prompt), stored.
 
     ``index`` turns retrieval on; it uses the raw question, not the prompt.
-    ``finished`` (question_id, prompt) is left out, before retrieval. One job
-    answers all questions under all prompts, so the corpus is scored once.
+    ``finished`` (question_id, prompt) is left out, before retrieval. The corpus is
+    scored once for all prompts. A blank question has no message.
     """
-    asked = questions.select("question_id", "question").where(has_text(F.col("question")))
+    asked = questions.select("question_id", "question")
     pending = None
     if finished is not None:
         pending = store(pairs(asked, prompts).join(finished, ["question_id", "prompt"], "left_anti"), "pending")
         asked = asked.join(pending, "question_id", "left_semi")
-    found = retrieve(asked, index, k)[1] if index is not None else None
-    rows = evidence.messages_for(asked, prompts, found)
+    asked = store(asked, "asked")
+    full = asked.where(has_text(F.col("question")))
+    rows = evidence.messages_for(retrieve(full, index, k)[1] if index is not None else full, prompts)
+    blank = pairs(asked.where(~has_text(F.col("question"))), prompts).withColumn("message", F.lit(None).cast("string"))
+    rows = rows.unionByName(blank)
     if pending is not None:
         rows = rows.join(pending, ["question_id", "prompt"], "left_semi")
-    return classify(rows, endpoint, **options)
+    return store(rows, "to-ask")
+
+
+def answer(
+    questions: DataFrame,
+    prompts: list[str],
+    endpoint: Endpoint,
+    *,
+    index: bm25.Bm25Index | None = None,
+    finished: DataFrame | None = None,
+    k: int = fv.TOP_K,
+    **options,
+) -> DataFrame:
+    """question_id, prompt, answer, error for all pending (question, prompt); see :func:`to_ask`."""
+    return classify(to_ask(questions, prompts, index=index, finished=finished, k=k), endpoint, **options)
 
 
 def pairs(questions: DataFrame, prompts: list[str]) -> DataFrame:
@@ -80,14 +94,25 @@ def classify_question(
 
 
 def append_answers(answers: DataFrame, path: str) -> None:
-    """Add answers to the run table (partitioned by prompt); committed per job,
-    so a lost task is repeated and a stopped run resumes from what is saved.
+    """Add answers to the run table (partitioned by prompt), committed as one job.
     Failed rows are not written and stay pending."""
     answers.where(F.col("answer").isNotNull()).select(
         "question_id", F.col("answer").cast("string").alias("answer"), "prompt"
     ).write.mode("append").partitionBy("prompt").csv(path, header=True)
 
 
+def answer_in_blocks(rows: DataFrame, endpoint: Endpoint, path: str, block_rows: int = BLOCK_ROWS, **options) -> None:
+    """Ask for the stored ``rows`` of :func:`to_ask` and save the answers.
+
+    Every block of about ``block_rows`` requests is a job with a commit of its own:
+    a run that is stopped loses one block at most, and ``resume`` asks for the rest.
+    """
+    blocks = max(1, -(-rows.count() // block_rows))
+    for block in range(blocks):
+        mine = rows.where(F.pmod(F.xxhash64("question_id", "prompt"), F.lit(blocks)) == block)
+        append_answers(classify(mine, endpoint, **options), path)
+
+
 def saved_answers(spark: SparkSession, path: str) -> DataFrame:
     """question_id, answer, prompt saved so far by :func:`append_answers`."""
     schema = "question_id string, answer string, prompt string"
@@ -97,11 +122,12 @@ def saved_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resume(
-    questions: DataFrame, prompts: list[str], endpoint: Endpoint, path: str, **options
+    questions: DataFrame, prompts: list[str], endpoint: Endpoint, path: str, *, index: bm25.Bm25Index | None = None,
+    k: int = fv.TOP_K, block_rows: int = BLOCK_ROWS, **options,
 ) -> DataFrame:
-    """Answer what is not saved yet, save it, and return what still is missing."""
+    """Answer what is not saved yet, save it block by block, and return what still is missing."""
     spark = questions.sparkSession
-    # Stored, because saving changes the folder that ``finished`` reads.
-    finished = store(saved_answers(spark, path).select("question_id", "prompt"), "finished")
-    append_answers(answer(questions, prompts, endpoint, finished=finished, **options), path)
+    finished = saved_answers(spark, path).select("question_id", "prompt")
+    rows = to_ask(questions, prompts, index=index, finished=finished, k=k)
+    answer_in_blocks(rows, endpoint, path, block_rows, **options)
     return pairs(questions, prompts).join(saved_answers(spark, path), ["question_id", "prompt"], "left_anti")

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 # Rows above which a side is never broadcast; at ~100 bytes a row this is far
 # below the executor memory any cluster gives.
 BROADCAST_ROWS = 500_000
+# Data in one bucket of a stored table, where the number of buckets allows.
+BUCKET_BYTES = 256 << 20
+# Catalyst's size of a source whose size it does not know is above this.
+UNKNOWN_BYTES = 1 << 60
 
 
 def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
@@ -34,7 +38,8 @@ def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
 
 
 _SHIPPED: set[str] = set()
-# Stand-in folders of local sessions without spark.checkpoint.dir.
+# Catalog names of bucketed tables, by their DataFrame; stand-in folders of local sessions without spark.checkpoint.dir.
+_TABLES: dict[int, str] = {}
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -83,11 +88,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """Buckets for ``size`` bytes: as many as shuffle partitions or, above that, one
+    per ``BUCKET_BYTES``, within what Spark allows."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    wished = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return min(wished, most)
+
+
 def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like :func:`store`, but bucketed by ``key`` so that later joins and
-    aggregations on ``key`` need no exchange."""
+    aggregations on ``key`` need no exchange.
+
+    The size is that of the files read, as Catalyst knows it; where it knows none,
+    the number of shuffle partitions decides. :func:`drop_bucketed` takes the table away.
+    """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    buckets = bucket_count(spark, sum(s for s in sizes if s < UNKNOWN_BYTES))
     table = f"{name}_{uuid.uuid4().hex}"
     (
         df.repartition(buckets, key)
@@ -96,7 +115,16 @@ def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
         .option("path", f"{shared_dir(spark)}/{table}")
         .saveAsTable(table)
     )
-    return spark.table(table)
+    stored = spark.table(table)
+    _TABLES[id(stored)] = table
+    return stored
+
+
+def drop_bucketed(stored: DataFrame) -> None:
+    """Drop the catalog entry of a table that :func:`store_bucketed` made."""
+    table = _TABLES.pop(id(stored), None)
+    if table:
+        stored.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from corpuslens import fixed_values as fv
 from corpuslens.operators.classify import Endpoint
 from corpuslens.plans import retrieval
-from corpuslens.session import store
 
 
 def read_question_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +29,12 @@ def answer_stream(
     """
 
     def one_batch(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = store(retrieval.saved_answers(spark, path).select("question_id", "prompt"), "finished")
-        retrieval.append_answers(
-            retrieval.answer(batch.dropDuplicates(["question_id"]), prompts, endpoint, finished=done, **options), path
-        )
+        # Read straight from the run table: what is pending is stored before any answer is added.
+        finished = retrieval.saved_answers(batch.sparkSession, path).select("question_id", "prompt")
+        index, k = options.get("index"), options.get("k", fv.TOP_K)
+        rows = retrieval.to_ask(batch.dropDuplicates(["question_id"]), prompts, index=index, finished=finished, k=k)
+        others = {name: value for name, value in options.items() if name not in ("index", "k")}
+        retrieval.answer_in_blocks(rows, endpoint, path, **others)
 
     return (
         questions.writeStream.foreachBatch(one_batch)

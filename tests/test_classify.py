@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
+from corpuslens import session
 from corpuslens.functions import messages
 from corpuslens.operators import classify, evidence
 from corpuslens.operators.classify import Endpoint
@@ -21,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REPLIES = {
     '{"value": true}': True, '{"value": false}': False, ' {"value":false}\n': False, "true": None, '{"value": "true"}': None,
     "{}": None, '{"value": true, "explanation": "..."}': None, '[{"value": true}]': None, '{"value": null}': None,
-    '{"value": 1}': None, '{"Value": true}': None, "": None, '{"value": true': None, '{"value": {"value": true}}': None,
+    '{"value": true, "value": true}': None, '{"value": 1}': None, '{"Value": true}': None, "": None, '{"value": true': None, '{"value": {"value": true}}': None,
 }
 
 
@@ -104,6 +105,7 @@ def test_retry_waits_then_gives_up():
         raise OSError("down")
 
     assert classify.ask_with_retry(Endpoint(), "m", failing, 3, waits.append) == (None, "OSError: down")
+    assert classify.ask_with_retry(Endpoint(), None, failing, 3, waits.append) == (None, "ValueError: the question is blank")
     assert len(calls) == 3 and waits == [1, 2]
 
 
@@ -146,6 +148,48 @@ def test_one_failure_does_not_stop_the_rest_and_stays_pending(spark, tmp_path):
     assert readers.read_answers(spark, f"{path}/prompt=basic").count() == 9
 
 
+def test_blank_question_has_a_reason(spark):
+    df = spark.createDataFrame([("1", "q"), ("2", "  "), ("3", None)], "question_id string, question string")
+    rows = retrieval.answer(df, ["basic"], Endpoint(), transport=even_length).collect()
+    assert {r["question_id"]: r["error"] for r in rows} == {"1": None} | dict.fromkeys("23", "ValueError: the question is blank")
+
+
+def test_stopped_run_keeps_its_blocks(spark, tmp_path):
+    """The second block's job breaks off; the first one's answers are there, and only the rest is asked again."""
+    path, asked = str(tmp_path / "run"), []
+    rows = retrieval.to_ask(questions(spark, 40).where("question <> 'broken'"), ["basic"])
+    real = retrieval.append_answers
+
+    def stops(answers, where):
+        if asked:
+            raise KeyboardInterrupt
+        asked.append(1)
+        real(answers, where)
+
+    retrieval.append_answers = stops
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            retrieval.answer_in_blocks(rows, Endpoint(), path, 10, transport=even_length)
+    finally:
+        retrieval.append_answers = real
+    saved = {r["question_id"] for r in retrieval.saved_answers(spark, path).collect()}
+    assert 0 < len(saved) < 39
+    left = retrieval.resume(questions(spark, 40), ["basic"], Endpoint(), path, block_rows=10, transport=even_length, sleep=no_wait)
+    assert [r["question_id"] for r in left.collect()] == ["4"]
+    assert retrieval.saved_answers(spark, path).count() == 39
+
+
+def test_buckets_have_a_bound(spark):
+    assert session.bucket_count(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.bucket_count(spark, 300 * session.BUCKET_BYTES) == 300
+    assert session.bucket_count(spark, 10**6 * session.BUCKET_BYTES) == 100_000
+    stored = session.store_bucketed(spark.range(5), "five", "id")
+    name = session._TABLES[id(stored)]
+    assert spark.catalog.tableExists(name)
+    session.drop_bucketed(stored)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_streaming_run_answers_each_question_once(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
