@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import text_of
+from corpuslens.session import store
 
 BUDGET = 1024
 HISTORY = 256
@@ -127,9 +128,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     turns = conversations.select(
         "conv_id", "turn", text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).alias("block"),
-    ).withColumn("tokens", _token_counts(tokenizer)("role", "text"))
+    )
+    turns = store(turns.withColumn("tokens", _token_counts(tokenizer)("role", "text")), "counted-turns")
     # A turn longer than the span ends it: what starts in the same multiple comes before it.
-    own = _placed(turns).withColumn("window", 2 * F.floor(F.col("start") / span) + (F.col("tokens") > span).cast("long"))
+    own = store(
+        _placed(turns).withColumn("window", 2 * F.floor(F.col("start") / span) + (F.col("tokens") > span).cast("long")), "turns"
+    )
     begun = own.groupBy(F.col("conv_id").alias("w_conv"), F.col("window").alias("w")).agg(F.min("start").alias("w_start"))
     system = own.where(F.col("role") == SYSTEM).groupBy(F.col("conv_id").alias("s_conv")).agg(
         F.min(F.struct("place", "window", "role", "text", "tokens")).alias("s")
