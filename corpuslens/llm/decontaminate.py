@@ -41,7 +41,7 @@ from corpuslens.session import store
 SHORTEST = 5
 COVER = 0.8
 FIRST_SEARCH = 20
-BITMAP_BITS = 22
+BITMAP_BITS = 25
 _TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 _PRIME = (1 << 61) - 1
 
