@@ -368,6 +368,25 @@ WITH ids AS (
 SELECT question_id, row_number() OVER (
   ORDER BY TRY_CAST(question_id AS BIGINT) IS NULL, TRY_CAST(question_id AS BIGINT), question_id) AS position
 FROM ids"""
+SQL["question_violations"] = """
+WITH q AS (
+  SELECT doc_id AS i, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS ord,
+         CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN CAST(doc_id - doc_id % 13 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS id,
+         doc_id % 17 = 0 AS odd, quality, source, lang
+  FROM labels JOIN documents USING (doc_id)),
+f AS (
+  SELECT *, array_to_string(list_sort(list_filter([
+           CASE WHEN i % 21 = 0 OR source IS NULL THEN 'cancer' END, CASE WHEN i % 3 = 0 AND quality IS NULL THEN 'correct_answer' END,
+           CASE WHEN i % 7 = 0 OR lang IS NULL THEN 'split' END], lambda x: x IS NOT NULL)), ',') AS missing
+  FROM q),
+v AS (
+  SELECT 'not_an_object' AS rule, '' AS detail, CAST(ord AS VARCHAR) AS key FROM f WHERE odd
+  UNION ALL SELECT 'missing_fields', missing, CAST(ord AS VARCHAR) FROM f WHERE NOT odd AND missing <> ''
+  UNION ALL SELECT 'blank_id', '', CAST(ord AS VARCHAR) FROM f WHERE NOT odd AND missing = '' AND id = ''
+  UNION ALL SELECT 'repeated_question_id', CAST(count(*) AS VARCHAR), id FROM f WHERE NOT odd AND missing = '' GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'blank_question', '', id FROM f WHERE NOT odd AND missing = '' AND i % 5 = 0
+  UNION ALL SELECT 'label_not_boolean', CASE i % 3 WHEN 1 THEN 'STRING' ELSE 'BIGINT' END, id FROM f WHERE NOT odd AND missing = '' AND i % 3 <> 0)
+SELECT rule, detail, count(*) AS violations, min(key) AS first_key FROM v GROUP BY rule, detail"""
 SQL["validation_violations"] = f"""
 WITH a AS ({_answers('documents')}),
 t AS (SELECT *, CASE WHEN question_id LIKE '%7' THEN 'maybe' ELSE CAST(answer AS VARCHAR) END AS answer_text FROM a),
@@ -527,6 +546,28 @@ SELECT url, {_TOPICS}[least(page_id % 7, page_id % 5) + 1] AS topic, 'unspecifie
        CAST(NULL AS VARCHAR) AS last_updated, content_sha256, section_count,
        'raw_html/' || left(sha256(url), 20) || '.html' AS raw_html_file
 FROM c JOIN titles USING (page_id) JOIN rec USING (page_id)"""
+SQL["html_heading_levels"] = r"""
+WITH d AS (
+  SELECT 'doc://' || doc_id AS url, 'Document ' || doc_id AS title, doc_id % 2 = 0 AS main, source, lang,
+         trim(regexp_replace('Text: ' || text, '\\s+', ' ', 'g')) AS body
+  FROM documents),
+s AS (
+  SELECT url, title, unnest(CASE WHEN main THEN [
+      {'pos': 0, 'section': 'Document', 'path': '', 'notice': false, 'n': 1, 'text': 'Intro'},
+      {'pos': 1, 'section': title, 'path': title, 'notice': false, 'n': 1, 'text': body},
+      {'pos': 2, 'section': 'Treatment', 'path': title || ' > Treatment', 'notice': false, 'n': 2, 'text': '- one' || chr(10) || '- two b'},
+      {'pos': 3, 'section': 'Stage', 'path': title || ' > Treatment > Stage', 'notice': false, 'n': 2,
+       'text': 'A | ' || lang || chr(10) || 'B'}]
+    ELSE [
+      {'pos': 0, 'section': 'Deep', 'path': title || ' > Deep', 'notice': false, 'n': 1, 'text': body},
+      {'pos': 1, 'section': 'Contact Us', 'path': title || ' > Contact Us', 'notice': true, 'n': 1, 'text': source},
+      {'pos': 2, 'section': 'Child', 'path': title || ' > Contact Us > Child', 'notice': true, 'n': 1, 'text': 'c'},
+      {'pos': 3, 'section': 'Next', 'path': title || ' > Next', 'notice': false, 'n': 1, 'text': 'same'},
+      {'pos': 4, 'section': 'Next', 'path': title || ' > Next', 'notice': false, 'n': 1, 'text': 'last'}] END) AS s
+  FROM d)
+SELECT url, title, CAST(s.pos AS BIGINT) AS pos, s.section AS section, s.path AS path, s.notice AS is_boilerplate,
+       CAST(s.n AS BIGINT) AS block_count, sha256(s.text) AS text_hash
+FROM s""".replace("\\\\", "\\")
 SQL["html_links"] = f"""
 WITH {HTML},
 anchors AS (

@@ -401,6 +401,31 @@ def validation_violations(spark, sf):
     return validate.answer_violations(answers, known)
 
 
+@query
+def question_violations(spark, sf):
+    """Question files, one JSON array per thousand documents, written, read back and checked by every rule."""
+    rows = tables.table(spark, sf, "labels").join(tables.table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    i = F.col("doc_id")
+    shown = F.when(i % 11 == 0, " ").when(i % 13 == 0, F.concat(F.lit(" "), (i - i % 13).cast("string"), F.lit(" "))).otherwise(i.cast("string"))
+    item = F.to_json(F.struct(
+        shown.alias("id"), F.when(i % 7 != 0, F.col("lang")).alias("split"), F.when(i % 21 != 0, F.col("source")).alias("cancer"),
+        F.when(i % 5 == 0, "  ").otherwise(F.concat(F.lit("doc "), i)).alias("question"),
+        F.when(i % 3 == 0, (F.col("quality") == 1)).alias("correct_answer"),
+    ))
+    # A label that is text or a number, and items that are no objects.
+    item = F.when(i % 3 == 1, F.regexp_replace(item, r"\}$", ',"correct_answer":"true"}')).when(
+        i % 3 == 2, F.regexp_replace(item, r"\}$", ',"correct_answer":1}')).otherwise(item)
+    item = F.when(i % 17 == 0, F.lit("[1]")).otherwise(item)
+    folder = new_folder(spark, "questions")
+    (
+        rows.groupBy(F.floor(i / 1000).alias("file")).agg(F.array_sort(F.collect_list(F.struct(i, item.alias("item")))).alias("items"))
+        .select("file", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
+        .repartition("file").write.partitionBy("file").text(folder)
+    )
+    found = readers.read_questions(spark, folder)
+    return validate.question_violations(found).groupBy("rule", "detail").agg(F.count("*").alias("violations"), F.min("key").alias("first_key"))
+
+
 @query
 def missing_answers(spark, sf):
     rows = tables.labelled(spark, sf)
@@ -477,6 +502,16 @@ def html_sections(spark, sf):
     )
 
 
+@query
+def html_heading_levels(spark, sf):
+    """Sections of pages with a main part, tables, notices and headings of all levels."""
+    pages, _ = crawl.parse(tables.marked_up(spark, sf))
+    return pages.select("url", "title", F.posexplode_outer("sections").alias("pos", "s")).where("pos is not null").select(
+        "url", "title", F.col("pos").cast("long").alias("pos"), "s.section", F.array_join("s.section_path", " > ").alias("path"),
+        "s.is_boilerplate", F.col("s.block_count").cast("long").alias("block_count"), F.sha2("s.text", 256).alias("text_hash"),
+    )
+
+
 @query
 def html_links(spark, sf):
     """Links of all pages, grouped by target."""

@@ -117,6 +117,31 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of two layouts: with a main part, lists and a table; without one, with
+    headings that skip levels, a notice section and a repeated block."""
+    escaped = F.col("text")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(entity))
+    title = F.concat(F.lit("<h1>Document "), F.col("doc_id"), F.lit("</h1>"))
+    body = F.concat(F.lit("<p>Text: "), escaped, F.lit("</p>"))
+    main = F.concat(
+        F.lit("<html><body><nav><p>menu</p></nav><h2>Outside</h2><main><p>Intro</p>"), title, body,
+        F.lit("<h2>Treatment</h2><ul><li>one</li><li> </li><li>two <b>b</b></li></ul><h3>Stage</h3>"
+              "<table><tr><th>A</th><td>"), F.col("lang"),
+        F.lit("</td></tr><tr><td>B</td><td> </td></tr></table></main><p>outside</p></body></html>"),
+    )
+    plain = F.concat(
+        title, F.lit("<h4>Deep</h4>"), body,
+        F.lit("<h2>Contact  Us</h2><p>"), F.col("source"), F.lit("</p><h3>Child</h3><p>c</p><h2>Next</h2><p>same</p><p>same</p><h2></h2><p>last</p>"),
+    )
+    empty = F.array().cast("array<string>")
+    return documents(spark, sf_dir).select(
+        F.concat(F.lit("doc://"), F.col("doc_id")).alias("url"), F.when(F.col("doc_id") % 2 == 0, main).otherwise(plain).alias("html"),
+        empty.alias("collections"), empty.alias("discovered_from"), empty.alias("index_link_labels"),
+    )
+
+
 def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as page titles of all the shapes the metadata rules know."""
     i = F.col("doc_id")

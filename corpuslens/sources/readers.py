@@ -109,7 +109,7 @@ def _flag(section: Column) -> Column:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """question_ord, id, split, cancer, question, correct_answer and raw type
-    facts (``fields``, ``answer_type``) of a JSON array file."""
+    facts (``fields``, ``answer_type``) of a JSON array file, or of all in a folder."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"question file does not exist: {path}")
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
