@@ -361,6 +361,16 @@ SQL["wrong_ids_in_order"] = f"""
 WITH {ANSWERS}
 SELECT question_id, row_number() OVER (ORDER BY CAST(question_id AS BIGINT)) AS position
 FROM scored WHERE condition = 'rag' AND prompt = 'oncology_expert' AND answer <> correct_answer"""
+SQL["wrong_ids_dataset_order"] = f"""
+WITH {ANSWERS}
+SELECT question_id, row_number() OVER (ORDER BY CAST(question_id AS BIGINT) * 7919 % 1000003) AS position
+FROM scored WHERE condition = 'rag' AND prompt = 'oncology_expert' AND answer <> correct_answer"""
+SQL["agreement_metrics"] = f"""
+WITH {ANSWERS}
+SELECT condition, prompt,
+       round(avg(CAST(NOT correct_answer AS DOUBLE)) FILTER (NOT answer), 9) AS npv,
+       round(corr(CAST(answer AS DOUBLE), CAST(correct_answer AS DOUBLE)), 9) AS matthews
+FROM scored GROUP BY condition, prompt"""
 SQL["id_sort"] = """
 WITH ids AS (
   SELECT CASE doc_id % 4 WHEN 0 THEN 'x-' || doc_id WHEN 1 THEN lpad(CAST(doc_id AS VARCHAR), 12, '0')

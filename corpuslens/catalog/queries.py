@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.catalog import tables
-from corpuslens.functions import messages, web
+from corpuslens.functions import messages, stats, web
 from corpuslens.functions import text as tx
 from corpuslens.operators import bm25, chunks, discovery, evidence, grouping, html, metrics, paired, validate
 from corpuslens.operators.classify import Endpoint, classify
@@ -370,6 +370,25 @@ def wrong_ids_in_order(spark, sf):
     return grouping.with_position(wrong.select("question_id"), tx.sort_key(F.col("question_id")))
 
 
+@query
+def wrong_ids_dataset_order(spark, sf):
+    """Wrong answers of one run in the order of the question file, which is not that of the IDs."""
+    rows = tables.labelled(spark, sf)
+    questions = tables.reference_questions(rows).withColumn("question_ord", F.col("id").cast("long") * 7919 % 1000003)
+    wrong = metrics.mistakes(metrics.score_sheet(tables.six_answers(rows), questions))
+    wrong = wrong.where("condition = 'rag' and prompt = 'oncology_expert'").select("question_id", "question_ord")
+    return grouping.with_position(wrong, [F.col("question_ord")]).select("question_id", "position")
+
+
+@query
+def agreement_metrics(spark, sf):
+    """Negative predictive value and Matthews correlation of each run."""
+    long = metrics.long_answers(sheet(spark, sf), "correct_answer")
+    return metrics.metrics_by(long, "condition", "prompt").withColumns(stats.agreement_columns()).select(
+        "condition", "prompt", F.round("negative_predictive_value", 9).alias("npv"), F.round("matthews", 9).alias("matthews")
+    )
+
+
 @query
 def id_sort(spark, sf):
     """Place of mixed IDs: numbers by value, then the others by text."""

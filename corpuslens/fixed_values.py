@@ -83,11 +83,6 @@ DEFAULT_ENTITY = "General cancer topic"
 
 # --- fixed values: prompts and message wording ---------------------------------------
 PROMPTS = ["basic", "oncology_expert", "patient_education"]
-PROMPT_LABELS = {
-    "basic": "Basic prompt",
-    "oncology_expert": "Oncology expert",
-    "patient_education": "Cancer patient-education specialist",
-}
 PROMPT_PREFIXES = {
     "basic": (
         "Does the following patient question contain a false medical assumption?\n"

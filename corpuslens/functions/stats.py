@@ -43,6 +43,13 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
+def agreement_columns() -> dict[str, Column]:
+    """Negative predictive value and Matthews correlation from columns tp, tn, fp, fn."""
+    tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
+    spread = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
+    return {"negative_predictive_value": ratio(tn, tn + fn), "matthews": F.try_divide(tp * tn - fp * fn, spread)}
+
+
 def wilson(successes: Column, total: Column, z: float = fv.WILSON_Z) -> tuple[Column, Column]:
     n = F.nullif(total, F.lit(0)).cast("double")
     p = successes / n

@@ -36,7 +36,8 @@ def wide_answers(predictions: DataFrame) -> DataFrame:
 def score_sheet(predictions: DataFrame, questions: DataFrame) -> DataFrame:
     """Every reference question with its six answers (NULL where missing)."""
     labels = questions.select(
-        F.col("id").alias("question_id"), "split", "cancer", "question", "correct_answer"
+        F.col("id").alias("question_id"), "split", "cancer", "question", "correct_answer",
+        *[c for c in ("question_ord",) if c in questions.columns],
     )
     return labels.join(wide_answers(predictions), "question_id", "left")
 
@@ -157,10 +158,11 @@ def class_balance(questions: DataFrame) -> DataFrame:
 
 def mistakes(sheet: DataFrame) -> DataFrame:
     """Every wrong answer with its kind of error."""
-    long = long_answers(sheet, "question_id", "split", "cancer", "question", "correct_answer")
+    order = [c for c in ("question_ord",) if c in sheet.columns]
+    long = long_answers(sheet, "question_id", "split", "cancer", "question", "correct_answer", *order)
     return long.where(F.col("answer") != F.col("correct_answer")).select(
         "condition", "prompt", "question_id", "split", "cancer", "correct_answer",
         F.col("answer").alias("predicted_answer"),
         F.when(F.col("answer"), "false_positive").otherwise("false_negative").alias("error_type"),
-        "question",
+        "question", *order,
     )

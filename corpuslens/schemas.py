@@ -1,18 +1,6 @@
-"""Column layouts shared by sources, operators and plans (DDL strings)."""
-
-SECTION = "struct<section:string,section_path:array<string>,is_boilerplate:boolean,block_count:int,text:string>"
-
-# One row per page, as scanned or parsed; `load_order` fixes the order of pages.
-PAGE_FIELDS = [
-    "source", "source_domain", "collection", "collections", "topic", "audience", "language",
-    "cancer_type", "title", "summary_name", "url", "discovered_from", "index_link_labels",
-    "last_updated", "retrieved_at", "content_sha256", "section_count", "sections", "raw_html_file",
-]
+"""Column layouts shared by operators and plans."""
 
 CHUNK_FIELDS = [
     "chunk_id", "title", "cancer_type", "topic", "audience", "section", "section_path",
     "url", "source_file", "text",
 ]
-
-QUESTION = "id string, split string, cancer string, question string, correct_answer boolean"
-PREDICTION = "question_id string, answer string"

@@ -199,7 +199,7 @@ def test_whole_analysis_writes_its_files(spark, tmp_path):
     assert [r["question"] for r in read_csv(out / "predictions")] == ['q, "1"', "q2"]
     assert all(r["precision"] == "" for r in read_csv(out / "subgroup_metrics") if int(r["tp"]) + int(r["fp"]) == 0)
     text = "".join(p.read_text() for p in (out / "report").glob("part-*"))
-    assert "| RAG | Basic | 2 | 100.00% |" in text and "Warning" not in text
+    assert "| RAG | Basic | 2 | 100.00% |" in text and "without an answer" not in text
     manifest = json.loads("".join(p.read_text() for p in (out / "manifest").glob("part-*")))
     assert manifest["six_way_common_records"] == 2 and len(manifest["prediction_files"]) == 6
     assert len(manifest["dataset"]["sha256"]) == 64
