@@ -397,6 +397,19 @@ v AS (
   UNION ALL SELECT 'blank_question', '', id FROM f WHERE NOT odd AND missing = '' AND i % 5 = 0
   UNION ALL SELECT 'label_not_boolean', CASE i % 3 WHEN 1 THEN 'STRING' ELSE 'BIGINT' END, id FROM f WHERE NOT odd AND missing = '' AND i % 3 <> 0)
 SELECT rule, detail, count(*) AS violations, min(key) AS first_key FROM v GROUP BY rule, detail"""
+SQL["page_json_shapes"] = """
+SELECT 'doc://' || doc_id AS url, 'Page ' || doc_id AS title,
+       CASE WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 100 <> 7 AND doc_id // 100 % 2 = 0 THEN 'outer' END AS cancer_type,
+       CASE WHEN doc_id % 100 = 7 THEN 'one ' || doc_id ELSE 'part a+b%20 é ' || doc_id // 100 END || '.json' AS file,
+       doc_id % 4 = 0 AS is_boilerplate, 'S > ' || source AS path, sha256(text) AS text_hash
+FROM documents"""
+SQL["answer_file_checks"] = f"""
+WITH {ANSWERS}, t AS (
+  SELECT condition, prompt, doc_id AS id, CASE WHEN doc_id % 9 <> 0 AND doc_id % 31 = 0 THEN NULL ELSE answer END AS answer
+  FROM answers JOIN base USING (question_id))
+SELECT condition, prompt, count(*) AS answers, count(*) FILTER (answer) AS yes, count(*) FILTER (NOT answer) AS no,
+       count(*) FILTER (answer IS NULL) AS invalid, CAST(sum(id) AS BIGINT) AS id_sum
+FROM t GROUP BY condition, prompt"""
 SQL["validation_violations"] = f"""
 WITH a AS ({_answers('documents')}),
 t AS (SELECT *, CASE WHEN question_id LIKE '%7' THEN 'maybe' ELSE CAST(answer AS VARCHAR) END AS answer_text FROM a),

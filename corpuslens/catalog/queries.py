@@ -445,6 +445,62 @@ def question_violations(spark, sf):
     return validate.question_violations(found).groupBy("rule", "detail").agg(F.count("*").alias("violations"), F.min("key").alias("first_key"))
 
 
+@query
+def page_json_shapes(spark, sf):
+    """Page files of all root shapes, with odd names, written, read back and traced to their files."""
+    i = F.col("doc_id")
+    page = F.to_json(F.struct(
+        F.concat(F.lit("Page "), i).alias("title"), F.concat(F.lit("doc://"), i).alias("url"),
+        F.when(i % 5 == 0, F.col("lang")).alias("cancer_type"),
+        F.array(F.struct(
+            F.lit("S").alias("section"), F.array(F.lit("S"), F.col("source")).alias("section_path"), "text",
+            F.when(i % 4 == 0, "True").when(i % 4 == 1, "false").alias("is_boilerplate"),
+        )).alias("sections"),
+    ))
+    rows = tables.documents(spark, sf).select("doc_id", page.alias("page"), F.floor(i / 100).alias("group"))
+    kind, alone = F.col("group") % 2, i % 100 == 7
+    name = F.concat(F.lit("part a+b%20 é "), F.col("group"), F.lit(".json"))
+    # Per hundred documents: an object with pages, or a list, with items that are no pages; and a page by itself.
+    lines = rows.select(
+        F.when(alone, F.concat(F.lit("one "), i, F.lit(".json"))).otherwise(name).alias("file"), i.alias("place"),
+        F.when(alone, F.col("page")).otherwise(F.concat("page", F.lit(","))).alias("line"),
+    )
+    groups = rows.where(~alone).select("group").distinct()
+    ends = groups.select(name.alias("file"), F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("place"),
+                 F.when(kind == 0, '{"cancer_type":"outer","pages":[').otherwise("[5,").alias("line")),
+        F.struct(F.lit(1 << 62).alias("place"), F.when(kind == 0, '"no page"]}').otherwise("null]").alias("line")),
+    )))
+    folder = new_folder(spark, "page-files")
+    writers.write_lines(lines.unionByName(ends), folder)
+    read = readers.read_page_json(spark, [folder])
+    section = F.get("sections", F.lit(0))
+    return read.select(
+        "url", "title", "cancer_type", F.element_at(F.split("source_file", "/"), -1).alias("file"), section["is_boilerplate"].alias("is_boilerplate"),
+        F.array_join(section["section_path"], " > ").alias("path"), F.sha2(section["text"], 256).alias("text_hash"),
+    )
+
+
+@query
+def answer_file_checks(spark, sf):
+    """The six answer files of the experiment, written, read back and checked; blanks, case and bad values included."""
+    rows = tables.six_answers(tables.labelled(spark, sf))
+    i = F.col("question_id").cast("long")
+    said = F.when(i % 9 == 0, F.concat(F.lit("\" "), F.upper(F.col("answer").cast("string")), F.lit("\""))).when(
+        i % 31 == 0, "yes").otherwise(F.col("answer").cast("string"))
+    shown = F.when(i % 4 == 0, F.concat(F.lit("\" "), "question_id", F.lit(" \""))).otherwise(F.col("question_id"))
+    line = F.concat(shown, F.lit(","), said)
+    file = F.concat("condition", F.lit("/answers_"), "prompt", F.lit(".csv"))
+    head = rows.select(file.alias("file")).distinct().select("file", F.lit(-1).cast("long").alias("place"), F.lit("question_id,answer").alias("line"))
+    folder = new_folder(spark, "answer-files")
+    writers.write_lines(rows.select(file.alias("file"), i.alias("place"), line.alias("line")).unionByName(head), folder)
+    read = readers.read_experiment(spark, {c: f"{folder}/{c}" for c in fv.CONDITIONS})
+    return read.groupBy("condition", "prompt").agg(
+        F.count("*").alias("answers"), F.count_if("answer").alias("yes"), F.count_if(~F.col("answer")).alias("no"),
+        F.count_if(F.col("answer").isNull()).alias("invalid"), F.sum(F.col("question_id").cast("long")).alias("id_sum"),
+    )
+
+
 @query
 def missing_answers(spark, sf):
     rows = tables.labelled(spark, sf)

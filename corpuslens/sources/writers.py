@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,39 +111,50 @@ def page_documents(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
-    """Write ``cancers/<slug>.json`` and ``general_topics/<slug>.json``; returns these paths.
+def write_lines(rows: DataFrame, folder: str) -> list[str]:
+    """Write rows of file (a relative path), place and line as the files they name; returns the paths.
 
-    Lines are sorted in their task and streamed to the file of their entity.
+    The lines of a file are sorted in their task and streamed to it.
     """
+    spark = rows.sparkSession
+    made = new_folder(spark, "lines")
+    (
+        rows.select("line", "place", "file").repartition("file").sortWithinPartitions("file", "place").drop("place")
+        .write.partitionBy("file").text(made)
+    )
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = lambda *parts: hadoop.Path("/".join(parts))
+    source, target = path(made).getFileSystem(conf), path(folder).getFileSystem(conf)
+    files = []
+    for entry in source.listStatus(path(made)):
+        name = unquote(entry.getPath().getName())
+        if not name.startswith("file="):
+            continue
+        name = name.removeprefix("file=")
+        parts = [p.getPath() for p in source.listStatus(entry.getPath()) if p.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise RuntimeError(f"{name} has {len(parts)} parts")
+        target.mkdirs(path(folder, name).getParent())
+        if not hadoop.FileUtil.copy(source, parts[0], target, path(folder, name), True, conf):
+            raise RuntimeError(f"{name} could not be written")
+        files.append(name)
+    return sorted(files)
+
+
+def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
+    """Write ``cancers/<slug>.json`` and ``general_topics/<slug>.json``, in place of those there; returns these paths."""
     clash = file_clashes(entity_manifest(pages)).first()
     if clash:
         raise ValueError(f"{clash['first']!r} and {clash['last']!r} lead to the same file {clash['file']}")
     spark = pages.sparkSession
-    made = new_folder(spark, "documents")
-    kind = F.when(F.col("is_specific"), "cancers").otherwise("general_topics")
-    (
-        document_lines(pages).select("line", "place", kind.alias("kind"), tx.slugify("entity").alias("slug"))
-        .repartition("kind", "slug").sortWithinPartitions("kind", "slug", "place").drop("place")
-        .write.partitionBy("kind", "slug").text(made)
-    )
     hadoop = spark._jvm.org.apache.hadoop.fs
-    path = lambda *parts: hadoop.Path("/".join(parts))
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    files = []
     for kind in ("cancers", "general_topics"):
-        fs.delete(path(folder, kind), True)
-        fs.mkdirs(path(folder, kind))
-        source = path(made, f"kind={kind}")
-        for entity in fs.listStatus(source) if fs.exists(source) else []:
-            name = f"{kind}/{entity.getPath().getName().removeprefix('slug=')}.json"
-            parts = [p.getPath() for p in fs.listStatus(entity.getPath()) if p.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise RuntimeError(f"{name} has {len(parts)} parts")
-            if not hadoop.FileUtil.copy(fs, parts[0], fs, path(folder, name), True, spark._jsc.hadoopConfiguration()):
-                raise RuntimeError(f"{name} could not be written")
-            files.append(name)
-    return sorted(files)
+        old = hadoop.Path(f"{folder}/{kind}")
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.mkdirs(old)
+    kind = F.when(F.col("is_specific"), "cancers/").otherwise("general_topics/")
+    return write_lines(document_lines(pages).withColumn("file", F.concat(kind, tx.slugify("entity"), F.lit(".json"))), folder)
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:
