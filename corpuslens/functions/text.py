@@ -21,6 +21,8 @@ BLANKS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# Long s, dotless i, capital i with dot and the Kelvin sign.
+FOLDED_LETTERS = "\u017f\u0131\u0130\u212a"
 BLANK = r"[\s\x1c-\x1f]"
 
 
@@ -121,7 +123,10 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(raw_tokens(text), F.lower)
+    """Lower-case tokens. The text is lowered at once, which is much cheaper than token by
+    token, unless it holds one of the few letters that match or become ASCII letters."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(fv.TOKEN_PATTERN), F.lit(0))
+    return F.when(contains_any(text, FOLDED_LETTERS), F.transform(raw_tokens(text), F.lower)).otherwise(plain)
 
 
 def run_starts(ordered: Column) -> Column:

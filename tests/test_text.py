@@ -115,3 +115,10 @@ def test_dates(spark):
     assert column(spark, texts, tx.first_match_date(F.col("s"))) == [
         "March 5, 2024", "may 1, 2020", "June 2, 2021", None, None, "March 15, 1999",
     ]
+
+
+def test_tokens_with_letters_that_fold_to_ascii(spark):
+    texts = ["Kelvin A-B/c", "ſea iıİ X", "ÉTÉ Straße 3_4", "plain A1+b", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = df.orderBy("i").select(tx.tokens(F.col("s")), F.transform(tx.raw_tokens(F.col("s")), F.lower)).collect()
+    assert all(a == b for a, b in got)
