@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.session import ship_package
+
 # A key counts as hot with more than this share of all rows, so fewer than
 # 1 / HOT_SHARE keys can be hot, whatever the input: safe to broadcast.
 HOT_SHARE = 0.001
+BATCH_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its workers and Arrow batches of at most ``BATCH_ROWS`` texts.
+
+    Spark's own 10 000 rows a batch are too many for long texts; a smaller number set is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return ship_package(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's tokens end with a separator; documents longer than a sequence are
 cut into full pieces and a rest. Pieces are dealt into shards of bounded size by
-an id hash; in a shard each piece, the longest first, goes to the open sequence
+hash; in a shard each piece, the longest first, goes to the open sequence
 (or a new one) that makes the sum over residual gaps of the squared number of open
 sequences with that gap smallest. Ties go to the smallest gap. A shard leaves
 a few part-filled sequences, against tens of thousands of pieces.
@@ -34,7 +34,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
 SHARD_PIECES = 50_000
-_CACHED = 600_000
+_CACHED = 200_000
 
 # Fixed values of the tokenizer file: its pre-token pattern, here with its classes spelled
 # out for Latin-1. Lower-casing comes first.
@@ -154,12 +154,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def packed(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """``rows`` (doc_id, piece, length, any others) with sequence_id and offset. Reads ``rows`` twice."""
+    """``rows``, a stored table (doc_id, piece, length, any others), with sequence_id and offset."""
     shards = max(1, -(-rows.count() // shard_pieces))
     names = rows.columns
     kind = rows.schema
-    # Repeated rows fall into one shard only if they are few; the row's place deals out the rest.
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id() % 64), F.lit(shards)))
+    # By the row's place in the stored table, so that shards are even whatever the ids.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def pack(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)

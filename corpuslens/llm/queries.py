@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import (
     chat, decontaminate, exact_dedup, language_id, licenses, packing, pii, quality, secrets, simhash,
 )
-from corpuslens.llm.common import documents, table
-from corpuslens.session import ship_package
+from corpuslens.llm.common import documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 def query(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return f(ship_package(spark), sf)
+        return f(prepared(spark), sf)
 
     QUERIES[f.__name__] = run
     return run

@@ -17,7 +17,7 @@ VISIBLE = np.array([not chr(b).isspace() or b >= 0x80 for b in range(256)])
 
 
 # Characters whose words are in memory at once, but for a single longer text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
