@@ -557,7 +557,8 @@ def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_title(spark, sf):
-    return parsed_pages(spark, sf).select("url", "title")
+    """One narrow reader: only the scan is stored, and no section is built."""
+    return crawl.parse(tables.html_pages(spark, sf))[0].select("url", "title")
 
 
 @query
