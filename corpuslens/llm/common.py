@@ -41,6 +41,18 @@ def text_of(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def text_key() -> Column:
+    """Tells rows with the same doc_id, or without one, apart by their texts."""
+    return F.xxhash64("doc_id", text_of(F.col("text")))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` (doc_id, text_key) names; all columns."""
+    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    own = F.xxhash64(docs["doc_id"], text_of(docs["text"]))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (own == gone["gone_key"]), "left_anti")
+
+
 def attach(rows: DataFrame, lookup: DataFrame, key: str, size: str) -> DataFrame:
     """``rows`` left-joined with ``lookup`` (one row per key) on ``key``.
 

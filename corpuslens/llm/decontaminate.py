@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import text_of
+from corpuslens.llm.common import text_key, text_of, without
 from corpuslens.llm.wordscan import scan, slices
 from corpuslens.session import store
 
@@ -179,7 +179,7 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
 def contaminated(
     docs: DataFrame, items: DataFrame, cover: float = COVER, shortest: int = SHORTEST, bitmap_bits: int = BITMAP_BITS
 ) -> DataFrame:
-    """Pairs above the cover: doc_id, item_id, n_item_words, covered_words, n_tiles, longest_tile, coverage, tiles.
+    """Pairs above the cover: doc_id, text_key, item_id, n_item_words, covered_words, n_tiles, longest_tile, coverage, tiles.
 
     ``docs`` (doc_id, text), ``items`` (item_id, text); ``tiles`` lists (word in the item, length).
     """
@@ -207,28 +207,28 @@ def contaminated(
     some = store(
         docs.select("doc_id", text_of(F.col("text")).alias("text"))
         .withColumn("seeds", hit_udf("text")).where("seeds is not null")
-        .withColumn("doc_key", F.xxhash64("doc_id", "text")), "seed-hits",
+        .withColumn("text_key", text_key()), "seed-hits",
     )
     pairs = (
-        some.select("doc_id", "doc_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
-        .select("doc_id", "doc_key", "item_key").distinct()
+        some.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
+        .select("doc_id", "text_key", "item_key").distinct()
     )
     texts = (
-        pairs.join(some.select(F.col("doc_id").alias("same_id"), "doc_key", "text"), "doc_key")
+        pairs.join(some.select(F.col("doc_id").alias("same_id"), "text_key", "text"), "text_key")
         .where(F.col("doc_id").eqNullSafe(F.col("same_id"))).drop("same_id")
-        .dropDuplicates(["doc_id", "doc_key", "item_key"]).join(items, "item_key")
+        .dropDuplicates(["doc_id", "text_key", "item_key"]).join(items, "item_key")
     )
     tile = F.pandas_udf(
         lambda text, item: _tiled(text, item, shortest),
         T.ArrayType(T.ArrayType(T.IntegerType())),
     )
-    tiled = texts.select("doc_id", "item_id", tile("text", "item_text").alias("tiles"))
+    tiled = texts.select("doc_id", "text_key", "item_id", tile("text", "item_text").alias("tiles"))
     covered = F.aggregate("tiles", F.lit(0), lambda s, t: s + F.get(t, F.lit(1)))
     n_words = F.aggregate("tiles", F.lit(0), lambda s, t: F.greatest(s, F.get(t, F.lit(2))))
     return (
         tiled.where(F.size("tiles") > 0)
         .select(
-            "doc_id", "item_id", n_words.cast("long").alias("n_item_words"), covered.cast("long").alias("covered_words"),
+            "doc_id", "text_key", "item_id", n_words.cast("long").alias("n_item_words"), covered.cast("long").alias("covered_words"),
             F.size("tiles").cast("long").alias("n_tiles"),
             F.array_max(F.transform("tiles", lambda t: F.get(t, F.lit(1)))).cast("long").alias("longest_tile"),
             F.transform("tiles", lambda t: F.struct(F.get(t, F.lit(0)).alias("place"), F.get(t, F.lit(1)).alias("length"))).alias("tiles"),
@@ -250,5 +250,4 @@ def _tiled(texts: pd.Series, item_texts: pd.Series, shortest: int) -> pd.Series:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without those a test item's passage is found in; all columns."""
-    found = contaminated(docs, items, **options).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return without(docs, contaminated(docs, items, **options))

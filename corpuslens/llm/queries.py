@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 @query
 def op1_benchmark_decontamination(spark, sf):
     found = decontaminate.contaminated(documents(spark, sf), table(spark, sf, "benchmark"))
-    return found.drop("tiles")
+    return found.drop("tiles", "text_key")
 
 
 @query

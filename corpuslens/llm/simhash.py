@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import attach, text_of
+from corpuslens.llm.common import attach, text_key, text_of, without
 from corpuslens.llm.components import components
 from corpuslens.session import store
 
@@ -70,8 +70,8 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fp (signed long)."""
-    return docs.select("doc_id", F.pandas_udf(_fingerprints, "long")(text_of(F.col("text"))).alias("fp"))
+    """Per row of ``docs`` (doc_id, text): doc_id, text_key, fp (signed long)."""
+    return docs.select("doc_id", text_key().alias("text_key"), F.pandas_udf(_fingerprints, "long")(text_of(F.col("text"))).alias("fp"))
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def links(fps: DataFrame, cell_members: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable)."""
+    """Per row of ``docs``: doc_id, text_key, fp, component_id (smallest doc_id reachable)."""
     rows = store(fingerprints(docs), "simhash")
     classes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")), "simhash-classes")
     roots = store(components(links(classes.select("fp"))).withColumnRenamed("node", "fp"), "simhash-roots")
@@ -197,15 +197,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("fp", "size", F.coalesce("component_id", "least_id").alias("component_id")),
         "simhash-components",
     )
-    return attach(rows, lookup, "fp", "size").select("doc_id", "fp", "component_id")
+    return attach(rows, lookup, "fp", "size").select("doc_id", "text_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows of a component other than that of its smallest doc_id.
 
-    A row without an id goes if a row with one stands for it.
+    A row without an id goes if a row with one stands for it, and stays if none does.
     """
-    dropped = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("dropped_id")
-    ).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return without(docs, near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

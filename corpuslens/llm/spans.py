@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import text_of
+from corpuslens.llm.common import text_key, text_of
 
 # Characters kept on each side of a match, for its neighbouring words.
 CONTEXT = 48
@@ -13,8 +13,7 @@ CONTEXT = 48
 
 def keyed(docs: DataFrame, *others: Column) -> DataFrame:
     """doc_id, text, ``text_key``, which tells rows with the same doc_id apart, and ``others``. Null text counts as empty."""
-    text = text_of(F.col("text"))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("text_key"), *others)
+    return docs.select("doc_id", text_of(F.col("text")).alias("text"), text_key().alias("text_key"), *others)
 
 
 def matches(rows: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:

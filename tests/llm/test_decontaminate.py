@@ -95,8 +95,8 @@ def test_as_brute_force(spark, docs_of, case):
 def test_small_bitmap_gives_the_same(spark, docs_of, case):
     docs, items = case
     items = spark.createDataFrame(items, "item_id long, text string")
-    full = {tuple(r)[:4] for r in dc.contaminated(docs_of(docs), items).collect()}
-    assert {tuple(r)[:4] for r in dc.contaminated(docs_of(docs), items, bitmap_bits=8).collect()} == full
+    full = {tuple(r)[:5] for r in dc.contaminated(docs_of(docs), items).collect()}
+    assert {tuple(r)[:5] for r in dc.contaminated(docs_of(docs), items, bitmap_bits=8).collect()} == full
 
 
 def test_drop_and_empty(spark, docs_of, no_docs, case):
@@ -105,5 +105,7 @@ def test_drop_and_empty(spark, docs_of, no_docs, case):
     kept = dc.drop_contaminated(docs_of(docs), items)
     assert kept.columns == docs_of(docs).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {20, 21, 22, 25, None}
+    clean = docs_of([(None, "nothing of note"), (20, "another text with this id")])
+    assert dc.drop_contaminated(docs_of(docs).unionByName(clean), items).join(clean, "text", "left_semi").count() == 2
     assert dc.contaminated(no_docs, items).count() == 0
     assert dc.contaminated(docs_of(docs), items.limit(0)).count() == 0

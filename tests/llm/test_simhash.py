@@ -96,6 +96,8 @@ def test_near_duplicates_as_brute_force(docs_of, prose):
     assert sorted(((r.doc_id, r.fp, r.component_id) for r in found), key=repr) == wanted
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(pairs)).collect()}
     assert kept == set(least.values())
+    clean = docs_of([(None, "a text of its own without an id"), (100, "not the first text of this id")])
+    assert simhash.drop_near_duplicates(docs_of(pairs).unionByName(clean)).join(clean, "text", "left_semi").count() == 2
 
 
 def test_empty(no_docs):
