@@ -144,7 +144,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         own.drop("window").withColumn("window", F.explode(F.array(odd, odd + 1, odd + 2)))
         .join(begun, _same("conv_id", "w_conv") & (F.col("window") == F.col("w")))
         .where((F.col("start") < F.col("w_start")) & (F.col("start") >= F.col("w_start") - history))
-        .join(system.select("s_conv", "s.place"). withColumnRenamed("place", "s_place"), _same("conv_id", "s_conv"), "left")
+        .join(system.select("s_conv", "s.place").withColumnRenamed("place", "s_place"), _same("conv_id", "s_conv"), "left")
         .where(~F.col("place").eqNullSafe(F.col("s_place")))
     )
     led = begun.join(system, _same("w_conv", "s_conv")).where("w > s.window").select(

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,10 +116,11 @@ def _common_runs(a: list, b: list, marked_a: list, marked_b: list, k: int) -> di
 def islands(doc: list[str], item: list[str], shortest: int = SHORTEST) -> list:
     """The parts of ``doc`` that runs shared with ``item`` cover, None between them: all that tiles can lie in."""
     runs = {tuple(item[j : j + shortest]) for j in range(len(item) - shortest + 1)}
+    begins = {r[0] for r in runs}
     out: list = []
     upto = -1
     for i in range(len(doc) - shortest + 1):
-        if doc[i] in _firsts(runs) and tuple(doc[i : i + shortest]) in runs:
+        if doc[i] in begins and tuple(doc[i : i + shortest]) in runs:
             if i > upto:
                 out.append(None)
                 out += doc[i : i + shortest]
@@ -130,13 +130,6 @@ def islands(doc: list[str], item: list[str], shortest: int = SHORTEST) -> list:
     return out
 
 
-def _firsts(runs: set, memo: dict = {}) -> set:  # noqa: B006
-    """First words of the runs; kept for the last item asked for."""
-    if memo.get("runs") is not runs:
-        memo.update(runs=runs, firsts={r[0] for r in runs})
-    return memo["firsts"]
-
-
 def _item_seeds(items: DataFrame, shortest: int, cover: float) -> DataFrame:
     """item_id, n_words, seed: the runs of each item that have to be joined."""
 
