@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens import fixed_values as fv
 from corpuslens.functions.text import strip
 from corpuslens.sources.readers import InvalidInput
 
