@@ -23,7 +23,6 @@ different (id, text); empty tables give an empty result; other columns are ignor
 
 from __future__ import annotations
 
-
 import re
 from collections.abc import Iterator
 
