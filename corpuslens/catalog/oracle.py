@@ -275,6 +275,13 @@ FROM grouped WHERE group_type = 'cancer' AND n >= 5"""
 SQL["group_metrics_simple"] = f"""
 WITH {ANSWERS}, c AS (SELECT coalesce(nullif(cancer, ''), 'Unknown') AS "group", {_COUNTS} FROM scored GROUP BY ALL)
 SELECT "group", n, {_metric_list(4, ('accuracy', 'precision', 'recall', 'f1'))} FROM c"""
+SQL["group_metrics_largest"] = SQL["group_metrics_simple"] + ' ORDER BY n DESC, "group" LIMIT 12'
+SQL["metric_table_read_back"] = f"""
+WITH {SCOPES}
+SELECT scope, condition, prompt, n, CAST(round(1e6 * n / CAST(total AS DOUBLE)) AS BIGINT) AS coverage_millionths,
+       CAST(round(1e6 * (tp + tn) / CAST(n AS DOUBLE)) AS BIGINT) AS accuracy_millionths,
+       CAST(round(1e6 * tp / CAST(tp + fn AS DOUBLE)) AS BIGINT) AS recall_millionths, tp, fn
+FROM counts, total"""
 SQL["common_prompt_metrics"] = f"""
 WITH {ANSWERS},
 own AS (SELECT * FROM scored WHERE condition = 'non_rag'),

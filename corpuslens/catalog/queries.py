@@ -299,6 +299,22 @@ def subgroup_view(spark, sf):
     ))
 
 
+@query
+def group_metrics_largest(spark, sf):
+    """The twelve largest groups only."""
+    return metrics.group_metrics(metrics.long_answers(sheet(spark, sf), "correct_answer", "cancer"), "cancer", 12)
+
+
+@query
+def metric_table_read_back(spark, sf):
+    """The metrics table saved as CSV and read with its types."""
+    path = new_folder(spark, "metrics")
+    writers.write_csv(metrics.metrics_two_scopes(sheet(spark, sf)), path, fv.METRIC_FIELDS, single_file=True)
+    read = readers.read_metric_table(spark, path)
+    return read.select("scope", "condition", "prompt", "n", "tp", "fn",
+                       *[F.round(F.col(c) * 1e6).cast("long").alias(f"{c}_millionths") for c in ("coverage", "accuracy", "recall")])
+
+
 @query
 def group_metrics_simple(spark, sf):
     long = metrics.long_answers(sheet(spark, sf), "correct_answer", "cancer")

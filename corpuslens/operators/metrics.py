@@ -122,14 +122,15 @@ def subgroup_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("group_type"), F.desc("n"), F.lower("group"), "group", "condition", "prompt")
 
 
-def group_metrics(long: DataFrame, field: str) -> DataFrame:
+def group_metrics(long: DataFrame, field: str, largest: int | None = None) -> DataFrame:
     """Short per-group table rounded to 4 decimals, larger groups first; an
-    empty name is Unknown."""
+    empty name is Unknown. ``largest`` shows that many groups only."""
     name = F.coalesce(tx.truthy(F.col(field)), F.lit(fv.UNKNOWN_GROUP))
     rows = metrics_by(long.withColumn("group", name), "group")
-    return rows.select("group", "n", *[F.round(m, 4).alias(m) for m in ("accuracy", "precision", "recall", "f1")]).orderBy(
+    shown = rows.select("group", "n", *[F.round(m, 4).alias(m) for m in ("accuracy", "precision", "recall", "f1")]).orderBy(
         F.desc("n"), "group"
     )
+    return shown if largest is None else shown.limit(largest)
 
 
 def common_metrics(sheet: DataFrame, condition: str) -> DataFrame:

@@ -221,6 +221,19 @@ def read_finished(spark: SparkSession, path: str, *, strict: bool = True) -> Dat
     return rows.select("question_id")
 
 
+def read_metric_table(spark: SparkSession, path: str, fields: list[str] = fv.METRIC_FIELDS) -> DataFrame:
+    """A saved table of metrics with its types: counts are whole, rates are doubles, blank ones NULL.
+
+    The header must name ``fields`` in order.
+    """
+    texts, counts = ("scope", "condition", "prompt", "group_type", "group"), ("n", "tp", "tn", "fp", "fn", "positives")
+    kinds = {f: "string" if f in texts else "long" if f in counts else "double" for f in fields}
+    first = spark.read.text(path).first()
+    if first is None or first[0].split(",") != fields:
+        raise InvalidInput(f"{path} must have the columns {','.join(fields)}")
+    return spark.read.schema(", ".join(f"`{f}` {k}" for f, k in kinds.items())).csv(path, header=True)
+
+
 def with_cached_html(pages: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds ``html`` from saved snapshots (key, html); NULL where none is saved."""
     return (
