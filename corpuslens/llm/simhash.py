@@ -45,18 +45,25 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _HASHES = 1 << 16  # hashes whose bits are counted at once
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text, as a signed 64-bit integer."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each run of ``shingle`` words, in order; of all words if there are fewer."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _HASHES):
         part = hashes[i : i + _HASHES].astype("<u8").view(np.uint8).reshape(-1, 8)
