@@ -6,7 +6,10 @@ document minus place in the template). Votes are verified word by word in the jo
 so a hash never decides. A phrase stands where its diagonal has all its votes.
 For longer templates neighbouring diagonals, as small edits shift them, are merged;
 a merged span counts if its votes cover enough of the template within a span of about
-its length.
+its length, and all words that tell the template from its likes (``sharealike``).
+Its errors are the template's words without a vote and the document's words between
+votes. Of spans that share words of the document, those with the fewest errors stand;
+with equally few, all of them.
 
 The template table is fixed and small; it alone is broadcast. All groups are per
 document and template, with one row per diagonal after pre-aggregation.
@@ -57,9 +60,19 @@ NOTICES = {
 }
 
 
+def distinguishing(notices: dict[str, str], cover: float = COVER) -> dict[str, list[int]]:
+    """Per label the places of the words that another notice lacks which holds ``cover`` or more of its words."""
+    words = {label: text.split() for label, text in notices.items()}
+    out = {}
+    for label, own in words.items():
+        lacking = [[i for i, w in enumerate(own) if w not in other] for name, other in words.items() if name != label]
+        out[label] = sorted({i for places in lacking if len(places) <= (1 - cover) * len(own) for i in places})
+    return out
+
+
 def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """template, label, whole (a phrase that must stand word for word), n_words, place, w0..w2, seed."""
-    rows = []
+    """template, label, whole (a phrase that must stand word for word), n_words, place, w0..w2, needed, seed."""
+    rows, needed = [], distinguishing(notices)
     for number, (label, whole, words) in enumerate(
         [(label, True, text.split()) for text, label in phrases.items()]
         + [(label, False, text.split()) for label, text in notices.items()]
@@ -67,7 +80,10 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: d
         if len(words) < K:
             raise ValueError(f"a template needs {K} words or more: {' '.join(words)}")
         rows += [(number, label, whole, len(words), i, *words[i : i + K]) for i in range(len(words) - K + 1)]
-    table = spark.createDataFrame(rows, "template int, label string, whole boolean, n_words int, place int, w0 string, w1 string, w2 string")
+    table = spark.createDataFrame(
+        [(*row, needed[row[1]] if not row[2] else []) for row in rows],
+        "template int, label string, whole boolean, n_words int, place int, w0 string, w1 string, w2 string, needed array<int>",
+    )
     return table.withColumn("seed", F.xxhash64("w0", "w1", "w2"))
 
 
@@ -85,11 +101,30 @@ def _votes(docs: DataFrame, known: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(known), same).drop("words", "seed")
 
 
+def _best(found: DataFrame) -> DataFrame:
+    """Of the spans that share words with each other, those with the fewest errors, from the best on."""
+    document = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end", "template")
+    before = F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    span = F.struct("errors", "begin", "end", "template", "label", "cover")
+
+    def taken(held, x):
+        worse = F.exists(held, lambda y: (x["begin"] < y["end"]) & (y["begin"] < x["end"]) & (y["errors"] < x["errors"]))
+        return F.when(worse, held).otherwise(F.concat(held, F.array(x)))
+
+    return (
+        found.withColumn("apart", F.coalesce((F.col("begin") >= before).cast("int"), F.lit(0)))
+        .withColumn("island", F.sum("apart").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "text_key", "island").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+        .withColumn("kept", F.aggregate("spans", F.slice("spans", 1, 0), taken))
+        .select("doc_id", "text_key", F.explode_outer("kept").alias("s")).select("doc_id", "text_key", "s.*")
+    )
+
+
 def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = keyed(docs)
     known = templates(docs.sparkSession)
-    of = ["doc_id", "text_key", "template", "label", "whole", "n_words"]
+    of = ["doc_id", "text_key", "template", "label", "whole", "n_words", "needed"]
     diagonals = store(
         _votes(rows, known).withColumn("diagonal", F.col("at") - F.col("place"))
         .groupBy(*of, "diagonal").agg(F.collect_set("place").alias("places")), "license-votes",
@@ -101,19 +136,21 @@ def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     begin = F.array_min("places") + F.col("diagonal")
     end = F.array_max("places") + F.col("diagonal") + K
-    spans = (
+    runs = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda p: F.sequence(p, p + (K - 1)))))
+    found = (
         diagonals.where("not whole").withColumn("apart", F.coalesce((gap > shift).cast("int"), F.lit(0)))
         .withColumn("band", F.sum("apart").over(along))
+        .withColumn("ats", F.transform("places", lambda p: p + F.col("diagonal")))
         .groupBy(*of, "band").agg(
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min(begin).alias("begin"), F.max(end).alias("end")
+            runs(F.flatten(F.collect_list("places"))).alias("places"), runs(F.flatten(F.collect_list("ats"))).alias("ats"),
+            F.min(begin).alias("begin"), F.max(end).alias("end"),
         )
-        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform(
-            "places", lambda p: F.sequence(p, p + (K - 1))
-        )))))
-        .withColumn("cover", F.col("covered") / F.col("n_words"))
+        .withColumn("cover", F.size("places") / F.col("n_words"))
+        .withColumn("errors", F.col("n_words") - F.size("places") + F.col("end") - F.col("begin") - F.size("ats"))
         .where((F.col("cover") >= cover) & (F.col("end") - F.col("begin") <= F.col("n_words") / cover + shift))
-        .select("doc_id", "text_key", "label", F.lit(False).alias("base"), "begin", "cover")
+        .where(F.size(F.array_except("needed", "places")) == 0)
     )
+    spans = _best(found).select("doc_id", "text_key", "label", F.lit(False).alias("base"), "begin", "cover")
     base = F.col("base")
     summary = (
         phrases.unionByName(spans).groupBy("doc_id", "text_key").agg(

@@ -62,3 +62,20 @@ def test_native_and_empty(docs_of, no_docs, plan_of):
     assert licenses.scan(no_docs).count() == 0
     plan = plan_of(licenses.scan(docs_of([(1, "x")])))
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_templates_that_differ_by_a_word(docs_of, prose):
+    kinds = ["cc-by", "cc-by-sa", "cc-by-nc"]
+    notices = [licenses.NOTICES[k] for k in kinds]
+    pairs = [(i, n) for i, n in enumerate(notices)]
+    pairs += [(10 + i, f"{prose(20, i)} {n.title()}. {prose(20, 9 + i)}") for i, n in enumerate(notices)]
+    pairs += [(20 + i, n.replace("this work", "this fine work")) for i, n in enumerate(notices)]
+    # Notices one after the other are told apart by their places.
+    pairs += [(30, f"{notices[0]} {notices[1]}"), (31, " and ".join(notices)), (32, f"{notices[1]} {prose(40, 5)} {notices[2]}")]
+    labels = {r.doc_id: r.labels for r in licenses.scan(docs_of(pairs)).collect()}
+    assert labels == {i + j: k for i in (0, 10, 20) for j, k in enumerate(kinds)} | {
+        30: "cc-by,cc-by-sa", 31: "cc-by,cc-by-nc,cc-by-sa", 32: "cc-by-nc,cc-by-sa"
+    }
+    assert {k: [licenses.NOTICES[k].split()[i] for i in v] for k, v in licenses.distinguishing(licenses.NOTICES).items() if v} == {
+        "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"]
+    }
