@@ -39,11 +39,13 @@ TREES, DEPTH = 20, 6
 # Mean cost of a character's transition, in nats, below which a value reads like words.
 WORDLIKE = 3.0
 _NAME = "(?:api[_-]?key|access[_-]?key|passw(?:or)?d|passphrase|pwd|secret|token|credential)"
+# What may stand between a name and its mark: further words, as in secret_access_key or secretKey, and a quote. Words before the name need no pattern.
+_REST = "(?:[_-]{1,2}[a-z0-9]{1,32}+|keys?|values?|ids?|strings?|texts?|s){0,8}+[\"']?"
 
 RULES = {
     # A run of token characters from its beginning, with a digit in it.
     "token": (r"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]*+[0-9])[A-Za-z0-9+/_.~-]{8,}+={0,2}", "[0-9]"),
-    "assigned": (rf"(?i)\b{_NAME}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{6,}}+", "[:=]"),
+    "assigned": (rf"(?i){_NAME}{_REST}\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{6,}}+", "[:=]"),
 }
 # Words of harmless places and values.
 HARMLESS = "example|sample|dummy|test|fake|placeholder|changeme|your|xxxx|lorem"
@@ -58,7 +60,7 @@ FEATURES = [
 def candidates(rows: DataFrame) -> DataFrame:
     """doc_id, text_key, path, start, end, value, before, after: one per place, values without their names."""
     found = matches(rows, RULES)
-    name = F.regexp_extract("value", rf"(?i)^{_NAME}[\"']?\s*[:=]\s*[\"']?", 0)
+    name = F.regexp_extract("value", rf"(?i)^{_NAME}{_REST}\s*[:=]\s*[\"']?", 0)
     named = F.when(F.col("rule") == "assigned", name).otherwise(F.lit(""))
     parts = found.withColumn("named", named).select(
         "doc_id", "text_key", "path", (F.col("start") + F.length("named")).alias("start"), "end",

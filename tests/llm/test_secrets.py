@@ -61,3 +61,17 @@ def test_one_label_and_empty(docs_of, no_docs):
 def test_native(docs_of, prose, plan_of):
     plan = plan_of(secrets.scan(docs_of(case(prose)[0])))
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_joined_to_words(docs_of):
+    shapes = [
+        ("DB_PASSWORD=", "correcthorse"), ('client_secret: "', "qwertzuiopasdfgh"), ('secret_key = "', "abcdefghijklmnop"),
+        ("AWS_SECRET_ACCESS_KEY=", "AbCdEfGhIjKlMnOpQrSt"), ("db_password=", "hunt3r!"), ("my-api-key-value: '", "qwertzuiop"),
+        ("dbPassword = ", "correcthorse"), ('"secretKey": "', "abcdefghijklmnop"), ("session_token_id=", "qwertzuiop"),
+        ("password=", "correcthorse"), ("tokens: ", "qwertzuiop"),
+    ]
+    pairs = [(i, f"some words {name}{value} more words") for i, (name, value) in enumerate(shapes)]
+    pairs += [(100, "a secret for you = none"), (101, "the secretary: somebody")]
+    rows = secrets.scan(docs_of(pairs)).collect()
+    texts = dict(pairs)
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in rows) == [(i, value) for i, (_, value) in enumerate(shapes)]
