@@ -7,7 +7,8 @@ bounded sample of labelled rows, each with a bounded, evenly spaced share of its
 features. Scoring uses every feature of the whole text.
 
 Defined results: null and empty texts score the share of label 1 in the sample;
-without labels every score is 0.5; labels that are null are ignored; repeated
+without labels every score is 0.5, and ``drop_low_quality`` keeps all rows, as it
+does without texts of both labels; labels that are null are ignored; repeated
 rows give equal rows; only doc_id, text and the labels' doc_id and quality are read.
 """
 
@@ -41,6 +42,7 @@ class Model:
     weights: np.ndarray
     bias: float
     prior: float
+    learned: bool = True  # texts of both labels were seen
 
 
 def features(texts: list[str], bits: int = BUCKET_BITS) -> Iterator[np.ndarray]:
@@ -123,7 +125,8 @@ def train(
             # Shares sum to 1; scaled up so that a bucket moves although it is one of many.
             vectors[ids] = own - (now * len(ids) ** 0.5) * share[:, None] * back
     prior = float((sample["label"] > 0).mean()) if len(sample) else 0.5
-    return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
+    learned = len({y for _, y in rows_of}) == 2
+    return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior, learned)
 
 
 def scorer(docs: DataFrame, model: Model, bits: int = BUCKET_BITS):
@@ -156,6 +159,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` without the rows scored below the threshold; all columns."""
-    score = scorer(docs, train(docs, labels, **options), options.get("bits", BUCKET_BITS))
+    """``docs`` without the rows scored below the threshold; all columns. Without texts of both labels to learn from, all rows."""
+    model = train(docs, labels, **options)
+    if not model.learned:
+        return docs
+    score = scorer(docs, model, options.get("bits", BUCKET_BITS))
     return docs.where(score(F.col("text")) >= threshold)

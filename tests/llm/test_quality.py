@@ -61,3 +61,10 @@ def test_without_labels_or_documents(spark, docs_of, no_docs):
     rows = quality.quality_scores(docs_of([(1, "some words"), (2, None)]), none).collect()
     assert [r.score for r in rows] == [0.5, 0.5]
     assert quality.quality_scores(no_docs, none).count() == 0
+
+
+def test_drops_nothing_without_both_labels(spark, docs_of, prose):
+    pairs = [(i, prose(20, i)) for i in range(12)] + [(20, None), (21, "")]
+    for labels in ([], [(i, None) for i in range(12)], [(i, 0) for i in range(12)], [(i, 1) for i in range(12)]):
+        labels = spark.createDataFrame(labels, "doc_id long, quality int")
+        assert quality.drop_low_quality(docs_of(pairs), labels).count() == len(pairs)
