@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import (
-    chat, decontaminate, exact_dedup, language_id, licenses, packing, pii, quality, secrets, simhash,
+    alignment, chat, decontaminate, exact_dedup, language_id, licenses, packing, pii, quality, quality_rules, secrets, simhash, simplex,
 )
 from corpuslens.llm.common import documents, prepared, table
 
@@ -83,3 +83,18 @@ def op9_pii(spark, sf):
 @query
 def op10_license_scan(spark, sf):
     return licenses.scan(documents(spark, sf))
+
+
+@query
+def op11_tokenizer_alignment(spark, sf):
+    return alignment.document_links(documents(spark, sf))
+
+
+@query
+def op12_quality_rules(spark, sf):
+    return quality_rules.judge(documents(spark, sf), table(spark, sf, "labels"))
+
+
+@query
+def op13_centroid_clustering(spark, sf):
+    return simplex.with_inertia(*simplex.cluster(table(spark, sf, "embeddings")))

@@ -81,5 +81,5 @@ def test_registered():
     import __spark_entry__ as driver
 
     names = set(driver.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in driver.oracle_sql()
