@@ -66,3 +66,20 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, size: str) -> DataFrame
     return rows.join(hot, key).unionByName(
         rows.join(hot.select(key), key, "left_anti").join(lookup, key, "left")
     )
+
+
+def matching(rows: DataFrame, lookup: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``lookup`` (one row per key) on ``key``; rows without a match are left out.
+
+    ``size`` is the lookup column with the number of rows of each key. Keys with more than
+    ``HOT_SHARE`` of the rows that match are looked up by broadcast; these are fewer than 1 / ``HOT_SHARE``.
+    Both inputs are read twice where there are any, so they should be stored tables.
+    """
+    total = lookup.agg(F.sum(size)).first()[0] or 0
+    hot = [r[0] for r in lookup.where(F.col(size) > total * HOT_SHARE).select(key).collect()]
+    if not hot:
+        return rows.join(lookup, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(lookup.where(is_hot)), key).unionByName(
+        rows.where(~is_hot).join(lookup.where(~is_hot), key)
+    )

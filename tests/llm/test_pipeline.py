@@ -4,10 +4,10 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import packing, quality, simhash
+from corpuslens.llm import packing, quality
 from test_decontaminate import brute
+from test_near_copies import brute as brute_near
 from test_packing import check_packing, plain_ids
-from test_simhash import brute_components
 
 
 @pytest.fixture
@@ -46,13 +46,10 @@ def test_run_as_brute_force(spark, tables):
         if (i if i is not None else -1) >= last.get(t or "", (-2,))[0]:
             last[t or ""] = (i if i is not None else -1, t)
     left = [(i if i >= 0 else None, t) for i, t in last.values()]
-    fps = {i: simhash.fingerprint(t or "") for i, t in left}
-    roots = brute_components(sorted(set(fps.values())))
-    keep = {}
-    for i, _ in left:
-        if i is not None:
-            keep[roots[fps[i]]] = min(i, keep.get(roots[fps[i]], i))
-    left = [(i, t) for i, t in left if keep.get(roots[fps[i]]) == i]
+    # Five-word Jaccard of 0.8 or more, all pairs.
+    least = brute_near(left)
+    assert {i for i, t in left if i != least[t]} >= {401, 402, 409}
+    left = [(i, t) for i, t in left if i == least[t]]
     leaks = {i for i, _, _ in brute([x for x in left if len(x[1] or "") < 5000], items)}
     assert len(leaks) == 8
     left = [(i, t) for i, t in left if i not in leaks]
