@@ -42,6 +42,12 @@ def idf(n_chunks: Column, df: Column) -> Column:
     return F.ln(n_chunks - df + 0.5) - F.ln(df + 0.5)
 
 
+def average_idf(terms: DataFrame, n_chunks: int) -> float:
+    """Average over distinct terms, taken from the histogram of df; 0 without terms."""
+    by_df = terms.groupBy("df").agg(F.count("*").alias("c"))
+    return by_df.agg(F.sum(F.col("c") * idf(F.lit(float(n_chunks)), F.col("df"))) / F.sum("c")).first()[0] or 0.0
+
+
 def term_counts(rows: DataFrame, text: Column) -> DataFrame:
     """Adds ``n_tokens`` and, one row per distinct token, ``token`` and ``tf``.
 
@@ -81,11 +87,7 @@ def build_index(chunks: DataFrame) -> Bm25Index:
     if not n_chunks:
         raise ValueError("at least one chunk is required")
     total_len = postings.agg(F.sum("tf")).first()[0] or 0
-    # Average over distinct terms, taken from the histogram of df.
-    n = F.lit(float(n_chunks))
-    by_df = terms.groupBy("df").agg(F.count("*").alias("c"))
-    avg_idf = by_df.agg(F.sum(F.col("c") * idf(n, F.col("df"))) / F.sum("c")).first()[0]
-    return Bm25Index(chunk_table, postings, terms, n_chunks, total_len, avg_idf or 0.0)
+    return Bm25Index(chunk_table, postings, terms, n_chunks, total_len, average_idf(terms, n_chunks))
 
 
 def question_weights(questions: DataFrame, index: Bm25Index) -> DataFrame:

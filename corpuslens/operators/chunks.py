@@ -10,21 +10,26 @@ from corpuslens import schemas
 from corpuslens.functions import text as tx
 
 
+def page_fields() -> list[Column]:
+    """Page columns, defaulted. Empty strings fall through to their default just like missing ones."""
+    stem = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return [
+        F.coalesce(tx.truthy(F.col("title")), tx.truthy(F.col("summary_name")), stem).alias("title"),
+        tx.truthy(F.col("cancer_type")).alias("cancer_type"),
+        F.coalesce(tx.truthy(F.col("topic")), F.lit("general")).alias("topic"),
+        F.coalesce(tx.truthy(F.col("audience")), F.lit("unspecified")).alias("audience"),
+        F.col("url"), F.col("source_file"), F.col("load_order"),
+    ]
+
+
 def usable_sections(pages: DataFrame) -> DataFrame:
     """One row per section worth indexing, with page fields defaulted.
 
     ``pages`` holds url, title, summary_name, cancer_type, topic, audience,
-    source_file, load_order and sections (array of structs). Page fields that
-    are empty strings fall through to their default just like missing ones.
-    A narrow step: no shuffle.
+    source_file, load_order and sections (array of structs). A narrow step: no shuffle.
     """
-    stem = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
     page = pages.where((F.col("url") != "") & F.col("sections").isNotNull()).select(
-        F.coalesce(tx.truthy(F.col("title")), tx.truthy(F.col("summary_name")), stem).alias("title"),
-        tx.truthy(F.col("cancer_type")).alias("cancer_type"),
-        F.coalesce(tx.truthy(F.col("topic")), F.lit("general")).alias("topic"),
-        F.coalesce(tx.truthy(F.col("audience")), F.lit("unspecified")).alias("audience"),
-        "url", "source_file", "load_order",
+        *page_fields(),
         # Outer: the filters that Spark derives from a plain explode would
         # build the sections a second time.
         F.posexplode_outer("sections").alias("section_index", "s"),
