@@ -490,10 +490,14 @@ SELECT is_specific, entity, count(*) AS page_count,
        trim(regexp_replace(lower(entity), '[^a-z0-9]+', '_', 'g'), '_') || '.json' AS file
 FROM e GROUP BY is_specific, entity"""
 SQL["group_pages_by_entity"] = f"""
-WITH {TITLED}
-SELECT cancer_type IS NOT NULL AS is_specific, coalesce(cancer_type, summary_name) AS entity, count(*) AS page_count,
-       string_agg(url, '|' ORDER BY topic, audience, title, url) AS urls
-FROM typed GROUP BY ALL"""
+WITH {TITLED},
+placed AS (
+  SELECT cancer_type IS NOT NULL AS is_specific, coalesce(cancer_type, summary_name) AS entity, url,
+         row_number() OVER (PARTITION BY cancer_type IS NOT NULL, coalesce(cancer_type, summary_name) ORDER BY topic, audience, title, url) - 1 AS spot,
+         count(*) OVER (PARTITION BY cancer_type IS NOT NULL, coalesce(cancer_type, summary_name)) AS n
+  FROM typed)
+SELECT is_specific, entity, spot // 10000 AS part, spot % 10000 + 1 AS place, least(10000, n - spot // 10000 * 10000) AS page_count, url
+FROM placed"""
 SQL["slugify"] = """
 WITH n AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS name FROM documents),
 s AS (SELECT name, trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM n)
@@ -625,3 +629,230 @@ SELECT url, array_to_string(list_sort(list(DISTINCT least(c1, c2))), '|') AS col
        coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label <> '')), '|'), '') AS labels,
        count(DISTINCT index_url) AS origins
 FROM links GROUP BY url"""
+
+# --- incremental refresh ------------------------------------------------------------
+_MOVED = "CASE WHEN doc_id % 7 = 0 THEN 'doc://moved/' ELSE 'doc://' END || doc_id"
+CRAWLED = f"""
+crawled AS (
+  SELECT doc_id, lang, source, CASE WHEN doc_id % 11 = 1 THEN text || ' Updated.' ELSE text END AS text, {_MOVED} AS page_url FROM documents),"""
+REFRESHED = CRAWLED + CHUNKS.replace("FROM documents)", "FROM crawled)").replace("'doc://' || doc_id", f"({_MOVED})")
+
+
+def _refreshed(sql: str) -> str:
+    return sql.replace(CHUNKS, REFRESHED)
+
+
+_PAGES = f"""
+WITH {CRAWLED}
+old AS (SELECT 'doc://' || doc_id AS url, text, true AS there FROM documents),
+now AS (SELECT page_url AS url, text, true AS there FROM crawled),
+kinds AS (
+  SELECT url, CASE WHEN old.there IS NULL THEN 'new' WHEN now.there IS NULL THEN 'removed'
+                   WHEN old.text IS DISTINCT FROM now.text THEN 'changed' ELSE 'unchanged' END AS kind
+  FROM old FULL JOIN now USING (url))"""
+SQL["refresh_changes"] = _PAGES + """
+SELECT 1 AS version, url, 'new' AS kind FROM old UNION ALL SELECT 2, url, kind FROM kinds WHERE kind <> 'unchanged'"""
+_COUNTS = f"SELECT n AS n_chunks, total AS total_len FROM n"
+SQL["refresh_commits"] = _PAGES + f"""
+SELECT 1 AS version, n_chunks, total_len, (SELECT count(*) FROM documents) AS "new", 0 AS changed, 0 AS removed, 0 AS unchanged
+FROM (WITH {INDEX} {_COUNTS})
+UNION ALL
+SELECT 2, n_chunks, total_len, (SELECT count(*) FROM kinds WHERE kind = 'new'), (SELECT count(*) FROM kinds WHERE kind = 'changed'),
+       (SELECT count(*) FROM kinds WHERE kind = 'removed'), (SELECT count(*) FROM kinds WHERE kind = 'unchanged')
+FROM (WITH {_refreshed(INDEX)} {_COUNTS})"""
+SQL["refresh_term_df"] = _refreshed(SQL["bm25_term_df"])
+SQL["refresh_topk"] = _refreshed(SQL["bm25_topk"])
+
+# --- chunks by tokens -----------------------------------------------------------------
+_COUNT = f"len({_TOKENS})"
+_RUNS = r"(?i)(?:.*?(?:[a-z0-9]+(?:[-_/+][a-z0-9]+)*)){1,80}(?:[^a-z0-9]*$)?"
+# Piece counts are lists with a leading 0; place i of the definition is element i + 1.
+_STOP = """CASE WHEN ends[n + 1] - ends[{stop} + 1] < 60 AND ends[n + 1] - ends[{start} + 1] <= 800 THEN n ELSE {stop} END"""
+_FULL = "greatest({taken} + 1, len(list_filter(ends, lambda e: e <= ends[{start} + 1] + 550)) - 1)"
+SQL["token_chunk_ids"] = rf"""
+WITH RECURSIVE {CLEAN},
+lines AS (
+  SELECT doc_id, source, (l - 1) // 3 AS s, l, ls[l] AS line, {_COUNT.format('ls[l]')} AS tokens
+  FROM (SELECT *, string_split(body, chr(10)) AS ls FROM clean WHERE body <> ''), unnest(range(1, len(ls) + 1)) AS r(l)),
+parts AS (
+  SELECT doc_id, s, l, CASE WHEN tokens <= 800 THEN [line] ELSE string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) END AS ps
+  FROM lines),
+sentences AS (SELECT doc_id, s, l, p, len(ps) AS n_parts, ps[p] AS part FROM parts, unnest(range(1, len(ps) + 1)) AS r(p)),
+runs AS (
+  SELECT *, CASE WHEN {_COUNT.format('part')} <= 800 THEN [part] ELSE regexp_extract_all(part, '{_RUNS}') END AS rs FROM sentences),
+pieces AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY l, p, q) AS spot, rs[q] AS piece, {_COUNT.format('rs[q]')} AS tokens,
+         CASE WHEN q < len(rs) THEN '' WHEN p < n_parts THEN ' ' ELSE chr(10) END AS glue
+  FROM runs, unnest(range(1, len(rs) + 1)) AS r(q)),
+totals AS (SELECT doc_id, s, sum(tokens) AS total FROM pieces GROUP BY ALL),
+merged AS (
+  SELECT doc_id, s, s AS g, total AS held FROM totals WHERE s = 0
+  UNION ALL
+  SELECT doc_id, s, CASE WHEN fits THEN g ELSE s END, CASE WHEN fits THEN held + total ELSE total END
+  FROM (SELECT t.doc_id, t.s, m.g, m.held, t.total,
+               t.s // 4 = m.s // 4 AND (t.total < 60 OR m.held < 60) AND m.held + t.total <= 550 AS fits
+        FROM merged m JOIN totals t ON t.doc_id = m.doc_id AND t.s = m.s + 1)),
+grouped AS (
+  SELECT doc_id, g, s, spot, piece, tokens, glue, row_number() OVER (PARTITION BY doc_id, g ORDER BY spot) AS i,
+         sum(tokens) OVER (PARTITION BY doc_id, g ORDER BY spot) AS c
+  FROM pieces JOIN merged USING (doc_id, s)),
+sums AS (
+  SELECT doc_id, g, count(*) AS n, list_prepend(0, list(c ORDER BY i)) AS ends, list(tokens ORDER BY i) AS sizes FROM grouped GROUP BY ALL),
+cuts AS (
+  SELECT doc_id, g, n, ends, sizes, 0 AS start, {_STOP.format(start='0', stop='full_stop')} AS stop
+  FROM (SELECT *, {_FULL.format(taken='0', start='0')} AS full_stop FROM sums)
+  UNION ALL
+  SELECT doc_id, g, n, ends, sizes, start, {_STOP.format(start='start', stop='full_stop')}
+  FROM (SELECT *, {_FULL.format(taken='taken', start='start')} AS full_stop
+        FROM (SELECT doc_id, g, n, ends, sizes, stop AS taken, least(stop, greatest(start + 1, len(list_filter(ends, lambda e: e <= ends[back + 1])) - 1)) AS start
+              FROM (SELECT *, len(list_filter(ends, lambda e: e < ends[stop + 1] - least(80, 800 - sizes[stop + 1]))) AS back
+                    FROM cuts WHERE stop < n)))),
+chunks AS (
+  SELECT doc_id, g, start, min(s) AS first_s, max(s) AS last_s, sum(p.tokens) AS n_tokens,
+         rtrim(string_agg(piece || glue, '' ORDER BY i), ' ' || chr(10)) AS text
+  FROM cuts JOIN grouped p USING (doc_id, g) WHERE i > start AND i <= stop GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, start) - 1 AS chunk_index FROM chunks),
+named AS (
+  SELECT *, source || ' > Part ' || (first_s // 4) || CASE WHEN first_s = last_s THEN ' > Section ' || first_s ELSE '' END AS path
+  FROM numbered JOIN (SELECT DISTINCT doc_id, source FROM documents) USING (doc_id))
+SELECT doc_id, chunk_index, 'Section ' || first_s AS section, last_s - first_s + 1 AS n_sections, n_tokens,
+       'nci-pdq-' || left(sha256('doc://' || doc_id || chr(10) || path || chr(10) || chunk_index || chr(10) || text), 24) AS chunk_id
+FROM named"""
+
+# --- dense retrieval --------------------------------------------------------------------
+SQL["dense_topk"] = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+unit AS (
+  SELECT vec_id, list_transform(v, lambda x: x / norm) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM usable) WHERE norm > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, u.vec_id, list_dot_product(q.v, u.v) AS similarity
+  FROM unit q JOIN unit u ON len(q.v) = len(u.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM scored)
+SELECT query_id, vec_id, round(similarity, 5) AS similarity, rank FROM ranked WHERE rank <= 20"""
+
+# --- ranked lists ---------------------------------------------------------------------------
+HITS_20 = HITS.replace("rank <= 6", "rank <= 20")
+HITS_30 = HITS.replace("rank <= 6", "rank <= 30")
+SQL["rrf_fusion"] = f"""
+WITH {HITS_20},
+usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+unit AS (
+  SELECT vec_id, list_transform(v, lambda x: x / norm) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM usable) WHERE norm > 0),
+near AS (
+  SELECT q.vec_id AS query_id, u.vec_id,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, u.v), 6) DESC, u.vec_id) AS rank
+  FROM unit q JOIN benchmark b ON b.item_id = q.vec_id JOIN unit u ON len(q.v) = len(u.v)),
+lists AS (
+  SELECT 'bm25' AS source, question_id, chunk_id, rank FROM hits
+  UNION ALL
+  SELECT 'dense', CAST(query_id AS VARCHAR), chunk_id, rank FROM near JOIN chunks ON doc_id = vec_id AND chunk_index = 0 WHERE rank <= 20),
+fused AS (
+  SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM lists GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fused)
+SELECT question_id, chunk_id, round(score, 8) AS score, sources, rank FROM placed WHERE rank <= 30"""
+SQL["metadata_boost"] = f"""
+WITH {HITS_30},
+named AS (
+  SELECT CAST(item_id AS VARCHAR) AS question_id, item_id % 4 AS kind, 'src' || (item_id % 20) AS value FROM benchmark
+  WHERE item_id % 4 < 3 AND 'src' || (item_id % 20) IN (SELECT source FROM documents)),
+met AS (
+  SELECT h.question_id, h.chunk_id, h.score, c.lang,
+         CASE WHEN m.kind = 0 AND c.cancer_type = m.value THEN 'entity' WHEN m.kind = 1 AND c.cancer_type = m.value THEN 'alias'
+              WHEN m.kind = 2 AND c.source = m.value THEN 'topic' END AS level, m.kind
+  FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN named m USING (question_id)),
+counted AS (SELECT *, count(*) FILTER (level IN ('entity', 'alias')) OVER (PARTITION BY question_id) AS mapped FROM met),
+boosted AS (
+  SELECT question_id, chunk_id, CASE WHEN kind < 2 AND mapped < 3 THEN NULL ELSE level END AS level, score, lang FROM counted),
+scored AS (
+  SELECT question_id, chunk_id, level, score * (1 + CASE level WHEN 'entity' THEN 0.5e0 WHEN 'alias' THEN 0.3e0 WHEN 'topic' THEN 0.1e0 ELSE 0 END)
+         * CASE lang WHEN 'fr' THEN 0.85e0 ELSE 1 END AS score
+  FROM boosted),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)
+SELECT question_id, chunk_id, round(score, 4) AS score, level, rank FROM placed WHERE rank <= 30"""
+SQL["diversity_cap"] = f"""
+WITH {HITS_20},
+nth AS (
+  SELECT question_id, chunk_id, rank AS old_rank,
+         row_number() OVER (PARTITION BY question_id, source, lang ORDER BY rank) > 2 AS filled
+  FROM hits JOIN chunks USING (chunk_id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY filled, old_rank) AS k FROM nth)
+SELECT question_id, chunk_id, old_rank, filled, row_number() OVER (PARTITION BY question_id ORDER BY old_rank) AS rank FROM kept WHERE k <= 8"""
+
+# --- audits -----------------------------------------------------------------------------------
+_NORMAL = f"array_to_string(list_transform({_TOKENS}, lambda t: lower(t)), ' ')"
+LEAKED = CHUNKS + f""",
+items AS (SELECT CAST(item_id AS VARCHAR) AS question_id, {_NORMAL.format('text')} AS ours FROM benchmark),
+texts AS (SELECT chunk_id, {_NORMAL.format('text')} AS theirs FROM chunks),
+left_sets AS (SELECT DISTINCT question_id, unnest(string_split(ours, ' ')) AS token FROM items WHERE ours <> ''),
+right_sets AS (SELECT DISTINCT chunk_id, unnest(string_split(theirs, ' ')) AS token FROM texts WHERE theirs <> ''),
+sizes AS (SELECT question_id, count(*) AS n FROM left_sets GROUP BY ALL),
+shared AS (SELECT question_id, chunk_id, count(*) AS shared FROM left_sets JOIN right_sets USING (token) GROUP BY ALL),
+leaked AS (
+  SELECT question_id, chunk_id, CAST(shared AS DOUBLE) / n AS containment,
+         CASE WHEN ours = theirs THEN 'equal' WHEN contains(' ' || theirs || ' ', ' ' || ours || ' ') THEN 'verbatim' ELSE 'near' END AS kind
+  FROM shared JOIN sizes USING (question_id) JOIN items USING (question_id) JOIN texts USING (chunk_id) WHERE 10 * shared >= 8 * n)"""
+SQL["leakage_near"] = f"WITH {LEAKED} SELECT question_id, chunk_id, kind, round(containment, 6) AS containment FROM leaked"
+SQL["retrieval_metrics"] = f"""
+WITH {HITS_20}, {LEAKED.removeprefix(CHUNKS + ',')},
+judged AS (SELECT question_id, chunk_id, CASE kind WHEN 'near' THEN 1 ELSE 2 END AS grade FROM leaked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY grade DESC, chunk_id) AS place FROM judged LEFT JOIN hits USING (question_id, chunk_id))
+SELECT question_id, count(*) AS n_relevant,
+       round(count(*) FILTER (rank <= 5) / CAST(count(*) AS DOUBLE), 6) AS recall_5, round(count(*) FILTER (rank <= 10) / CAST(count(*) AS DOUBLE), 6) AS recall_10,
+       round(coalesce(1.0 / min(rank), 0), 6) AS reciprocal_rank,
+       round(coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) / sum((2 ** grade - 1) / log2(place + 1)) FILTER (place <= 10), 6) AS ndcg_10
+FROM placed GROUP BY question_id"""
+_LABELLED = f"""
+labelled AS (SELECT doc_id, {_NORMAL.format('text')} AS body, toxic = 1 AS label FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL)"""
+SQL["label_conflicts"] = f"""
+WITH {_LABELLED}
+SELECT sha256(body) AS key, count(*) AS n_rows, count(*) FILTER (label) AS n_yes, count(*) FILTER (NOT label) AS n_no, min(doc_id) AS first_id
+FROM labelled GROUP BY body HAVING n_yes > 0 AND n_no > 0"""
+SQL["near_label_conflicts"] = f"""
+WITH {_LABELLED},
+sides AS (SELECT DISTINCT body, label FROM labelled WHERE body <> ''),
+sets AS (SELECT DISTINCT body, label, unnest(string_split(body, ' ')) AS token FROM sides),
+sizes AS (SELECT body, label, count(*) AS n FROM sets GROUP BY ALL),
+shared AS (
+  SELECT a.body AS yes, b.body AS no, count(*) AS shared FROM sets a JOIN sets b USING (token) WHERE a.label AND NOT b.label AND a.body <> b.body GROUP BY ALL)
+SELECT sha256(yes) AS yes_key, sha256(no) AS no_key, round(shared / CAST(a.n + b.n - shared AS DOUBLE), 6) AS jaccard
+FROM shared JOIN sizes a ON a.body = yes AND a.label JOIN sizes b ON b.body = no AND NOT b.label
+WHERE 10 * shared >= 9 * (a.n + b.n - shared)"""
+SQL["grouped_partitions"] = """
+WITH rows AS (
+  SELECT doc_id, md5(text) AS g, concat_ws('/', lang, quality) AS stratum FROM labels JOIN documents USING (doc_id)),
+counts AS (SELECT g, stratum, count(*) AS n FROM rows GROUP BY ALL),
+kinds AS (SELECT g, sum(n) AS n_rows, string_agg(stratum || ':' || n, ',' ORDER BY stratum) AS kind FROM counts GROUP BY g),
+placed AS (SELECT g, row_number() OVER (ORDER BY n_rows DESC, kind, md5(coalesce(g, '')), g NULLS FIRST) - 1 AS place FROM kinds)
+SELECT doc_id, CAST([0, 0, 0, 1, 0, 0, 2, 0, 0, 0][place % 10 + 1] AS BIGINT) AS part FROM rows JOIN placed ON rows.g IS NOT DISTINCT FROM placed.g"""
+SQL["integrity_report"] = """
+WITH d AS (SELECT doc_id AS i, coalesce(text, '') AS t, 'd/' || doc_id || '.json' AS path, source, lang FROM documents),
+files AS (SELECT path, length(t) AS size, md5(t) AS digest FROM d),
+listed AS (
+  SELECT CASE WHEN i % 7 = 0 THEN 'old/' || path ELSE path END AS path, length(t) + CASE WHEN i % 13 = 2 THEN 1 ELSE 0 END AS size,
+         CASE WHEN i % 11 = 1 THEN '0' ELSE md5(t) END AS digest FROM d),
+pages AS (
+  SELECT CASE WHEN i % 23 = 3 THEN 'lost/' || path ELSE path END AS path,
+         CASE WHEN i % 19 = 4 THEN 'doc://same' WHEN i % 29 = 6 THEN ' ' ELSE 'doc://' || i END AS url,
+         CASE WHEN i % 31 <> 7 THEN 'Document ' || i END AS title, source, lang, md5(t) AS hash, i % 17 = 5 OR NOT regexp_matches(t, '\\S') AS bare FROM d),
+named AS (SELECT *, coalesce(nullif(url, ''), path) AS subject FROM pages),
+found AS (
+  SELECT 'missing_file' AS kind, path AS subject, NULL AS detail FROM listed WHERE path NOT IN (SELECT path FROM files)
+  UNION ALL SELECT 'unlisted_file', path, NULL FROM files WHERE path NOT IN (SELECT path FROM listed)
+  UNION ALL SELECT 'other_size', path, NULL FROM listed l JOIN files f USING (path) WHERE l.size <> f.size
+  UNION ALL SELECT 'other_digest', path, NULL FROM listed l JOIN files f USING (path) WHERE l.digest <> f.digest
+  UNION ALL SELECT 'no_pages', path, NULL FROM files WHERE path NOT IN (SELECT path FROM pages)
+  UNION ALL SELECT DISTINCT 'pages_without_file', path, NULL FROM pages WHERE path NOT IN (SELECT path FROM files)
+  UNION ALL SELECT 'missing_field', subject, 'url' FROM named WHERE trim(url) = ''
+  UNION ALL SELECT 'missing_field', subject, 'title' FROM named WHERE title IS NULL
+  UNION ALL SELECT 'missing_field', subject, 'topic' FROM named WHERE trim(coalesce(source, '')) = ''
+  UNION ALL SELECT 'missing_field', subject, 'audience' FROM named WHERE trim(coalesce(lang, '')) = ''
+  UNION ALL SELECT 'empty_page', subject, NULL FROM named WHERE bare
+  UNION ALL SELECT 'conflicting_url', url, NULL FROM pages WHERE trim(url) <> '' GROUP BY url HAVING count(DISTINCT hash) > 1)
+SELECT kind, subject, detail, kind NOT IN ('unlisted_file', 'empty_page') AS is_error FROM found""".replace("\\\\", "\\")

@@ -13,10 +13,12 @@ from corpuslens import fixed_values as fv
 from corpuslens.catalog import tables
 from corpuslens.functions import messages, stats, web
 from corpuslens.functions import text as tx
-from corpuslens.operators import bm25, chunks, discovery, evidence, grouping, html, metrics, paired, validate
+from corpuslens.operators import (
+    bm25, chunks, dense, discovery, evidence, grouping, html, integrity, leakage, metrics, paired, partitioning, ranking, token_chunks, validate,
+)
 from corpuslens.operators.classify import Endpoint, classify
-from corpuslens.plans import crawl, retrieval
-from corpuslens.session import new_folder, ship_package, store
+from corpuslens.plans import crawl, refresh, retrieval
+from corpuslens.session import broadcast_if_small, new_folder, ship_package, store
 from corpuslens.sources import readers, writers
 from corpuslens.streaming import answers as streaming
 
@@ -25,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 # Indexes built in this process, by application and data folder: like any
 # search index they are built once and then read by every query.
 _INDEXES: dict[tuple[str, str], bm25.Bm25Index] = {}
+_CORPORA: dict[tuple[str, str], refresh.Corpus] = {}
 
 
 def query(f: Query) -> Query:
@@ -619,14 +622,16 @@ def html_links(spark, sf):
 
 @query
 def group_pages_by_entity(spark, sf):
-    """Entity documents: pages per document and their order."""
-    pages = named_pages(spark, sf)
-    docs = writers.page_documents(pages)
-    body = F.col("document")
-    titles = F.from_json(F.get_json_object(body, "$.pages"), "array<struct<url:string>>")
-    return docs.select(
-        "is_specific", "entity", F.get_json_object(body, "$.page_count").cast("long").alias("page_count"),
-        F.array_join(F.transform(titles, lambda p: p["url"]), "|").alias("urls"),
+    """Entity documents, line by line: the page at each place and the number of pages."""
+    lines = writers.document_lines(named_pages(spark, sf))
+    opening = lines.where("place = 0").select(
+        F.col("is_specific").alias("kind"), F.col("entity").alias("name"), F.col("part").alias("own_part"),
+        F.get_json_object(F.concat("line", F.lit("]}")), "$.page_count").cast("long").alias("page_count"),
+    )
+    same = (F.col("is_specific") == F.col("kind")) & (F.col("entity") == F.col("name")) & (F.col("part") == F.col("own_part"))
+    # A row per document.
+    return lines.join(broadcast_if_small(opening), same).where("place between 1 and page_count").select(
+        "is_specific", "entity", "part", "place", "page_count", F.get_json_object(F.ltrim("line", F.lit(",")), "$.url").alias("url")
     )
 
 
@@ -688,3 +693,176 @@ def useful_first_section(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence passages retrieved for every question."""
     return bm25_topk(spark, sf)
+
+
+# --- incremental refresh ----------------------------------------------------------
+def refreshed_corpus(spark: SparkSession, sf: str) -> refresh.Corpus:
+    """A corpus after two crawls."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CORPORA:
+        corpus = refresh.Corpus.open(spark, new_folder(spark, "corpus"), n_buckets=16)
+        for pages in (tables.document_pages(spark, sf), tables.second_crawl(spark, sf)):
+            corpus = refresh.refresh(corpus, pages)
+        _CORPORA[key] = corpus
+    return _CORPORA[key]
+
+
+@query
+def refresh_changes(spark, sf):
+    return refreshed_corpus(spark, sf).read("changes").select(F.col("version").cast("long").alias("version"), "url", "kind")
+
+
+@query
+def refresh_commits(spark, sf):
+    kinds = ("new", "changed", "removed", "unchanged")
+    return refreshed_corpus(spark, sf).commits().select(F.col("version").cast("long").alias("version"), "n_chunks", "total_len", *kinds)
+
+
+@query
+def refresh_term_df(spark, sf):
+    return refreshed_corpus(spark, sf).terms()
+
+
+@query
+def refresh_topk(spark, sf):
+    hits = bm25.search(tables.benchmark_questions(spark, sf), refreshed_corpus(spark, sf).index())
+    return hits.select("question_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- chunks by tokens ---------------------------------------------------------------
+@query
+def token_chunk_ids(spark, sf):
+    cut = token_chunks.chunk_pages(tables.sectioned_pages(spark, sf))
+    return cut.select(
+        F.col("load_order").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "section",
+        F.size("sections").cast("long").alias("n_sections"), F.col("n_tokens").cast("long").alias("n_tokens"),
+    )
+
+
+# --- dense retrieval ------------------------------------------------------------------
+@query
+def dense_topk(spark, sf):
+    """Every fiftieth vector against all."""
+    vectors = tables.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    hits = dense.search(asked, dense.build_index(vectors))
+    return hits.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+def _topk_lists(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Twenty chunks a question by BM25, and by the vectors with the question's and the document's number."""
+    index = document_index(spark, sf)
+    questions = tables.benchmark_questions(spark, sf)
+    vectors = tables.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.join(questions.select(F.col("question_id").cast("long").alias("vec_id"), "question_id"), "vec_id").select(
+        F.col("question_id").alias("query_id"), "vector")
+    near = dense.search(asked, dense.build_index(vectors)).select(F.col("query_id").alias("question_id"), "vec_id", "rank")
+    firsts = index.chunks.where("chunk_index = 0").select(F.col("load_order").alias("vec_id"), "chunk_id")
+    return {
+        "bm25": bm25.search(questions, index, 20).select("question_id", "chunk_id", "rank"),
+        "dense": firsts.join(broadcast_if_small(near), "vec_id").select("question_id", "chunk_id", "rank"),
+    }
+
+
+@query
+def rrf_fusion(spark, sf):
+    fused = ranking.fuse(_topk_lists(spark, sf))
+    return fused.select(
+        "question_id", "chunk_id", F.round("score", 8).alias("score"), F.array_join("sources", "+").alias("sources"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- ranked lists -----------------------------------------------------------------------
+@query
+def metadata_boost(spark, sf):
+    """Questions that name sources and languages, in words of one and two tokens."""
+    i = F.col("item_id")
+    named = F.when(i % 4 == 0, F.concat(F.lit(" source src"), i % 20)).when(i % 4 == 1, F.concat(F.lit(" about src"), i % 20)).when(
+        i % 4 == 2, F.concat(F.lit(" topic src"), i % 20)).otherwise("")
+    rows = tables.table(spark, sf, "benchmark").select(i.cast("string").alias("question_id"), F.concat("text", named).alias("question"))
+    sources = tables.table(spark, sf, "documents").select("source").distinct()
+    terms = sources.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("Source "), "source").alias("term"), F.lit("entity").alias("kind"), F.col("source").alias("value")),
+        F.struct(F.col("source").alias("term"), F.lit("alias").alias("kind"), F.col("source").alias("value")),
+        F.struct(F.concat(F.lit("topic "), "source").alias("term"), F.lit("topic").alias("kind"), F.col("source").alias("value")),
+    )))
+    index = document_index(spark, sf)
+    hits = store(bm25.search(tables.benchmark_questions(spark, sf), index, 30), "hits")
+    boosted = ranking.boost(hits, index.chunks, ranking.named_terms(rows, terms), audiences={"en": 1.0, "fr": 0.85})
+    return boosted.select("question_id", "chunk_id", F.round("score", 4).alias("score"), "level", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def diversity_cap(spark, sf):
+    """Pages and sections are those of the documents' source and language."""
+    index = document_index(spark, sf)
+    places = index.chunks.select("chunk_id", F.col("topic").alias("url"), F.array("audience").alias("section_path"))
+    hits = bm25.search(tables.benchmark_questions(spark, sf), index, 20)
+    kept = ranking.diverse(hits, places)
+    return kept.select("question_id", "chunk_id", F.col("old_rank").cast("long").alias("old_rank"), "filled", F.col("rank").cast("long").alias("rank"))
+
+
+def leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(tables.benchmark_questions(spark, sf), document_index(spark, sf).chunks)
+
+
+@query
+def retrieval_metrics(spark, sf):
+    """Ranks of BM25 against the chunks that hold the question's passage: whole 2, most of it 1."""
+    judged = leaked_items(spark, sf).select("question_id", "chunk_id", F.when(F.col("kind") == "near", 1).otherwise(2).alias("grade"))
+    hits = bm25.search(tables.benchmark_questions(spark, sf), document_index(spark, sf), 20)
+    found = ranking.retrieval_metrics(hits, judged)
+    rates = ("recall_5", "recall_10", "reciprocal_rank", "ndcg_10")
+    return found.select("question_id", "n_relevant", *[F.round(c, 6).alias(c) for c in rates])
+
+
+# --- audits -----------------------------------------------------------------------------
+@query
+def leakage_near(spark, sf):
+    return leaked_items(spark, sf).select("question_id", "chunk_id", "kind", F.round("containment", 6).alias("containment"))
+
+
+def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.documents(spark, sf).select("doc_id", "text")
+    return tables.table(spark, sf, "labels").join(docs, "doc_id").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("question"), (F.col("toxic") == 1).alias("label"))
+
+
+@query
+def label_conflicts(spark, sf):
+    return leakage.label_conflicts(labelled_texts(spark, sf))
+
+
+@query
+def near_label_conflicts(spark, sf):
+    return leakage.near_conflicts(labelled_texts(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query
+def grouped_partitions(spark, sf):
+    """Copies stay together; language and quality are balanced."""
+    rows = labelled_texts(spark, sf).join(tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), "id").join(
+        tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    grouped = rows.select("id", F.md5(F.col("question").cast("binary")).alias("group"), F.concat_ws("/", "lang", "quality").alias("stratum"))
+    return partitioning.with_parts(grouped).select(F.col("id").alias("doc_id"), F.col("part").cast("long").alias("part"))
+
+
+@query
+def integrity_report(spark, sf):
+    """A file and a page per document; some listed under another name, size or digest, some pages without a field."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("d/"), i, F.lit(".json"))
+    docs = tables.documents(spark, sf)
+    files = docs.select(path.alias("path"), F.length(text).cast("long").alias("size"), F.md5(text.cast("binary")).alias("digest"))
+    listed = docs.select(
+        F.when(i % 7 == 0, F.concat(F.lit("old/"), path)).otherwise(path).alias("path"),
+        (F.length(text) + F.when(i % 13 == 2, 1).otherwise(0)).cast("long").alias("size"),
+        F.when(i % 11 == 1, "0").otherwise(F.md5(text.cast("binary"))).alias("digest"),
+    )
+    sections = F.array(F.struct((i % 17 == 5).alias("is_boilerplate"), F.col("text").alias("text")))
+    pages = docs.select(
+        F.when(i % 23 == 3, F.concat(F.lit("lost/"), path)).otherwise(path).alias("path"),
+        F.when(i % 19 == 4, "doc://same").when(i % 29 == 6, " ").otherwise(F.concat(F.lit("doc://"), i)).alias("url"),
+        F.when(i % 31 != 7, F.concat(F.lit("Document "), i)).alias("title"), F.col("source").alias("topic"), F.col("lang").alias("audience"),
+        F.md5(text.cast("binary")).alias("content_sha256"), sections.alias("sections"),
+    )
+    return integrity.integrity_report(listed, files, pages)

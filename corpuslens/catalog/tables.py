@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
+from corpuslens.functions import text as tx
 from corpuslens.operators.metrics import RUNS
 from corpuslens.session import spread
 
@@ -28,7 +29,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
-def document_pages(spark: SparkSession, sf_dir: str, url: Column | None = None, path: Column | None = None) -> DataFrame:
+def document_pages(
+    spark: SparkSession, sf_dir: str, url: Column | None = None, path: Column | None = None, text: Column | None = None
+) -> DataFrame:
     """Every document as a page with one section."""
     title = F.concat(F.lit("Document "), F.col("doc_id"))
     section = F.struct(
@@ -36,7 +39,7 @@ def document_pages(spark: SparkSession, sf_dir: str, url: Column | None = None,
         (F.array(F.col("source"), title) if path is None else path).alias("section_path"),
         F.lit(False).alias("is_boilerplate"),
         F.lit(1).alias("block_count"),
-        F.col("text").alias("text"),
+        (F.col("text") if text is None else text).alias("text"),
     )
     return documents(spark, sf_dir).select(
         title.alias("title"),
@@ -51,6 +54,35 @@ def document_pages(spark: SparkSession, sf_dir: str, url: Column | None = None,
     )
 
 
+def second_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a later crawl finds them: some at another address, some with another text."""
+    i = F.col("doc_id")
+    url = F.concat(F.when(i % 7 == 0, "doc://moved/").otherwise("doc://"), i)
+    text = F.when(i % 11 == 1, F.concat("text", F.lit(" Updated."))).otherwise(F.col("text"))
+    return document_pages(spark, sf_dir, url=url, text=text)
+
+
+def sectioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page whose sections are three lines each, four sections to a part."""
+    lines = F.split(tx.clean_text(F.col("text")), "\n")
+
+    def section(i: Column) -> Column:
+        name = F.concat(F.lit("Section "), i)
+        return F.struct(
+            name.alias("section"), F.array(F.col("source"), F.concat(F.lit("Part "), F.floor(i / 4)), name).alias("section_path"),
+            F.lit(False).alias("is_boilerplate"), F.lit(1).alias("block_count"),
+            F.array_join(F.slice("_lines", i * 3 + 1, F.lit(3)), "\n").alias("text"),
+        )
+
+    count = F.ceil(F.size("_lines") / 3).cast("int")
+    return documents(spark, sf_dir).withColumn("_lines", lines).select(
+        F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), F.lit(None).cast("string").alias("summary_name"),
+        F.lit(None).cast("string").alias("cancer_type"), F.col("source").alias("topic"), F.col("lang").alias("audience"),
+        F.concat(F.lit("doc://"), F.col("doc_id")).alias("url"), F.lit("documents.parquet").alias("source_file"),
+        F.col("doc_id").alias("load_order"), F.transform(F.sequence(F.lit(0), count - 1), section).alias("sections"),
+    )
+
+
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
 
 _SHIPPED: set[str] = set()
 # Catalog names of bucketed tables, by their DataFrame; stand-in folders of local sessions without spark.checkpoint.dir.
-_TABLES: dict[int, str] = {}
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -116,13 +117,13 @@ def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
         .saveAsTable(table)
     )
     stored = spark.table(table)
-    _TABLES[id(stored)] = table
+    _TABLES[stored] = table
     return stored
 
 
 def drop_bucketed(stored: DataFrame) -> None:
     """Drop the catalog entry of a table that :func:`store_bucketed` made."""
-    table = _TABLES.pop(id(stored), None)
+    table = _TABLES.pop(stored, None)
     if table:
         stored.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 

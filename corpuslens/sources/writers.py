@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from urllib.parse import unquote
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.functions import web
-from corpuslens.session import new_folder
+from corpuslens.operators.grouping import with_position
+from corpuslens.session import broadcast_if_small, store
 
 
 def csv_columns(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -68,6 +70,8 @@ def file_clashes(manifest: DataFrame) -> DataFrame:
 
 
 PAGE_ORDER = ["topic", "audience", "title", "url"]
+# Pages in one file: it is written by one task and read as one value.
+FILE_PAGES = 10_000
 
 
 def _head() -> list:
@@ -81,68 +85,78 @@ def _head() -> list:
     ]
 
 
-def document_lines(pages: DataFrame) -> DataFrame:
-    """is_specific, entity, place, line: the JSON document of each entity, a line at a time.
+def document_lines(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
+    """is_specific, entity, part, place, line: the JSON documents of each entity, a line at a time.
 
-    Line 0 opens the document, then comes a line per page, by topic, audience, title
-    and URL, and a last one closes it. No row holds more than a page, whatever the
-    number of pages of an entity.
+    Pages are numbered by topic, audience, title and URL. A document holds at most
+    ``file_pages`` of them; an entity with more has several documents, parts 0, 1 and so on,
+    each complete in itself. Line 0 opens a document, then comes a line per page, and a last one
+    closes it. The numbers come from one range sort of all pages, so an entity of any size is sorted by many tasks.
     """
     columns = [c for c in pages.columns if c not in ("load_order", "source_file")]
-    rows = entities(pages)
-    along = Window.partitionBy("is_specific", "entity").orderBy(*PAGE_ORDER)
-    place = F.row_number().over(along).cast("long")
-    body = rows.select("is_specific", "entity", place.alias("place"), F.to_json(F.struct(*columns)).alias("line"))
-    body = body.withColumn("line", F.when(F.col("place") > 1, F.concat(F.lit(","), "line")).otherwise(F.col("line")))
-    totals = rows.groupBy("is_specific", "entity").agg(F.count("*").alias("page_count"))
+    order = [F.col("is_specific"), F.col("entity"), *[F.col(c) for c in PAGE_ORDER]]
+    rows = store(with_position(entities(pages), order, "_position"), "page-lines")
+    totals = rows.groupBy("is_specific", "entity").agg(F.count("*").alias("n_pages"), F.min("_position").alias("_first"))
+    kept = totals.select(F.col("is_specific").alias("_kind"), F.col("entity").alias("_name"), "_first")
+    same = F.col("is_specific").eqNullSafe(F.col("_kind")) & F.col("entity").eqNullSafe(F.col("_name"))
+    at = F.col("_position") - F.col("_first")
+    place = at % file_pages + 1
+    body = rows.join(broadcast_if_small(kept), same).select(
+        "is_specific", "entity", F.floor(at / file_pages).alias("part"), place.alias("place"),
+        F.concat(F.when(place > 1, ",").otherwise(""), F.to_json(F.struct(*columns))).alias("line"),
+    )
+    parts = totals.select(
+        "is_specific", "entity", "n_pages", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_pages") - 1) / file_pages))).alias("part")
+    ).withColumn("page_count", F.least(F.lit(file_pages), F.col("n_pages") - F.col("part") * file_pages))
     opening = F.regexp_replace(F.to_json(F.struct(*_head())), r"\}$", ',"pages":[')
-    ends = totals.select("is_specific", "entity", F.inline(F.array(
+    ends = parts.select("is_specific", "entity", "part", F.inline(F.array(
         F.struct(F.lit(0).cast("long").alias("place"), opening.alias("line")),
         F.struct((F.col("page_count") + 1).alias("place"), F.lit("]}").alias("line")),
     )))
     return body.unionByName(ends)
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
-    """is_specific, entity, document: the JSON documents as one row each, for entities that fit a row."""
-    line = F.struct("place", "line")
-    return document_lines(pages).groupBy("is_specific", "entity").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("document")
-    )
-
-
 def write_lines(rows: DataFrame, folder: str) -> list[str]:
     """Write rows of file (a relative path), place and line as the files they name; returns the paths.
 
-    The lines of a file are sorted in their task and streamed to it.
+    The lines of a file are sorted in their task and streamed to it, in a folder beside the
+    target; the finished file is renamed, so no text passes the driver.
     """
     spark = rows.sparkSession
-    made = new_folder(spark, "lines")
+    made = f"{folder}/_lines-{uuid4().hex}"
     (
         rows.select("line", "place", "file").repartition("file").sortWithinPartitions("file", "place").drop("place")
         .write.partitionBy("file").text(made)
     )
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     path = lambda *parts: hadoop.Path("/".join(parts))
-    source, target = path(made).getFileSystem(conf), path(folder).getFileSystem(conf)
+    store_of = path(made).getFileSystem(conf)
     files = []
-    for entry in source.listStatus(path(made)):
+    for entry in store_of.listStatus(path(made)):
         name = unquote(entry.getPath().getName())
         if not name.startswith("file="):
             continue
         name = name.removeprefix("file=")
-        parts = [p.getPath() for p in source.listStatus(entry.getPath()) if p.getPath().getName().startswith("part-")]
+        parts = [p.getPath() for p in store_of.listStatus(entry.getPath()) if p.getPath().getName().startswith("part-")]
         if len(parts) != 1:
             raise RuntimeError(f"{name} has {len(parts)} parts")
-        target.mkdirs(path(folder, name).getParent())
-        if not hadoop.FileUtil.copy(source, parts[0], target, path(folder, name), True, conf):
+        target = path(folder, name)
+        store_of.mkdirs(target.getParent())
+        if store_of.exists(target):
+            store_of.delete(target, False)
+        if not store_of.rename(parts[0], target):
             raise RuntimeError(f"{name} could not be written")
         files.append(name)
+    store_of.delete(path(made), True)
     return sorted(files)
 
 
 def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
-    """Write ``cancers/<slug>.json`` and ``general_topics/<slug>.json``, in place of those there; returns these paths."""
+    """Write ``cancers/<slug>.json`` and ``general_topics/<slug>.json``, in place of those there; returns these paths.
+
+    Further documents of an entity with more than ``FILE_PAGES`` pages are ``<slug>.2.json`` and so on; readers take
+    all files of a folder.
+    """
     clash = file_clashes(entity_manifest(pages)).first()
     if clash:
         raise ValueError(f"{clash['first']!r} and {clash['last']!r} lead to the same file {clash['file']}")
@@ -154,7 +168,8 @@ def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
         fs.delete(old, True)
         fs.mkdirs(old)
     kind = F.when(F.col("is_specific"), "cancers/").otherwise("general_topics/")
-    return write_lines(document_lines(pages).withColumn("file", F.concat(kind, tx.slugify("entity"), F.lit(".json"))), folder)
+    part = F.when(F.col("part") > 0, F.concat(F.lit("."), F.col("part") + 1)).otherwise("")
+    return write_lines(document_lines(pages).withColumn("file", F.concat(kind, tx.slugify("entity"), part, F.lit(".json"))), folder)
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:

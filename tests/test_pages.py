@@ -157,6 +157,27 @@ def test_documents_by_entity_read_back_as_pages(spark, tmp_path):
     assert (manifest["A"]["page_count"], manifest["A"]["file"], manifest["A"]["topics"]) == (20, "cancers/a.json", ["screening"])
 
 
+def test_large_entities_have_several_documents(spark, tmp_path, monkeypatch):
+    """One entity with a third of 100 000 pages: no task sees all of them, every page is read back once."""
+    n = 100_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "Big").otherwise(F.concat(F.lit("E"), F.col("id") % 7)).alias("cancer_type"),
+        F.lit(None).cast("string").alias("summary_name"), F.lit("t").alias("topic"), F.lit("a").alias("audience"), F.lit("x").alias("title"),
+        F.format_string("u%06d", "id").alias("url"),
+    )
+    folder = str(tmp_path / "out")
+    files = writers.write_page_documents(rows, folder)
+    assert [f for f in files if "big" in f] == ["cancers/big.2.json", "cancers/big.3.json", "cancers/big.4.json", "cancers/big.json"]
+    assert not list((tmp_path / "out").glob("_lines*"))
+    documents = [json.loads((tmp_path / "out" / f).read_text()) for f in files]
+    assert all(d["page_count"] == len(d["pages"]) <= writers.FILE_PAGES for d in documents)
+    assert sorted(p["url"] for d in documents for p in d["pages"]) == [f"u{i:06d}" for i in range(n)]
+    big = [json.loads((tmp_path / "out" / f).read_text())["pages"] for f in ("cancers/big.json", "cancers/big.2.json", "cancers/big.3.json", "cancers/big.4.json")]
+    assert [p["url"] for part in big for p in part] == [f"u{i:06d}" for i in range(0, n, 3)]
+    # Written again over what is there.
+    assert writers.write_page_documents(rows.limit(10), folder) == [f for f in files if f.count(".") == 1]
+
+
 def test_names_that_share_a_file_are_refused(spark, tmp_path):
     pages = pages_table(spark, 2).withColumn("cancer_type", F.concat(F.lit("X"), F.when(F.col("url") == "u0", " ").otherwise("-"), F.lit("Y")))
     with pytest.raises(ValueError, match="cancers/x_y.json"):
