@@ -8,14 +8,16 @@ For longer templates neighbouring diagonals, as small edits shift them, are merg
 a merged span counts if its votes cover enough of the template within a span of about
 its length, and all words that tell the template from its likes (``sharealike``).
 Its errors are the template's words without a vote and the document's words between
-votes. Of spans that share words of the document, those with the fewest errors stand;
+votes; its score is the share of words with votes among both, so that inserted words count as much
+as missing ones. Of spans that share words of the document, those with the fewest errors stand;
 with equally few, all of them.
 
-The template table is fixed and small; it alone is broadcast. All groups are per
+The template table is an argument and small; it alone is broadcast, and its runs are tested in the
+one pass that takes the words of a text. What the scan stores is the number of words and the runs that hit. All groups are per
 document and template, with one row per diagonal after pre-aggregation.
 
-Defined results: null and empty texts have no words; repeated rows give equal rows;
-an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no words; repeated rows give equal rows; of a very long
+text all words count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ K = 3
 COVER = 0.8
 SHIFT = 4  # widest step between neighbouring diagonals
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same words before lower-casing.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Phrases that name a license, and the label of each.
 PHRASES = {
@@ -57,6 +57,13 @@ NOTICES = {
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "agpl": """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general
+        public license as published by the free software foundation""",
+    "lgpl": """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general
+        public license as published by the free software foundation""",
 }
 
 
@@ -87,18 +94,26 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: d
     return table.withColumn("seed", F.xxhash64("w0", "w1", "w2"))
 
 
-def _votes(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Verified votes: doc_id, text_key, template columns, at (word in the document)."""
-    words = docs.select("doc_id", "text_key", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+def _hits(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    """doc_id, text_key, n_words and ``hits``: place and words of the runs whose hash is one of ``seeds``. A stored table."""
     word = F.col("words")
-    seeds = F.when(F.size(word) >= K, F.transform(
-        F.sequence(F.lit(0), F.size(word) - K), lambda i: F.xxhash64(*[F.get(word, i + j) for j in range(K)])
-    ))
-    runs = words.withColumn("seeds", seeds).select("doc_id", "text_key", "words", F.posexplode_outer("seeds").alias("at", "seed"))
+    runs = F.when(F.size(word) >= K, F.transform(F.sequence(F.lit(0), F.size(word) - K), lambda i: F.struct(
+        i.alias("at"), F.xxhash64(*[F.get(word, i + j) for j in range(K)]).alias("seed"))))
+    found = F.transform(F.filter("runs", lambda r: r["seed"].isin(seeds)), lambda r: F.struct(
+        r["at"].alias("at"), r["seed"].alias("seed"), F.slice(word, r["at"] + 1, K).alias("run")))
+    return store(
+        rows.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+        .withColumn("runs", runs).select("doc_id", "text_key", F.size("words").cast("long").alias("n_doc_words"), found.alias("hits")), "license-hits",
+    )
+
+
+def _votes(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """Verified votes: doc_id, text_key, template columns, at (word in the document)."""
+    runs = hits.select("doc_id", "text_key", F.explode("hits").alias("h")).select("doc_id", "text_key", "h.*")
     same = runs["seed"] == known["seed"]
     for j in range(K):
-        same &= F.get(F.col("words"), F.col("at") + j) == F.col(f"w{j}")
-    return runs.join(F.broadcast(known), same).drop("words", "seed")
+        same &= F.get(F.col("run"), F.lit(j)) == F.col(f"w{j}")
+    return runs.join(F.broadcast(known), same).drop("run", "seed")
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -120,16 +135,21 @@ def _best(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    rows = keyed(docs)
-    known = templates(docs.sparkSession)
+def scan(
+    docs: DataFrame, cover: float = COVER, shift: int = SHIFT, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    ``phrases`` (words -> label) must stand word for word; ``notices`` (label -> words) may be edited.
+    """
+    known = templates(docs.sparkSession, phrases, notices)
+    hits = _hits(keyed(docs), sorted({r.seed for r in known.select("seed").collect()}))
     of = ["doc_id", "text_key", "template", "label", "whole", "n_words", "needed"]
     diagonals = store(
-        _votes(rows, known).withColumn("diagonal", F.col("at") - F.col("place"))
+        _votes(hits, known).withColumn("diagonal", F.col("at") - F.col("place"))
         .groupBy(*of, "diagonal").agg(F.collect_set("place").alias("places")), "license-votes",
     )
-    phrases = diagonals.where("whole and size(places) = n_words - 2").select(
+    named = diagonals.where("whole and size(places) = n_words - 2").select(
         "doc_id", "text_key", "label", F.lit(True).alias("base"), F.col("diagonal").alias("begin"), F.lit(1.0).alias("cover")
     )
     along = Window.partitionBy(*of).orderBy("diagonal")
@@ -145,28 +165,27 @@ def scan(docs: DataFrame, cover: float = COVER, shift: int = SHIFT) -> DataFrame
             runs(F.flatten(F.collect_list("places"))).alias("places"), runs(F.flatten(F.collect_list("ats"))).alias("ats"),
             F.min(begin).alias("begin"), F.max(end).alias("end"),
         )
-        .withColumn("cover", F.size("places") / F.col("n_words"))
-        .withColumn("errors", F.col("n_words") - F.size("places") + F.col("end") - F.col("begin") - F.size("ats"))
+        .withColumn("inserted", F.col("end") - F.col("begin") - F.size("ats"))
+        .withColumn("cover", F.size("places") / (F.col("n_words") + F.col("inserted")))
+        .withColumn("errors", F.col("n_words") - F.size("places") + F.col("inserted"))
         .where((F.col("cover") >= cover) & (F.col("end") - F.col("begin") <= F.col("n_words") / cover + shift))
         .where(F.size(F.array_except("needed", "places")) == 0)
     )
     spans = _best(found).select("doc_id", "text_key", "label", F.lit(False).alias("base"), "begin", "cover")
     base = F.col("base")
     summary = (
-        phrases.unionByName(spans).groupBy("doc_id", "text_key").agg(
+        named.unionByName(spans).groupBy("doc_id", "text_key").agg(
             F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("begin"))).alias("first_word"),
             F.max(F.when(base, F.col("begin"))).alias("last_word"), F.collect_set(F.when(base, F.col("label"))).alias("base_labels"),
             F.collect_set("label").alias("labels"), F.max("cover").alias("score"),
         )
     )
-    counted = rows.select(
-        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words")
-    )
-    named = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
+    counted = hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("n_doc_words").alias("n_words"))
+    joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return counted.join(
         summary, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left"
     ).select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
-        named("base_labels").alias("base_labels"), named("labels").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

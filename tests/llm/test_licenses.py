@@ -77,5 +77,61 @@ def test_templates_that_differ_by_a_word(docs_of, prose):
         30: "cc-by,cc-by-sa", 31: "cc-by,cc-by-nc,cc-by-sa", 32: "cc-by-nc,cc-by-sa"
     }
     assert {k: [licenses.NOTICES[k].split()[i] for i in v] for k, v in licenses.distinguishing(licenses.NOTICES).items() if v} == {
-        "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"]
+        "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"], "cc-by-nd": ["noderivatives"], "cc-by-nc-sa": ["noncommercial", "sharealike"],
+        "cc-by-nc-nd": ["noncommercial", "noderivatives"], "gpl": ["program"], "agpl": ["program", "affero"], "lgpl": ["library", "lesser"],
     }
+
+
+def brute_labels(text, notices=licenses.NOTICES, cover=licenses.COVER, shift=licenses.SHIFT):
+    """Labels of the notices and the best score: votes counted place by place."""
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    needed = licenses.distinguishing(notices)
+    found = []
+    for number, (label, notice) in enumerate(notices.items()):
+        own = notice.split()
+        votes = {}
+        for i in range(len(words) - 2):
+            for j in range(len(own) - 2):
+                if words[i : i + 3] == own[j : j + 3]:
+                    votes.setdefault(i - j, set()).add(j)
+        bands = []
+        for d in sorted(votes):
+            if not bands or d - bands[-1][-1] > shift:
+                bands.append([])
+            bands[-1].append(d)
+        for band in bands:
+            places = {p + k for d in band for p in votes[d] for k in range(3)}
+            ats = {d + p + k for d in band for p in votes[d] for k in range(3)}
+            begin, end = min(ats), max(ats) + 1
+            inserted = end - begin - len(ats)
+            score = len(places) / (len(own) + inserted)
+            if score >= cover and end - begin <= len(own) / cover + shift and set(needed[label]) <= places:
+                found.append((len(own) - len(places) + inserted, begin, end, number, label, score))
+    kept = []
+    for x in sorted(found):
+        if not any(x[1] < y[2] and y[1] < x[2] and y[0] < x[0] for y in kept):
+            kept.append(x)
+    return {x[4] for x in kept}, max((x[5] for x in kept), default=0.0)
+
+
+def test_labels_as_brute_force(docs_of, prose):
+    drawn = random.Random(9)
+    pairs = []
+    for i, (label, notice) in enumerate(licenses.NOTICES.items()):
+        pairs += [(100 * i, notice), (100 * i + 1, f"{prose(15, i)} {notice.upper()} {prose(15, i + 50)}")]
+        pairs += [(100 * i + 10 + every, edited(notice, i + every, every)) for every in (4, 6, 9, 14, 20)]
+        other = drawn.choice(list(licenses.NOTICES.values()))
+        pairs += [(100 * i + 50, f"{notice} {other}"), (100 * i + 51, f"{edited(notice, i, 15)} zz {edited(other, i, 15)} {notice}")]
+    rows = licenses.scan(docs_of(pairs), phrases={}).collect()
+    got = {r.doc_id: ({x for x in r.labels.split(",") if x}, round(r.score, 9)) for r in rows}
+    wanted = {i: brute_labels(t) for i, t in pairs}
+    assert got == {i: (labels, round(score, 9)) for i, (labels, score) in wanted.items()}
+    # A notice is its own label and no other.
+    assert all(got[100 * i] == ({label}, 1.0) and got[100 * i + 1][0] == {label} for i, label in enumerate(licenses.NOTICES))
+
+
+def test_templates_are_an_argument(docs_of):
+    own = {"house": "you may use this text in this house and nowhere else at all"}
+    rows = licenses.scan(docs_of([(1, "Note: you may use this text in this house and nowhere else at all."), (2, "see my terms here"), (3, licenses.NOTICES["mit"])]),
+                         phrases={"my terms here": "mine"}, notices=own).collect()
+    assert {r.doc_id: (r.labels, r.base_labels) for r in rows} == {1: ("house", ""), 2: ("mine", "mine"), 3: ("", "")}
