@@ -9,21 +9,24 @@ or more of the item: reordered passages are caught as well.
    hit it, and the texts they lie in.
 2. Join. Kept runs meet the items' runs by hash; an item that reaches the cover
    has at least cover / 5 of its runs in the document, so its runs most common in
-   the benchmark, up to one fewer than that, need not be joined.
+   documents and benchmark, up to one fewer than that, need not be joined: a phrase that many
+   documents share is joined only for items that have nothing else.
 3. Tiling. For each (document, item), Karp-Rabin search for the longest common
    runs of unmarked tokens; they are marked, and shorter ones searched.
 
-Tokens are lower-cased runs of ASCII letters and digits and of non-ASCII
-characters, so marks and case do not hide a passage.
+Tokens are lower-cased runs of letters and digits; every other character, of any script, separates them, and each
+letter of a script without blanks between words is a token of its own. So marks, blanks of any kind and case do not hide a passage.
 
-Defined results: null and empty texts contain nothing; items with fewer than
-five words never match; repeated rows of either side give one row per pair of
+Defined results: null and empty texts contain nothing; an item with fewer than
+five words matches documents of just these words, and one without a word never; of a very long text
+every run counts; repeated rows of either side give one row per pair of
 different (id, text); empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.llm.common import text_key, text_of, without
-from corpuslens.llm.wordscan import scan, slices
+from corpuslens.llm.wordscan import mixed, scan, slices
 from corpuslens.session import store
 
 SHORTEST = 5
@@ -41,11 +44,39 @@ COVER = 0.8
 FIRST_SEARCH = 20
 BITMAP_BITS = 25
 _TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 _PRIME = (1 << 61) - 1
+# Code point ranges of scripts written without blanks between words (Thai to Lao, Myanmar, Khmer, kana, Han, and their extensions).
+_NO_BLANKS = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+]
+
+
+class _Spelling(dict):
+    """What stands for a character: blanks for marks, the character apart in scripts without blanks, nothing for what is not seen."""
+
+    def __missing__(self, c: str) -> str:
+        kind = unicodedata.category(c)
+        if kind[0] in "LN":
+            out = f" {c} " if any(low <= ord(c) <= high for low, high in _NO_BLANKS) else c
+        else:
+            out = c if kind[0] == "M" else "" if kind == "Cf" else " "
+        self[c] = out
+        return out
+
+
+_SPELLED = _Spelling()
+
+
+def plain(text: str) -> str:
+    """The text in lower case, other characters than letters and digits as blanks where they are not ASCII."""
+    text = text.lower()
+    return text if text.isascii() else _OTHER.sub(lambda run: "".join(map(_SPELLED.__getitem__, run[0])), text)
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(plain(text))
 
 
 def greedy_tiles(first: list, second: list, shortest: int = SHORTEST, search: int = FIRST_SEARCH) -> list[tuple[int, int, int]]:
@@ -129,29 +160,49 @@ def islands(doc: list[str], item: list[str], shortest: int = SHORTEST) -> list:
     return out
 
 
-def _item_seeds(items: DataFrame, shortest: int, cover: float) -> DataFrame:
-    """item_id, n_words, seed: the runs of each item that have to be joined."""
+def _runs(texts: list[str], shortest: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``shortest`` tokens of each text; of the whole of a shorter one, marked by its length."""
+    words = scan([plain(t) for t in texts])
+    grams, _ = words.grams(shortest)
+    for low, high in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        if high - low >= shortest:
+            yield grams[low : high - shortest + 1]
+        elif high > low:
+            whole = np.uint64(high - low)
+            for h in words.hash[low:high]:
+                whole = mixed(np.array([whole + h]))[0]
+            yield np.array([whole])
+        else:
+            yield grams[:0]
+
+
+def _item_seeds(items: DataFrame, shortest: int) -> DataFrame:
+    """item_key, n_words, place, seed: all runs of each item."""
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            words = scan([t.lower() for t in rows["item_text"]])
-            grams, whole = words.grams(shortest)
-            sizes = np.diff(words.first)
-            of = np.repeat(np.arange(len(rows)), sizes)[: len(grams)]
+            runs = list(_runs(rows["item_text"].tolist(), shortest))
+            sizes = [len(r) for r in runs]
             yield pd.DataFrame({
-                "item_key": rows["item_key"].to_numpy()[of[whole]], "n_words": sizes[of[whole]],
-                "place": (np.arange(len(grams)) - words.first[of])[whole], "seed": grams[whole].view(np.int64),
+                "item_key": np.repeat(rows["item_key"].to_numpy(), sizes), "n_words": np.repeat([n + shortest - 1 for n in sizes], sizes),
+                "place": np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64),
+                "seed": np.concatenate(runs).view(np.int64) if runs else np.zeros(0, np.int64),
             })
 
-    found = items.mapInPandas(seeds, "item_key long, n_words long, place long, seed long")
-    common = found.groupBy("seed").agg(F.count(F.lit(1)).alias("uses"))
+    return items.mapInPandas(seeds, "item_key long, n_words long, place long, seed long")
+
+
+def _joined_seeds(found: DataFrame, held: DataFrame, shortest: int, cover: float) -> DataFrame:
+    """item_key, seed: the runs that have to be joined. ``held``: seed, uses (documents that may hold it)."""
+    common = found.groupBy("seed").agg(F.count(F.lit(1)).alias("own_uses"))
+    uses = F.coalesce("uses", F.lit(0)) + F.col("own_uses")
     ranked = (
-        found.join(common, "seed").groupBy("item_key", "n_words")
-        .agg(F.sort_array(F.collect_list(F.struct("uses", "seed", "place"))).alias("runs"))
+        found.join(common, "seed").join(held, "seed", "left").groupBy("item_key", "n_words")
+        .agg(F.sort_array(F.collect_list(F.struct(uses.alias("uses"), "seed", "place"))).alias("runs"))
     )
     spare = F.greatest(F.lit(0), F.ceil(F.col("n_words") * cover / shortest) - 1)
     return ranked.select(
-        "item_key", F.explode(F.slice("runs", F.lit(1), F.size("runs") - spare.cast("int"))).alias("run")
+        "item_key", F.explode(F.slice("runs", F.lit(1), F.greatest(F.size("runs") - spare.cast("int"), F.lit(1)))).alias("run")
     ).select("item_key", "run.seed").distinct()
 
 
@@ -180,19 +231,17 @@ def contaminated(
         items.select("item_id", text_of(F.col("text")).alias("item_text")).distinct()
         .withColumn("item_key", F.xxhash64("item_id", "item_text")), "items",
     )
-    seeds = store(_item_seeds(items.select("item_key", "item_text"), shortest, cover), "item-seeds")
-    shared = spark.sparkContext.broadcast(_bitmap(seeds, bitmap_bits))
+    found = store(_item_seeds(items.select("item_key", "item_text"), shortest), "item-runs")
+    shared = spark.sparkContext.broadcast(_bitmap(found, bitmap_bits))
     shift = np.uint64(64 - bitmap_bits)
 
     def hits(texts: pd.Series) -> pd.Series:
         out = []
         for part in slices(texts.tolist()):
-            words = scan([t.lower() for t in part])
-            grams, whole = words.grams(shortest)
-            at = (grams >> shift).astype(np.int64)
-            hit = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & whole)
-            cuts = np.searchsorted(hit, words.first)
-            out += [np.unique(grams[hit[a:b]]).view(np.int64) if b > a else None for a, b in zip(cuts[:-1], cuts[1:])]
+            for runs in _runs(part, shortest):
+                at = (runs >> shift).astype(np.int64)
+                hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                out.append(np.unique(runs[hit]).view(np.int64) if hit.any() else None)
         return pd.Series(out, dtype=object)
 
     hit_udf = F.pandas_udf(hits, T.ArrayType(T.LongType()))
@@ -201,8 +250,12 @@ def contaminated(
         .withColumn("seeds", hit_udf("text")).where("seeds is not null")
         .withColumn("text_key", text_key()), "seed-hits",
     )
+    hit = some.select("doc_id", "text_key", F.explode("seeds").alias("seed"))
+    # Counted on the map side; the items' runs only.
+    held = hit.groupBy("seed").agg(F.count(F.lit(1)).alias("uses"))
+    seeds = store(_joined_seeds(found, held, shortest, cover), "item-seeds")
     pairs = (
-        some.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
+        hit.join(seeds, "seed")
         .select("doc_id", "text_key", "item_key").distinct()
     )
     texts = (
@@ -235,7 +288,11 @@ def _tiled(texts: pd.Series, item_texts: pd.Series, shortest: int) -> pd.Series:
     out = []
     for text, item in zip(texts, item_texts):
         b = tokens(item)
-        tiles = greedy_tiles(islands(tokens(text), b, shortest), b, shortest)
+        a = tokens(text)
+        if len(b) < shortest:
+            tiles = [(0, 0, len(b))] if a == b else []
+        else:
+            tiles = greedy_tiles(islands(a, b, shortest), b, shortest)
         out.append([[j, size, len(b)] for _, j, size in sorted(tiles, key=lambda t: t[1])])
     return pd.Series(out, dtype=object)
 
