@@ -5,15 +5,17 @@ Luhn). Wider rules find more candidates, such as numbers without a country code
 addresses written with "at" and "dot". Four labelers vote on every span: the rule and
 its check, gazetteers, words nearby, and the characters next to it. Expectation-
 maximisation over the counts of vote patterns estimates how reliable each labeler
-is, per kind, and so how likely each pattern is personal data; a logistic span
-classifier is trained on these probabilities. Candidates it accepts are added to the
-base spans, which always stay.
+is, per kind, and so how likely each pattern is personal data; a labeler is never taken to speak against itself. A
+logistic span classifier is trained on these probabilities, from the votes, the shape of
+the span (digits, groups, separators) and the words beside it. Candidates of the wider rules that it accepts are added to the
+base spans, which always stay; a base match that failed its check is never added.
 
 Votes and features have few values each: what reaches the driver, and what the
 classifier is trained on, is a table of pattern counts with a bound.
 
 Defined results: null and empty texts hold nothing; without candidates only the base
-spans are returned; repeated rows give equal rows; an empty table gives an empty
+spans are returned; of accepted spans that overlap, the likelier one is added, then the
+longer, then the first; a very long text is searched whole; repeated rows give equal rows; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -33,6 +35,10 @@ KINDS = ["email", "ip", "card", "phone"]
 ACCEPT = 0.8
 EM_ROUNDS = 50
 VOTES = ("vote_rule", "vote_gazetteer", "vote_words", "vote_edges")
+# Weights of the votes before anything is known of the labelers: a check or a word nearby says more than a list or an edge.
+START = (2.0, 0.5, 1.5, 0.5)
+# Features of a span beside its votes, and their values other than the first.
+SHAPE = {"size_class": (1, 2, 3), "groups": (2, 3, 4, 5), "separator": (1, 2, 3), "word_before": (1, 2)}
 
 # Possessive forms and the look-behinds keep long runs linear; the matches are those
 # of the plain forms, as no shorter run could lead to a match where a longer one fails.
@@ -96,16 +102,22 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def spans_with_votes(rows: DataFrame) -> DataFrame:
-    """doc_id, text_key, rule, kind, start, end, base, wide, size_class and the votes of every span."""
+    """doc_id, text_key, rule, kind, start, end, base, failed, the votes and the features of every span."""
     found = matches(rows, BASE | WIDER)
     kinds = F.create_map(*[F.lit(x) for pair in RULE_KIND.items() for x in pair])
     found = found.withColumn("kind", kinds[F.col("rule")]).withColumn("holds", _holds()).withColumn(
         "digits", F.regexp_replace("value", "[^0-9]", "")
     )
     kind, near = F.col("kind"), F.lower(F.concat("before", F.lit(" "), F.col("after")))
-    cue = F.lit(False)
-    for name, words in CUES.items():
-        cue = F.when(kind == name, near.rlike(rf"\b({words})\b")).otherwise(cue)
+    beside = F.regexp_extract(F.lower("before"), r"([a-z-]+)[^a-z]*$", 1)
+
+    def cued(where: Column) -> Column:
+        out = F.lit(False)
+        for name, words in CUES.items():
+            out = F.when(kind == name, where.rlike(rf"\b({words})\b")).otherwise(out)
+        return out
+
+    cue = cued(near)
     domain = F.lower(F.regexp_extract("value", r"([A-Za-z]+)$", 1))
     known = (
         F.when(kind == "email", domain.isin(DOMAINS.split())).when(kind == "ip", ~F.col("value").rlike(RESERVED))
@@ -121,6 +133,11 @@ def spans_with_votes(rows: DataFrame) -> DataFrame:
         "doc_id", "text_key", "rule", "kind", "start", "end",
         F.coalesce("holds", F.lit(False)).alias("base"), F.col("holds").isNull().cast("int").alias("wide"),
         F.when(F.length("digits") >= 13, 3).when(F.length("digits") >= 9, 2).when(F.length("digits") >= 4, 1).otherwise(0).alias("size_class"),
+        (~F.coalesce("holds", F.lit(True))).alias("failed"),
+        F.least(F.size(F.split("value", "[^A-Za-z0-9]+")), F.lit(5)).alias("groups"),
+        F.when(F.col("value").rlike(r"[(\[]"), 3).when(F.col("value").contains("-"), 2).when(F.col("value").contains(" "), 1).otherwise(0).alias("separator"),
+        # The word beside the span says what it is, or names another kind of number.
+        F.when(beside.rlike(rf"^({OTHERS})$"), 2).when(cued(beside), 1).otherwise(0).alias("word_before"),
         _vote(F.col("holds"), ~F.col("holds")).alias("vote_rule"), _vote(known, strange).alias("vote_gazetteer"),
         _vote(cue, near.rlike(rf"\b({OTHERS})\b")).alias("vote_words"), _vote(clean, glued).alias("vote_edges"),
     )
@@ -130,21 +147,26 @@ def reliabilities(counts: dict[tuple, int], rounds: int = EM_ROUNDS) -> dict[tup
     """Vote pattern -> probability of personal data, by expectation-maximisation.
 
     Labelers are independent given the class; each has its own distribution of votes
-    for either class. The start is the majority vote, with a vote of smoothing.
+    for either class. The start is the weighted vote, with a vote of smoothing.
     """
-    belief = {v: 0.5 + 0.45 * max(-1.0, min(1.0, sum(v) / 2)) for v in counts}
+    belief = {v: 0.5 + 0.45 * max(-1.0, min(1.0, sum(w * x for w, x in zip(START, v)) / 2)) for v in counts}
     for _ in range(rounds if counts else 0):
         total = sum(counts.values())
         positive = sum(n * belief[v] for v, n in counts.items())
         prior = (positive + 1) / (total + 2)
         given: list[dict[int, tuple[float, float]]] = []
         for i in range(len(VOTES)):
-            given.append({})
-            for vote in (-1, 0, 1):
+            # A labeler that does not vote says nothing, such as the rule's check for spans that have none.
+            given.append({0: (1.0, 1.0)})
+            voted = sum(n for v, n in counts.items() if v[i])
+            yes_voted = sum(n * belief[v] for v, n in counts.items() if v[i])
+            for vote in (-1, 1):
                 yes = sum(n * belief[v] for v, n in counts.items() if v[i] == vote)
                 all_ = sum(n for v, n in counts.items() if v[i] == vote)
                 # A labeler is taken to be better than chance: the smoothing leans that way.
-                given[i][vote] = ((yes + 1 + vote / 2) / (positive + 3), (all_ - yes + 1 - vote / 2) / (total - positive + 3))
+                p, q = (yes + 1 + vote / 2) / (yes_voted + 2), (all_ - yes + 1 - vote / 2) / (voted - yes_voted + 2)
+                # A vote for personal data is not likelier without it, nor one against it with it.
+                given[i][vote] = ((p + q) / 2, (p + q) / 2) if vote * (p - q) < 0 else (p, q)
         for v in counts:
             yes = prior * prod(given[i][x][0] for i, x in enumerate(v))
             no = (1 - prior) * prod(given[i][x][1] for i, x in enumerate(v))
@@ -155,14 +177,14 @@ def reliabilities(counts: dict[tuple, int], rounds: int = EM_ROUNDS) -> dict[tup
 def _features() -> list[Column]:
     hot = [(F.col("kind") == k).cast("double").alias(f"is_{k}") for k in KINDS]
     votes = [(F.col(v) == x).cast("double").alias(f"{v}_{'no' if x < 0 else 'yes'}") for v in VOTES for x in (-1, 1)]
-    sizes = [(F.col("size_class") == i).cast("double").alias(f"size_{i}") for i in (1, 2, 3)]
-    return [*hot, *votes, *sizes, F.col("wide").cast("double").alias("is_wide")]
+    shape = [(F.col(c) == i).cast("double").alias(f"{c}_{i}") for c, values in SHAPE.items() for i in values]
+    return [*hot, *votes, *shape, F.col("wide").cast("double").alias("is_wide")]
 
 
 def classifier(spans: DataFrame, rounds: int = EM_ROUNDS) -> Column | None:
     """Probability of personal data, as a column over the rows of ``spans``; None without spans."""
-    by = ["kind", *VOTES, "size_class", "wide"]
-    patterns = spans.groupBy(*by).count()  # at most 4 * 81 * 4 * 2 rows
+    by = ["kind", *VOTES, *SHAPE, "wide"]
+    patterns = spans.groupBy(*by).count()  # at most 4 * 81 * 4 * 5 * 4 * 3 * 2 rows, far fewer in fact
     rows = [r.asDict() for r in patterns.collect()]
     if not rows:
         return None
@@ -180,7 +202,7 @@ def classifier(spans: DataFrame, rounds: int = EM_ROUNDS) -> Column | None:
         # Counts are damped, so that rare kinds of spans are not drowned.
         weight = log(1 + r["count"])
         taught += [(*[r[c] for c in by], label, weight * share) for label, share in ((1.0, p), (0.0, 1 - p)) if share > 1e-9]
-    schema = "kind string, vote_rule int, vote_gazetteer int, vote_words int, vote_edges int, size_class int, wide int, label double, weight double"
+    schema = ", ".join(["kind string", *[f"{c} int" for c in (*VOTES, *SHAPE, "wide")], "label double", "weight double"])
     table = spans.sparkSession.createDataFrame(taught, schema).coalesce(1).select(*_features(), "label", "weight")
     names = [c for c in table.columns if c not in ("label", "weight")]
     model = LogisticRegression(featuresCol="f", weightCol="weight", regParam=0.01, maxIter=25, standardization=False).fit(
@@ -201,13 +223,18 @@ def find(docs: DataFrame, accept: float = ACCEPT, rounds: int = EM_ROUNDS) -> Da
     spans = store(spans_with_votes(rows), "pii-spans")
     likely = classifier(spans, rounds)
     scored = spans.withColumn("score", likely if likely is not None else F.lit(None).cast("double"))
-    # An added span may not overlap a base span of the document.
+    # An added span may not overlap a base span of the document, nor a better added one.
     here = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     base_end = F.max(F.when(F.col("base"), F.col("end"))).over(here.rowsBetween(Window.unboundedPreceding, -1))
     base_start = F.min(F.when(F.col("base"), F.col("start"))).over(here.rowsBetween(1, Window.unboundedFollowing))
-    kept = scored.withColumn("free", (F.coalesce(base_end, F.lit(0)) <= F.col("start")) & (F.coalesce(base_start >= F.col("end"), F.lit(True)))).where(
-        F.col("base") | (F.col("free") & (F.col("score") >= accept))
-    )
+    free = (F.coalesce(base_end, F.lit(0)) <= F.col("start")) & F.coalesce(base_start >= F.col("end"), F.lit(True))
+    kept = scored.withColumn("free", free).where(F.col("base") | (F.col("free") & ~F.col("failed") & (F.col("score") >= accept)))
+    before = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.coalesce((F.col("start") >= before).cast("int"), F.lit(0))).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    best = Window.partitionBy("doc_id", "text_key", "island").orderBy(
+        F.col("base").desc(), F.round("score", 9).desc(), (F.col("start") - F.col("end")), "start", "rule")
+    # Base spans of different kinds may overlap; all of them stay.
+    kept = kept.withColumn("island", island).withColumn("nth", F.row_number().over(best)).where(F.col("base") | (F.col("nth") == 1))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.struct(F.col("start"), number.alias("kind"), F.col("end"))
     summary = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
