@@ -2,16 +2,17 @@
 
 Each turn is counted in tokens, and prefix sums over the conversation choose
 windows that begin and end between turns: with T half of the budget left by the
-history, a turn of at most T tokens goes to the window of its start's multiple of
-T, so a window's own turns have 2 T tokens at most; a longer turn is a window by
-itself and is never cut. A window begins with the conversation's first system
+history and the conversation's first system turn, a turn of at most T tokens goes to the
+window of its start's multiple of T, so a window's own turns have 2 T tokens at most; a
+longer turn is a window by itself and is never cut. A window begins with the system
 turn (if that came before) and the turns before its own within the history
-limit; both are repeats and masked. Loss falls on its own assistant turns only,
-so each assistant text is a target once.
+limit; both are repeats and masked, and beside a long turn they are taken only as far as
+the budget has room for them. Loss falls on its own assistant turns only, so each assistant text is a target once.
 
-Prefix sums run over blocks of turns and then over the block totals; a very long
-conversation is spread over tasks, and no window holds more than the budget, its
-system turn and one long turn.
+No window has more tokens than the budget, but for one whose single own turn has. A system turn of more than half of
+the budget without history is kept only where it fits. Turns begin and end with marks that the tokenizer
+does not join, so the tokens of a window are the sum over its turns. Prefix sums run over blocks of turns and then over
+the block totals; a very long conversation is spread over tasks.
 
 The template is ``### Role: text</turn>`` and a line end. ``\\`` escapes what could be
 mistaken for it, and is itself escaped; ``parse`` is the exact inverse of ``render``.
@@ -122,32 +123,44 @@ def _placed(turns: DataFrame) -> DataFrame:
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str = TOKENIZER) -> DataFrame:
     """conv_id, window (rising in the conversation), text, loss (start, end in code points), repeated (turns), tokens."""
-    span = (budget - history) // 2
-    if not 0 <= history <= span:
+    half = (budget - history) // 2
+    if not 0 <= history <= half:
         raise ValueError("history must be at most a third of the budget")
     turns = conversations.select(
         "conv_id", "turn", text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).alias("block"),
     )
     turns = store(turns.withColumn("tokens", _token_counts(tokenizer)("role", "text")), "counted-turns")
+    placed = store(_placed(turns), "placed-turns")
+    system = store(
+        placed.where(F.col("role") == SYSTEM).groupBy(F.col("conv_id").alias("s_conv")).agg(
+            F.min(F.struct("place", "start", "role", "text", "tokens")).alias("s")), "system-turns",
+    )
+    kept = F.coalesce(F.when(F.col("s.tokens") <= half, F.col("s.tokens")), F.lit(0))
+    known = placed.join(system, _same("conv_id", "s_conv"), "left").withColumn("span", F.floor((F.lit(2 * half) - kept) / 2))
     # A turn longer than the span ends it: what starts in the same multiple comes before it.
+    number = 2 * F.floor(F.col("start") / F.col("span")) + (F.col("tokens") > F.col("span")).cast("long")
     own = store(
-        _placed(turns).withColumn("window", 2 * F.floor(F.col("start") / span) + (F.col("tokens") > span).cast("long")), "turns"
+        known.select("conv_id", "role", "text", "tokens", "start", "place", "span", F.col("s.place").alias("s_place"), number.alias("window")), "turns"
     )
-    begun = own.groupBy(F.col("conv_id").alias("w_conv"), F.col("window").alias("w")).agg(F.min("start").alias("w_start"))
-    system = own.where(F.col("role") == SYSTEM).groupBy(F.col("conv_id").alias("s_conv")).agg(
-        F.min(F.struct("place", "window", "role", "text", "tokens")).alias("s")
+    begun = own.groupBy(F.col("conv_id").alias("w_conv"), F.col("window").alias("w")).agg(
+        F.min("start").alias("w_start"), F.min("place").alias("w_place"), F.sum("tokens").alias("w_tokens"))
+    # The system turn comes first where it came before and fits; then history, as far as there is room.
+    led_by = (F.col("s.place") < F.col("w_place")) & (F.col("w_tokens") + F.col("s.tokens") <= budget)
+    room = F.lit(budget) - F.col("w_tokens") - F.when(F.col("led"), F.col("s.tokens")).otherwise(0)
+    begun = store(
+        begun.join(system, _same("w_conv", "s_conv"), "left").withColumn("led", F.coalesce(led_by, F.lit(False)))
+        .select("w_conv", "w", "w_start", "led", F.least(F.lit(history), room).alias("reach")), "windows",
     )
-    # A window that begins within the history limit after a turn is in the turn's multiple of the span or the next.
-    odd = 2 * F.floor(F.col("start") / span) + 1
+    # A window that begins within the history limit after a turn is in one of these.
+    first, last = F.floor(F.col("start") / F.col("span")), F.floor((F.col("start") + history) / F.col("span"))
     repeats = (
-        own.drop("window").withColumn("window", F.explode(F.array(odd, odd + 1, odd + 2)))
+        own.drop("window").withColumn("window", F.explode(F.sequence(2 * first + 1, 2 * last + 1)))
         .join(begun, _same("conv_id", "w_conv") & (F.col("window") == F.col("w")))
-        .where((F.col("start") < F.col("w_start")) & (F.col("start") >= F.col("w_start") - history))
-        .join(system.select("s_conv", "s.place").withColumnRenamed("place", "s_place"), _same("conv_id", "s_conv"), "left")
+        .where((F.col("start") < F.col("w_start")) & (F.col("start") >= F.col("w_start") - F.col("reach")))
         .where(~F.col("place").eqNullSafe(F.col("s_place")))
     )
-    led = begun.join(system, _same("w_conv", "s_conv")).where("w > s.window").select(
+    led = begun.where("led").join(system, _same("w_conv", "s_conv")).select(
         F.col("w_conv").alias("conv_id"), F.col("w").alias("window"), F.lit(0).alias("part"),
         F.col("s.place").alias("place"), "s.role", "s.text", "s.tokens",
     )

@@ -30,6 +30,9 @@ def rows():
     out += [(101, 0, "user", "q"), (101, 1, "assistant", "long " * 3000), (101, 2, "user", "q2"), (101, 3, "assistant", "a2")]
     out += [(102, 0, "user", None), (102, 1, None, "who"), (102, 1, None, "who"), (102, None, "assistant", "no turn")]
     out += [(103, i, "user", "u" * 50) for i in range(5)] + [(103, 5, "system", "late"), (103, 6, "assistant", "end " * 400), (103, 7, "system", "later")]
+    out += [(104, 0, "system", "rule " * 120)] + [(104, 1 + i, ("user", "assistant")[i % 2], "w " * (20 + 13 * i % 90)) for i in range(30)]  # a long system turn
+    out += [(105, 0, "system", "rule " * 400)] + [(105, 1 + i, ("user", "assistant")[i % 2], "w " * (20 + 13 * i % 90)) for i in range(30)]  # one above the budget
+    out += [(106, i, ("user", "assistant")[i % 2], "w " * (230 if i % 5 == 3 else 15)) for i in range(20)]  # turns that leave little room
     out += [(None, 0, "user", "no id"), (None, 1, "assistant", "none")]
     return out
 
@@ -69,13 +72,16 @@ def test_windows(spark, rows):
         assert own and own == all_turns[at : at + len(own)]
         done[w.conv_id] += len(own)
         system = next(((i, t) for i, t in enumerate(all_turns) if t[0] == "system"), None)
-        if system and system[0] < at:
+        whole = tokens(turns)
+        assert len(chat._tokenizer(chat.TOKENIZER).encode(w.text).ids) == whole
+        assert whole <= budget or (len(turns) == 1 and len(own) == 1)
+        if system and system[0] < at and tokens(own) + tokens([system[1]]) <= budget:
             assert led[0] == system[1]
             led = led[1:]
         assert all(t in all_turns[:at] for t in led)
         if led and not (system and system[0] >= at - len(led) - 1):
             assert led == all_turns[at - len(led) : at]
-        assert tokens(led) <= history + max([tokens([t]) for t in led], default=0)
+        assert tokens(led) <= history
         assert tokens(own) <= budget - history or len(own) == 1
         assert w.tokens == tokens(turns)
         for a, b in w.loss:
