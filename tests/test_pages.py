@@ -175,7 +175,7 @@ def test_large_entities_have_several_documents(spark, tmp_path, monkeypatch):
     big = [json.loads((tmp_path / "out" / f).read_text())["pages"] for f in ("cancers/big.json", "cancers/big.2.json", "cancers/big.3.json", "cancers/big.4.json")]
     assert [p["url"] for part in big for p in part] == [f"u{i:06d}" for i in range(0, n, 3)]
     # Written again over what is there.
-    assert writers.write_page_documents(rows.limit(10), folder) == [f for f in files if f.count(".") == 1]
+    assert writers.write_page_documents(rows.where("url < 'u000030'"), folder) == [f for f in files if f.count(".") == 1]
 
 
 def test_names_that_share_a_file_are_refused(spark, tmp_path):
