@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.operators.chunks import with_search_text
-from corpuslens.session import BROADCAST_ROWS, drop_bucketed, store, store_bucketed
+from corpuslens.session import BROADCAST_ROWS, bucket_count, drop_bucketed, source_bytes, store, store_bucketed
 
 
 RANK_DIGITS = 6
@@ -26,10 +26,11 @@ class Bm25Index:
     n_chunks: int
     total_len: int
     avg_idf: float
+    stored: tuple[DataFrame, ...] = ()  # bucketed tables besides chunks and postings
 
     def close(self) -> None:
         """Drop the bucketed tables from the catalog; their files stay with the shared folder."""
-        for table in (self.chunks, self.postings):
+        for table in (self.chunks, self.postings, *self.stored):
             drop_bucketed(table)
 
     @property
@@ -48,6 +49,19 @@ def average_idf(terms: DataFrame, n_chunks: int) -> float:
     return by_df.agg(F.sum(F.col("c") * idf(F.lit(float(n_chunks)), F.col("df"))) / F.sum("c")).first()[0] or 0.0
 
 
+def _runs(rows: DataFrame, text: Column) -> tuple[DataFrame, list[Column], Column]:
+    """``rows`` with the sorted tokens, their other columns with ``n_tokens``, and the run lengths."""
+    staged = rows.withColumn("_t", F.sort_array(tx.tokens(text))).withColumn("_s", tx.run_starts(F.col("_t")))
+    kept = [*map(F.col, rows.columns), F.size("_t").cast("long").alias("n_tokens")]
+    return staged, kept, tx.run_lengths(F.col("_t"), F.col("_s"))
+
+
+def term_lists(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds ``n_tokens`` and ``terms``: array<struct<token,tf>> of the distinct tokens. To be stored before it is filtered or exploded."""
+    staged, kept, terms = _runs(rows, text)
+    return staged.select(*kept, terms.alias("terms"))
+
+
 def term_counts(rows: DataFrame, text: Column) -> DataFrame:
     """Adds ``n_tokens`` and, one row per distinct token, ``token`` and ``tf``.
 
@@ -55,14 +69,8 @@ def term_counts(rows: DataFrame, text: Column) -> DataFrame:
     the array, then take run lengths. No exchange and no hash table of
     (text, token) pairs. Texts without a token give no row.
     """
-    return (
-        rows.withColumn("_t", F.sort_array(tx.tokens(text)))
-        .withColumn("_s", tx.run_starts(F.col("_t")))
-        .select(
-            *rows.columns, F.size("_t").cast("long").alias("n_tokens"),
-            F.inline(tx.run_lengths(F.col("_t"), F.col("_s"))),
-        )
-    )
+    staged, kept, terms = _runs(rows, text)
+    return staged.select(*kept, F.inline(terms))
 
 
 def make_postings(chunks: DataFrame) -> DataFrame:
@@ -79,8 +87,9 @@ def build_index(chunks: DataFrame) -> Bm25Index:
     (none if already partitioned by chunk_id); term counts are combined on the
     map side before their shuffle.
     """
-    chunk_table = store_bucketed(chunks, "chunks", "chunk_id")
-    postings = store_bucketed(make_postings(chunk_table), "postings", "chunk_id")
+    buckets = bucket_count(chunks.sparkSession, source_bytes(chunks))
+    chunk_table = store_bucketed(chunks, "chunks", "chunk_id", buckets)
+    postings = store_bucketed(make_postings(chunk_table), "postings", "chunk_id", buckets)
     terms = store(postings.groupBy("token").agg(F.count("*").alias("df")), "terms")
     # Every chunk counts, also one without a single token.
     n_chunks = chunk_table.count()

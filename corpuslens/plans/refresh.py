@@ -4,7 +4,7 @@ A corpus folder holds tables in parts by version and bucket (hash of the URL):
 
     changes       url, kind (new, changed, removed), digest: also the tombstones
     chunks        chunk rows of new and changed pages
-    postings      url, chunk_id, chunk_len, token, tf of these chunks
+    postings      url, chunk_id, chunk_len, terms (token, tf) of these chunks
     term_changes  token, change: what the version adds to the chunk count of a token
     bases         buckets that the version holds whole, after ``compact``
     commits       one row per finished version
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators import bm25, chunks
-from corpuslens.session import broadcast_if_small, store
+from corpuslens.session import broadcast_if_small, bucket_count, source_bytes, store, store_bucketed, writing
 
 KINDS = ("new", "changed", "removed")
 # Parts of a bucket above which ``compact`` writes it anew.
@@ -36,7 +36,7 @@ _TABLES = {
     "chunks": "chunk_id string, title string, cancer_type string, topic string, audience string, section string, "
               "section_path array<string>, url string, source_file string, text string, load_order long, section_index int, "
               "chunk_index int, version int, bucket int",
-    "postings": "url string, chunk_id string, chunk_len long, token string, tf long, version int, bucket int",
+    "postings": "url string, chunk_id string, chunk_len long, terms array<struct<token:string,tf:long>>, version int, bucket int",
     "term_changes": "token string, change long, version int",
     "bases": "bucket int, version int",
     "commits": "n_chunks long, total_len long, new long, changed long, removed long, unchanged long, buckets long, n_buckets int, version int",
@@ -139,9 +139,11 @@ class Corpus:
         if counts is None or not counts.n_chunks:
             raise ValueError("at least one chunk is required")
         terms = store(self.terms(), "terms")
-        postings = self.live("postings").select("chunk_id", "chunk_len", "token", "tf")
+        # Moved once, a row per chunk, so that no search has to shuffle its scored pairs.
+        lists = store_bucketed(self.live("postings").select("chunk_id", "chunk_len", "terms"), "live_postings", "chunk_id")
+        postings = lists.select("chunk_id", "chunk_len", F.inline("terms"))
         return bm25.Bm25Index(
-            self.chunks(), postings, terms, counts.n_chunks, counts.total_len, bm25.average_idf(terms, counts.n_chunks)
+            self.chunks(), postings, terms, counts.n_chunks, counts.total_len, bm25.average_idf(terms, counts.n_chunks), (lists,)
         )
 
 
@@ -157,17 +159,21 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(_TABLES[table]).parquet(path)
 
 
-def _write(rows: DataFrame, corpus: Corpus, table: str, version: int, by_bucket: bool = True) -> DataFrame:
-    """Write the version's part of a table, and read it back. Spark splits large buckets and joins small ones by itself."""
+def _write(rows: DataFrame, corpus: Corpus, table: str, version: int, by_bucket: bool = True, moved: bool = True) -> DataFrame:
+    """Write the version's part of a table, and read it back. Spark splits large buckets and joins small ones by itself.
+
+    ``moved`` is False for rows that come from files of one bucket each: they stay where they are.
+    """
     path = f"{corpus.folder}/{table}/version={version}"
-    out = rows.hint("rebalance", "bucket") if by_bucket else rows
+    out = rows.hint("rebalance", "bucket") if by_bucket and moved else rows
     writer = out.write.mode("overwrite")
-    (writer.partitionBy("bucket") if by_bucket else writer).parquet(path)
+    with writing(corpus.spark, bucket_count(corpus.spark, source_bytes(rows))):
+        (writer.partitionBy("bucket") if by_bucket else writer).parquet(path)
     return _read(corpus.spark, corpus.folder, table).where(F.col("version") == version)
 
 
 def _counts(postings: DataFrame, sign: int) -> DataFrame:
-    return postings.groupBy("token").agg((F.count("*") * sign).alias("change"))
+    return postings.select(F.explode("terms.token").alias("token")).groupBy("token").agg((F.count("*") * sign).alias("change"))
 
 
 def refresh(corpus: Corpus, pages: DataFrame) -> Corpus:
@@ -182,7 +188,7 @@ def refresh(corpus: Corpus, pages: DataFrame) -> Corpus:
     fresh = changes.where("kind <> 'removed'").select("url")
     read = pages if first else pages.join(broadcast_if_small(fresh), "url", "left_semi")
     made = _write(chunks.chunk_pages(read).withColumn("bucket", corpus.bucket()), corpus, "chunks", version)
-    postings = _write(_postings(made).withColumn("bucket", corpus.bucket()), corpus, "postings", version)
+    postings = _write(_postings(made), corpus, "postings", version, moved=False)
 
     gone = changes.where("kind <> 'new'").select("url")
     if first:
@@ -194,7 +200,7 @@ def refresh(corpus: Corpus, pages: DataFrame) -> Corpus:
     _write(difference.where("change <> 0"), corpus, "term_changes", version, by_bucket=False)
 
     before = {r.version: r for r in corpus.commits().collect()}.get(corpus.version)
-    length = lambda rows: rows.agg(F.sum("tf")).first()[0] or 0
+    length = lambda rows: rows.agg(F.sum("chunk_len")).first()[0] or 0
     commit = Row(
         n_chunks=(before.n_chunks if before else 0) + made.count() - dropped_chunks.count(),
         total_len=(before.total_len if before else 0) + length(postings) - length(dropped),
@@ -204,10 +210,10 @@ def refresh(corpus: Corpus, pages: DataFrame) -> Corpus:
 
 
 def _postings(made: DataFrame) -> DataFrame:
-    """``bm25.make_postings`` with the URL of each chunk, in one narrow step."""
-    rows = chunks.with_search_text(made).select("url", "chunk_id", "search_text")
-    counted = bm25.term_counts(rows, F.col("search_text"))
-    return counted.select("url", "chunk_id", F.col("n_tokens").alias("chunk_len"), "token", "tf")
+    """Length and terms of each chunk, with its URL and bucket, in one narrow step."""
+    rows = chunks.with_search_text(made).select("url", "chunk_id", "search_text", "bucket")
+    listed = bm25.term_lists(rows, F.col("search_text"))
+    return listed.select("url", "chunk_id", F.col("n_tokens").alias("chunk_len"), "terms", "bucket")
 
 
 def _commit(corpus: Corpus, version: int, row: Row) -> Corpus:

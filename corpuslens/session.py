@@ -6,8 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
-from weakref import WeakKeyDictionary
+from weakref import finalize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 # Rows above which a side is never broadcast; at ~100 bytes a row this is far
 # below the executor memory any cluster gives.
 BROADCAST_ROWS = 500_000
-# Data in one bucket of a stored table, where the number of buckets allows.
-BUCKET_BYTES = 256 << 20
+# Data in one bucket of a stored table, where the number of buckets allows; what a task of a
+# search holds (a score for each question and chunk of a bucket) hangs on it.
+BUCKET_BYTES = 8 << 20
+# Partition files that a task keeps open, before it sorts its rows by file.
+OPEN_FILES = 4
 # Catalyst's size of a source whose size it does not know is above this.
 UNKNOWN_BYTES = 1 << 60
 
@@ -39,8 +44,8 @@ def local_session(cores: int = 8, app: str = "corpuslens") -> SparkSession:
 
 
 _SHIPPED: set[str] = set()
-# Catalog names of bucketed tables, by their DataFrame; stand-in folders of local sessions without spark.checkpoint.dir.
-_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+# Catalog names of bucketed tables, by the id of their live DataFrame; stand-in folders of local sessions without spark.checkpoint.dir.
+_TABLES: dict[int, str] = {}
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -97,33 +102,58 @@ def bucket_count(spark: SparkSession, size: int) -> int:
     return min(wished, most)
 
 
-def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def source_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads, as Catalyst knows it; sources of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
+@contextmanager
+def writing(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Plan the jobs inside with this many shuffle partitions, and write the files of a partitioned
+    or bucketed table without sorting the rows by file where a task has few of them."""
+    wanted = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
     """Like :func:`store`, but bucketed by ``key`` so that later joins and
     aggregations on ``key`` need no exchange.
 
-    The size is that of the files read, as Catalyst knows it; where it knows none,
-    the number of shuffle partitions decides. :func:`drop_bucketed` takes the table away.
+    The number of buckets is given or follows from the size of the files read; where that is
+    unknown, the number of shuffle partitions decides. The shuffles of ``df`` have as many
+    partitions, so that one by ``key`` is not done again. :func:`drop_bucketed` takes the table away.
     """
     spark = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    buckets = bucket_count(spark, sum(s for s in sizes if s < UNKNOWN_BYTES))
+    if buckets is None:
+        buckets = bucket_count(spark, source_bytes(df))
     table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, key)
-        .write.format("parquet")
-        .bucketBy(buckets, key)
-        .option("path", f"{shared_dir(spark)}/{table}")
-        .saveAsTable(table)
-    )
+    with writing(spark, buckets):
+        (
+            df.repartition(buckets, key)
+            .write.format("parquet")
+            .bucketBy(buckets, key)
+            .option("path", f"{shared_dir(spark)}/{table}")
+            .saveAsTable(table)
+        )
     stored = spark.table(table)
-    _TABLES[stored] = table
+    _TABLES[id(stored)] = table
+    # An id may be given again once its owner is gone.
+    finalize(stored, _TABLES.pop, id(stored), None)
     return stored
 
 
 def drop_bucketed(stored: DataFrame) -> None:
     """Drop the catalog entry of a table that :func:`store_bucketed` made."""
-    table = _TABLES.pop(stored, None)
+    table = _TABLES.pop(id(stored), None)
     if table:
         stored.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
