@@ -235,10 +235,16 @@ def read_metric_table(spark: SparkSession, path: str, fields: list[str] = fv.MET
 
 
 def with_cached_html(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """Adds ``html`` from saved snapshots (key, html); NULL where none is saved."""
+    """Adds ``html`` from saved snapshots (key, html); NULL where none is saved.
+
+    One row per page: of several snapshots of an address the last one counts (by ``saved_at``,
+    where the cache has it), and of those saved together the one that is largest as text.
+    """
+    saved_at = F.col("saved_at") if "saved_at" in cache.columns else F.lit(None).cast("timestamp")
+    last = cache.groupBy("key").agg(F.max(F.struct(saved_at.alias("at"), F.col("html").alias("html"))).alias("last"))
     return (
         pages.withColumn("key", web.raw_html_key(F.col("url")))
-        .join(cache.select("key", "html"), "key", "left")
+        .join(last.select("key", "last.html"), "key", "left")
     )
 
 

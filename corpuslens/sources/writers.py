@@ -173,5 +173,5 @@ def write_page_documents(pages: DataFrame, folder: str) -> list[str]:
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:
-    """Raw HTML table keyed by URL hash: key, url, html."""
-    pages.select(web.raw_html_key(F.col("url")).alias("key"), "url", "html").write.mode("append").parquet(path)
+    """Raw HTML table keyed by URL hash: key, url, html, saved_at."""
+    pages.select(web.raw_html_key(F.col("url")).alias("key"), "url", "html", F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
