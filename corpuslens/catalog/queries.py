@@ -611,7 +611,9 @@ def html_heading_levels(spark, sf):
 def html_links(spark, sf):
     """Links of all pages, grouped by target."""
     index = tables.html_pages(spark, sf).select("url", "html", F.col("collections")[0].alias("collection"))
-    facts = store(discovery.link_facts(discovery.links(html.scan_pages(index)), only_content=False), "facts")
+    # Stored between its two Python steps, so that a task has one worker at a time.
+    scanned = store(html.scan_pages(index).select("url", "collection", F.struct("scan.links").alias("scan")), "scanned")
+    facts = store(discovery.link_facts(discovery.links(scanned), only_content=False), "facts")
     # Origins have no bound here, so they are counted and not listed.
     listed = discovery.discover(facts.where("kind <> 'from'"))
     return discovery.link_counts(facts).select("url", "origins").join(listed, "url").select(

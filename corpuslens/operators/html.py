@@ -18,6 +18,7 @@ from corpuslens import fixed_values as fv
 from corpuslens.functions import text as tx
 from corpuslens.functions import web
 from corpuslens.functions.html_blocks import scan_page
+from corpuslens.session import small_batches
 
 _LINK = StructType().add("href", "string").add("label", "string")
 _BLOCK = StructType().add("tag", "string").add("cells", ArrayType(StringType()))
@@ -31,23 +32,36 @@ SCAN = (
 )
 
 
+# Characters of markup whose scans a worker holds at once, unless one page alone has more.
+SCAN_CHARS = 1 << 20
+
+
 @F.pandas_udf(SCAN)
 def scan_html(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A page that fails keeps its row, with the reason in ``error``."""
+    """A page that fails keeps its row, with the reason in ``error``.
+
+    Scans leave the worker every ``SCAN_CHARS`` characters, whatever the size of the batch.
+    """
     names = ["title", "full_text", "blocks", "links", "error"]
     for html in batches:
-        rows = []
+        rows, held = [], 0
         for page in html:
             try:
                 found = scan_page(page)
                 rows.append([found[n] for n in names[:-1]] + [None])
             except Exception as problem:
                 rows.append([None, None, None, None, f"{type(problem).__name__}: {problem}"])
-        yield pd.DataFrame(rows, columns=names)
+            held += len(page or "")
+            if held >= SCAN_CHARS:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        if rows or not len(html):
+            yield pd.DataFrame(rows, columns=names)
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
     """Adds ``scan``; all other columns stay."""
+    small_batches(pages.sparkSession)
     return pages.withColumn("scan", scan_html("html"))
 
 

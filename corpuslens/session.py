@@ -20,6 +20,8 @@ BROADCAST_ROWS = 500_000
 # Data in one bucket of a stored table, where the number of buckets allows; what a task of a
 # search holds (a score for each question and chunk of a bucket) hangs on it.
 BUCKET_BYTES = 8 << 20
+# Pages that go to a Python worker at once.
+ARROW_ROWS = 500
 # Partition files that a task keeps open, before it sorts its rows by file.
 OPEN_FILES = 4
 # Catalyst's size of a source whose size it does not know is above this.
@@ -61,6 +63,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows: Spark's own 10 000 are too many pages. A smaller number set is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's spark.checkpoint.dir.
 
