@@ -2,7 +2,7 @@
 
 A text is the set of its tokens. A pair is similar when the tokens of the left set that the right
 one holds are ``threshold`` or more of the left set (containment), or of both together (Jaccard).
-Prefix filter: of n tokens of a left set at least t * n must be shared, so one of its n - ceil(t * n) + 1
+Prefix filter: of n tokens of a left set at least t * n must be shared, so ``SHARED`` of its n - ceil(t * n) + ``SHARED``
 rarest ones must be; only these are joined with the tokens of the right side. Size filter: a right
 set must be large enough, and for Jaccard not too large. What passes is compared in full.
 
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.session import broadcast_if_small, store
+from corpuslens.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast, store
 
 NEAR = 0.8
 MEASURES = ("containment", "jaccard")
+# Tokens of its prefix that a left set must share: more of them make the prefix longer and the candidates fewer.
+SHARED = 8
 # Against rounding of t * n.
 _EPSILON = 1e-9
 
@@ -36,41 +38,67 @@ def _least(n: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * threshold - _EPSILON)).cast("int")
 
 
-def prefixes(left: DataFrame, right_tokens: DataFrame, threshold: float) -> DataFrame:
-    """id, n, token: the rarest tokens of each of ``left`` (id, tokens) that a similar set must share one of.
-
-    Rarity is the number of right sets that hold the token; it is counted for the left side's tokens only.
-    """
-    asked = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    wanted = broadcast_if_small(asked.select("token").distinct())
-    counts = right_tokens.select("token").join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("held"))
-    # A token that no right set holds is not joined, but takes its place among the rarest.
-    ranked = asked.join(broadcast_if_small(counts), "token", "left").groupBy("id", "n").agg(
+def token_counts(asked: DataFrame, right_tokens: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """token, held: right sets that hold the token; of the tokens of ``asked``, or, where these are too many
+    to broadcast, the ``most_rows`` most frequent tokens at most. The others are rare, and no count tells them apart."""
+    wanted = asked.select("token").distinct()
+    right = right_tokens.select("token")
+    if fits_broadcast(wanted, most_rows):
+        return right.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("held"))
+    # Counted in the tasks that read them, before anything is moved.
+    counts = store(right.groupBy("token").agg(F.count("*").alias("held")), "token-counts")
+    # A row per different count: far fewer than tokens, for their sum is the number of all occurrences.
+    by_held = counts.groupBy("held").agg(F.count("*").alias("tokens")).orderBy(F.col("held").desc())
+    taken, least = 0, None
+    for row in by_held.toLocalIterator():
+        if (taken := taken + row.tokens) > most_rows:
+            break
+        least = row.held
+    return counts.where(F.col("held") >= (least if least is not None else 1 << 62))
+
+
+def prefixes(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """id, n, token: the first n - ceil(t * n) + ``SHARED`` tokens of each of ``sets`` (id, tokens) in the order of
+    ``counts`` (see :func:`token_counts`; tokens without a count come first). At most n - ceil(t * n) of a set's
+    tokens are not in a similar set, so ``SHARED`` of these are (all that must be, where those are fewer)."""
+    asked = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    ranked = asked.join(F.broadcast(counts), "token", "left").groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))).alias("ordered")
     )
-    first = F.slice("ordered", 1, F.col("n") - _least(F.col("n"), threshold) + 1)
-    return ranked.select("id", "n", F.explode(first).alias("t")).where("t.held > 0").select("id", "n", "t.token")
+    first = F.slice("ordered", 1, F.col("n") - _least(F.col("n"), threshold) + SHARED)
+    return ranked.select("id", "n", F.explode(first.getField("token")).alias("token"))
+
+
+def _sets(rows: DataFrame, name: str) -> DataFrame:
+    """id (a number of eight bytes, for the joins), name (the row's own id) and tokens of the texts with a token, stored."""
+    sets = rows.select(F.col("id").alias("name"), token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return store(sets.withColumn("id", F.monotonically_increasing_id()), name)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = NEAR, measure: str = "containment") -> DataFrame:
+def similar_pairs(
+    left: DataFrame, right: DataFrame, threshold: float = NEAR, measure: str = "containment", most_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """left_id, right_id, shared, containment, jaccard of all similar pairs of ``left`` and ``right`` (id, text); ids are unique."""
     if measure not in MEASURES or not 0 < threshold <= 1:
         raise ValueError("a threshold in (0, 1] and one of the measures are needed")
-    own = store(left.select("id", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0), "left-sets")
-    other = store(right.select("id", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0), "right-sets")
+    own, other = _sets(left, "left-sets"), _sets(right, "right-sets")
     tokens = other.select(F.col("id").alias("right_id"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    first = store(prefixes(own, tokens, threshold), "prefixes").withColumnRenamed("id", "left_id")
+    counts = store(token_counts(own.select(F.explode("tokens").alias("token")), tokens, most_rows), "token-ranks")
+    first = store(prefixes(own, counts, threshold), "prefixes").withColumnRenamed("id", "left_id")
     fits = F.col("m") >= _least(F.col("n"), threshold)
     if measure == "jaccard":
         fits &= F.col("n") >= _least(F.col("m"), threshold)
-    pairs = store(tokens.join(broadcast_if_small(first), "token").where(fits).select("left_id", "right_id").distinct(), "candidates")
+    met = tokens.join(broadcast_if_small(first), "token").where(fits).groupBy("left_id", "right_id", "n").agg(F.count("*").alias("both"))
+    needed = F.least(F.lit(SHARED), _least(F.col("n"), threshold))
+    pairs = store(met.where(F.col("both") >= needed).select("left_id", "right_id"), "candidates")
     # Right sets are fetched first: those that are needed are few.
-    met = other.select(F.col("id").alias("right_id"), F.col("tokens").alias("theirs")).join(broadcast_if_small(pairs), "right_id")
-    met = met.join(own.select(F.col("id").alias("left_id"), F.col("tokens").alias("ours")), "left_id")
+    met = other.select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), F.col("tokens").alias("theirs"))
+    met = met.join(broadcast_if_small(pairs), "right_id")
+    met = met.join(own.select(F.col("id").alias("left_id"), F.col("name").alias("left_name"), F.col("tokens").alias("ours")), "left_id")
     n, m = F.size("ours"), F.size("theirs")
     shared = F.size(F.array_intersect("ours", "theirs"))
     return (
-        met.select("left_id", "right_id", shared.cast("long").alias("shared"), n.alias("n"), m.alias("m"))
+        met.select(F.col("left_name").alias("left_id"), F.col("right_name").alias("right_id"), shared.cast("long").alias("shared"), n.alias("n"), m.alias("m"))
         .withColumn("containment", F.col("shared") / F.col("n"))
         .withColumn("jaccard", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
         .where(F.col(measure) >= threshold - _EPSILON).drop("n", "m")
