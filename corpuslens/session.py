@@ -119,10 +119,15 @@ def source_bytes(df: DataFrame) -> int:
 
 
 @contextmanager
-def writing(spark: SparkSession, partitions: int) -> Iterator[None]:
+def writing(spark: SparkSession, partitions: int, aligned: bool = False) -> Iterator[None]:
     """Plan the jobs inside with this many shuffle partitions, and write the files of a partitioned
-    or bucketed table without sorting the rows by file where a task has few of them."""
+    or bucketed table without sorting the rows by file where a task has few of them.
+
+    ``aligned`` keeps a task to a partition or bucket: Spark would join small ones, whose files then are more than a task keeps open.
+    """
     wanted = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+    if aligned:
+        wanted |= {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
     before = {name: spark.conf.get(name) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -145,7 +150,7 @@ def store_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = Non
     if buckets is None:
         buckets = bucket_count(spark, source_bytes(df))
     table = f"{name}_{uuid.uuid4().hex}"
-    with writing(spark, buckets):
+    with writing(spark, buckets, aligned=True):
         (
             df.repartition(buckets, key)
             .write.format("parquet")
