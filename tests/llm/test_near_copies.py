@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from corpuslens.llm import near_copies, simhash
@@ -88,3 +89,56 @@ def test_bands_find_pairs_at_the_bound():
 
 def test_empty(no_docs):
     assert near_copies.near_copies(no_docs).count() == 0
+
+
+def test_cells_are_blocks_of_a_simhash():
+    """Bits of the fingerprint are the majority's, and fewer differ the more alike two sets are."""
+    drawn = np.random.default_rng(7)
+    x = drawn.integers(0, 2**64 - 1, 600, np.uint64)
+    one = near_copies._fingerprint(x[:1])
+    assert (near_copies._fingerprint(np.concatenate([x[:1], x[:1], x[1:2]])) == one).all()
+    distance = [int(np.bitwise_count(near_copies._fingerprint(x[:300]) ^ near_copies._fingerprint(x[k : 300 + k])).sum()) for k in (0, 30, 100, 300)]
+    assert distance[0] == 0 and distance == sorted(distance) and abs(distance[3] - 512) < 80
+    words = near_copies._fingerprint(x)
+    assert near_copies._sketch(x) == [(b << 12) + (int(words[b // 5]) >> 12 * (b % 5) & 4095) for b in range(near_copies.BANDS)]
+
+
+def test_groups_as_brute_force():
+    drawn = np.random.default_rng(8)
+    cell = np.sort(drawn.integers(0, 12, 900))
+    rows = drawn.integers(0, 2**64 - 1, (20, near_copies.CLOSE_WORDS), np.uint64)[drawn.integers(0, 20, 900)]
+    for r in rows:
+        for bit in drawn.integers(0, 256, 40).tolist():
+            r[bit // 64] ^= np.uint64(1 << bit % 64)
+    apart = np.bitwise_count(rows[:, None] ^ rows[None]).astype(int)
+    near = (cell[:, None] == cell[None]) & (apart.sum(2) <= near_copies.MOST_BITS) & (apart[:, :, 0] <= near_copies.FIRST_BITS)
+    wanted = np.arange(900)
+    while (least := np.where(near, wanted[None], 900).min(1)).tolist() != wanted.tolist():
+        wanted = least
+    assert 12 < len(set(wanted.tolist())) < 900
+    assert near_copies._groups(cell, list(rows.T)).tolist() == wanted.tolist()
+
+
+def test_large_cells_are_cut(docs_of, prose):
+    """Pairs of chunks of cells above the bound give the same components."""
+    pairs = case(prose)
+    wanted = brute(pairs)
+    found = near_copies.near_copies(docs_of(pairs), near_copies.CHUNK, 6).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=repr) == sorted(((i, wanted[t]) for i, t in pairs), key=repr)
+
+
+def test_cells_go_on_in_other_batches(monkeypatch):
+    drawn = np.random.default_rng(9)
+    cell = np.sort(np.concatenate([drawn.integers(0, 40, 200), np.full(90, 41), np.full(70, 45)]))
+    close = drawn.integers(0, 2**64 - 1, (5, near_copies.CLOSE_WORDS), np.uint64)[drawn.integers(0, 5, len(cell))].view(np.int64)
+    table = pa.table({"cell": cell, "alias": np.arange(len(cell))} | {f"close{i}": close[:, i] for i in range(near_copies.CLOSE_WORDS)})
+
+    def rows(most, size):
+        return [tuple(r.values()) for b in near_copies._grouped(most)(iter(table.to_batches(size))) for r in b.to_pylist()]
+
+    whole = rows(80, 1000)
+    assert [r for r in whole if r[1] is None] == [(41, None, 90)] and sum(r[0] == 45 for r in whole) == 70
+    monkeypatch.setattr(near_copies, "_ROWS", 20)
+    assert sorted(rows(80, 7), key=repr) == sorted(whole, key=repr)
+    assert {r[0]: r[2] for r in rows(30, 7) if r[1] is None} == {41: 90, 45: 70}
+    assert all(r[1] is not None for r in rows(1 << 62, 7))
