@@ -113,7 +113,8 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, most: int = MOST, least:
     """
     if not 0 <= overlap < target <= most or least > target:
         raise ValueError("overlap < target <= most and least <= target are needed")
-    usable = F.filter("sections", lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)) & tx.has_text(s["text"]))
+    # Nothing is tested on sections, pieces or their numbers: such a filter would be pushed below what makes them, and make them again.
+    usable = F.filter(F.coalesce("sections", F.array()), lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)) & tx.has_text(s["text"]))
     title = F.col("title")
 
     def section(s: Column) -> Column:
@@ -122,9 +123,9 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, most: int = MOST, least:
 
     parent = lambda path: F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
     rows = (
-        pages.where((F.col("url") != "") & F.col("sections").isNotNull())
+        pages.where(F.col("url") != "")
         .select(*page_fields(), usable.alias("_usable"))
-        .withColumn("_sections", F.transform("_usable", section)).drop("_usable").where(F.size("_sections") > 0)
+        .withColumn("_sections", F.transform("_usable", section)).drop("_usable")
         .withColumn("_pieces", F.flatten(F.transform("_sections", lambda s, i: F.transform(
             pieces(s["text"], most, max(1, overlap)), lambda p: F.struct(i.alias("section"), p["text"], p["tokens"], p["glue"])))))
         .withColumn("_plan", _planner(target, most, least, overlap)(
